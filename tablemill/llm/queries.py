@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import bpe, packing
+from tablemill.llm import bpe, minhash, packing
 from tablemill.storage import table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return out.select(
@@ -29,5 +33,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("piece").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_bpe": op4_bpe, "op6_packing": op6_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_bpe": op4_bpe,
+    "op6_packing": op6_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
