@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import bpe, minhash, packing, quality_rules, suffix, url_filter
+from tablemill.llm import bpe, minhash, packing, quality_rules, secret_scan, suffix, url_filter
 from tablemill.storage import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -41,6 +41,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("piece").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    return secret_scan.scan(table(spark, sf_dir, "documents"), model)
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_bpe": op4_bpe,
     "op6_packing": op6_packing,
+    "op9_secret_scans": op9_secret_scans,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op3_url_filters": url_filter.ORACLE_SQL}
