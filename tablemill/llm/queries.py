@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import bpe, minhash, packing, quality_rules, secret_scan, suffix, url_filter
+from tablemill.llm import bpe, classifier, minhash, packing, quality_rules, secret_scan, suffix, url_filter
 from tablemill.storage import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -36,6 +36,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return out.select("doc_id", "start", "length", F.crc32("piece").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filters": op3_url_filters,
     "op4_bpe": op4_bpe,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_packing": op6_packing,
     "op9_secret_scans": op9_secret_scans,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
