@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import bpe, classifier, minhash, packing, quality_rules, secret_scan, suffix, url_filter
+from tablemill.llm import bpe, classifier, media, minhash, packing, quality_rules, secret_scan, suffix, url_filter
 from tablemill.storage import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -46,6 +46,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("piece").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = media.read(media.store(table(spark, sf_dir, "documents")))
+    return back.select(
+        "doc_id", "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secret_scan.train(secret_scan.labelled_findings(spark))
     return secret_scan.scan(table(spark, sf_dir, "documents"), model)
@@ -62,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_packing": op6_packing,
+    "op7_media_columns": op7_media_columns,
     "op9_secret_scans": op9_secret_scans,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
