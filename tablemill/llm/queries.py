@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import bpe, classifier, media, minhash, packing, quality_rules, secret_scan, suffix, url_filter
+from tablemill.llm import bpe, chunks, classifier, media, minhash, packing, quality_rules, secret_scan, suffix, url_filter
 from tablemill.storage import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -59,6 +59,10 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secret_scan.train(secret_scan.labelled_findings(spark))
     return secret_scan.scan(table(spark, sf_dir, "documents"), model)
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_packing": op6_packing,
     "op7_media_columns": op7_media_columns,
+    "op8_chunk_dedup": op8_chunk_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }

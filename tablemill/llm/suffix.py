@@ -216,3 +216,31 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
         F.col("given").alias(key), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"),
     )
+
+
+def strip_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows and columns of `docs` without the repeated bytes in the text. A character stays
+    whole if any of its bytes stays, so the text remains valid; null texts stay null."""
+    kind = docs.schema[key].dataType
+    found = repeats(docs, key, text, **options).dropDuplicates(["k", "t"]).select(F.col("k").alias("_k"), F.col("t").alias("_t"), "spans")
+    rows = docs.withColumn("_k", F.coalesce(F.col(key), F.lit("0").cast(kind))).withColumn("_t", F.hash(F.coalesce(F.col(text), F.lit("")), F.col(key).isNull()))
+
+    @F.pandas_udf("string")
+    def strip(texts, spans):
+        out = []
+        for value, ranges in zip(texts, spans):
+            if value is None or ranges is None:
+                out.append(value)
+                continue
+            data = np.frombuffer(value.encode("utf-8", "replace"), np.uint8)
+            stay = np.ones(len(data), bool)
+            for r in ranges:
+                stay[r["start"] : r["end"]] = False
+            first = np.flatnonzero((data & 0xC0) != 0x80)
+            whole = np.logical_or.reduceat(stay, first)
+            out.append(data[np.repeat(whole, np.diff(np.append(first, len(data))))].tobytes().decode())
+        return texts.__class__(out, dtype=object)
+
+    joined = rows.join(found, ["_k", "_t"], "left")
+    stripped = F.when(F.col("spans").isNull(), F.col(f"`{text}`")).otherwise(strip(F.col(f"`{text}`"), F.col("spans")))
+    return joined.select(*(stripped.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
