@@ -46,7 +46,7 @@ def match_cardinality(left: DataFrame, right: DataFrame, key: str, left_id: str,
     meets: none, one (pending) or several (ambiguous, their ids joined in catalogue order)."""
     ids = right.groupBy(key).agg(
         F.count("*").alias("n_matches"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, right_id))), lambda x: x[right_id].cast("string")), ",").alias("candidates"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(right_id).alias("v")))), lambda x: x["v"].cast("string")), ",").alias("candidates"),
     )
     met = left.select(left_id, key).join(ids, key, "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
     return met.select(

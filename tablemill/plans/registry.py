@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tablemill.plans import browse, duplicates, identify, journal, measures, state
+from tablemill.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "browse", "duplicates", "identify", "journal", "measures", "state"]
