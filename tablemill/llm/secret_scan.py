@@ -171,11 +171,11 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, key: str = "
     128-bit hash, so repeated rows, null keys and texts under one key are each treated."""
     place = path if path and path in docs.columns else None
     hashed = F.concat(F.md5(F.col(text)), F.coalesce(F.col(place).cast("string"), F.lit("")) if place else F.lit(""))
-    given = docs.withColumn("_hash", hashed)
-    distinct = given.select("_hash", F.col(text).alias("_text"), (F.col(place) if place else F.lit(None).cast("string")).alias("_place"))
-    found = scan(distinct, model, "_hash", "_text", "_place").where("is_secret")
-    secrets = found.groupBy("_hash").agg(F.collect_set("number").alias("_secret"))
+    given = docs.withColumn("__hash", hashed)
+    distinct = given.select("__hash", F.col(text).alias("_text"), (F.col(place) if place else F.lit(None).cast("string")).alias("_place"))
+    found = scan(distinct, model, "__hash", "_text", "_place").where("is_secret")
+    secrets = found.groupBy("__hash").agg(F.collect_set("number").alias("__secret"))
     parts = F.split(F.regexp_replace(F.translate(F.col(text), MARK, " "), CANDIDATE, MARK + "$0" + MARK), MARK)
-    hidden = F.transform(parts, lambda p, i: F.when((i % 2 == 1) & F.array_contains("_secret", ((i + 1) / 2).cast("int")), F.lit(mask)).otherwise(p))
-    rebuilt = F.when(F.col("_secret").isNull(), F.col(text)).otherwise(F.array_join(hidden, ""))
-    return given.join(secrets, "_hash", "left").select(*(rebuilt.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+    hidden = F.transform(parts, lambda p, i: F.when((i % 2 == 1) & F.array_contains("__secret", ((i + 1) / 2).cast("int")), F.lit(mask)).otherwise(p))
+    rebuilt = F.when(F.col("__secret").isNull(), F.col(text)).otherwise(F.array_join(hidden, ""))
+    return given.join(secrets, "__hash", "left").select(*(rebuilt.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))

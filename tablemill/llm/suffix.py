@@ -222,8 +222,8 @@ def strip_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
     """The rows and columns of `docs` without the repeated bytes in the text. A character stays
     whole if any of its bytes stays, so the text remains valid; null texts stay null."""
     kind = docs.schema[key].dataType
-    found = repeats(docs, key, text, **options).dropDuplicates(["k", "t"]).select(F.col("k").alias("_k"), F.col("t").alias("_t"), "spans")
-    rows = docs.withColumn("_k", F.coalesce(F.col(key), F.lit("0").cast(kind))).withColumn("_t", F.hash(F.coalesce(F.col(text), F.lit("")), F.col(key).isNull()))
+    found = repeats(docs, key, text, **options).dropDuplicates(["k", "t"]).select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("spans").alias("__spans"))
+    rows = docs.withColumn("__k", F.coalesce(F.col(key), F.lit("0").cast(kind))).withColumn("__t", F.hash(F.coalesce(F.col(text), F.lit("")), F.col(key).isNull()))
 
     @F.pandas_udf("string")
     def strip(texts, spans):
@@ -241,6 +241,6 @@ def strip_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
             out.append(data[np.repeat(whole, np.diff(np.append(first, len(data))))].tobytes().decode())
         return texts.__class__(out, dtype=object)
 
-    joined = rows.join(found, ["_k", "_t"], "left")
-    stripped = F.when(F.col("spans").isNull(), F.col(f"`{text}`")).otherwise(strip(F.col(f"`{text}`"), F.col("spans")))
+    joined = rows.join(found, ["__k", "__t"], "left")
+    stripped = F.when(F.col("__spans").isNull(), F.col(f"`{text}`")).otherwise(strip(F.col(f"`{text}`"), F.col("__spans")))
     return joined.select(*(stripped.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))

@@ -1,0 +1,88 @@
+import random
+
+import numpy as np
+import pytest
+
+from tablemill.llm import classifier, secret_scan
+
+
+def test_gradients_match_differences():
+    rng = np.random.default_rng(0)
+    model = classifier.GatedAttention(hidden=3, gate=2)
+    x, row, y = rng.normal(size=(7, classifier.WIDTH)) / 4, np.array([0, 0, 0, 1, 1, 2, 2]), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        p = model.forward(x, row)["p"]
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    grads = model.gradients(x, row, y, 0.0)
+    for name, w in model.w.items():
+        at = tuple(rng.integers(0, s) for s in w.shape)
+        w[at] += 1e-5
+        up = loss()
+        w[at] -= 2e-5
+        down = loss()
+        w[at] += 1e-5
+        assert abs((up - down) / 2e-5 - grads[name][at]) < 1e-5, name
+
+
+def test_learns_and_holds_out(spark, documents, odd_rows):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randint(2, 9)))
+    rows, labels = [], []
+    for i in range(100, 500):
+        good = i % 4 > 0
+        text = " ".join(word() if good else word() + "###" for _ in range(rng.randint(20, 400)))
+        rows.append((i, text))
+        labels.append((i, int(good), None))
+    docs = documents(rows + odd_rows)
+    marked = spark.createDataFrame([*labels, (101, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = classifier.train(docs, marked, training_docs=200)
+    got = classifier.score(docs, model).collect()
+    assert len(got) == len(rows) + len(odd_rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    truth = {i: q for i, q, _ in labels}
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert len(held) > 60 and np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    again = classifier.train(docs, marked, training_docs=200)
+    assert all(np.array_equal(model.w[k], again.w[k]) for k in model.w)
+    kept = classifier.keep_good(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got)
+    empty = classifier.train(docs, marked.limit(0))
+    assert {r.score for r in classifier.score(documents([(1, "x"), (2, None)]), empty).collect()} == {0.5}
+    assert classifier.score(documents([]), model).count() == 0
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.train(secret_scan.labelled_findings(spark))
+
+
+def test_forest_on_other_findings(spark, forest):
+    other = secret_scan.labelled_findings(spark, 40, "test")
+    found = secret_scan.scan(other.withColumnsRenamed({"id": "doc_id", "path": "source"}).drop("t"), forest).where("number = 1")
+    marked = other.select("kind", "id", "label", "text", "path")
+    per_row = secret_scan.scan(marked.selectExpr("kind * 1000 + id as doc_id", "text", "path as source"), forest).where("number = 1").collect()
+    truth = {r.kind * 1000 + r.id: r.label for r in marked.collect()}
+    assert found.count() == len(per_row)
+    assert np.mean([r.is_secret == bool(truth[r.doc_id]) for r in per_row]) > 0.97
+
+
+def test_scan_and_redact(documents, odd_rows, forest):
+    key = "AKIA" + "QX7ZK2LMW4PR9TYB"
+    rows = [*odd_rows, (30, f"see {key} and 4337166598464399 here"), (31, "password=b7db7aa4a5fcc78305"), (31, "password=b7db7aa4a5fcc78305"), (32, "commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff done"), (33, f"\uFDD0 {key}{chr(0xFDD0)}x")]
+    docs = documents(rows)
+    found = secret_scan.scan(docs, forest).collect()
+    secret = sorted((r.doc_id, r.number) for r in found if r.is_secret)
+    assert secret == [(30, 1), (31, 1), (31, 1), (33, 1)]
+    assert sum(r.doc_id == 30 for r in found) == 2
+    out = secret_scan.redact(docs, forest)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    texts = {r.doc_id: r.text for r in out.collect()}
+    assert texts[30] == "see [SECRET] and 4337166598464399 here" and texts[31] == "password=[SECRET]" and texts[32] == dict(rows)[32]
+    assert all(texts[i] == t for i, t in odd_rows)
+    assert secret_scan.scan(documents([]), forest).count() == 0 and secret_scan.redact(documents([]), forest).count() == 0
+
+
+def test_scan_plan_has_no_python(documents, forest):
+    plan = secret_scan.redact(documents([(1, "a")]), forest)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
