@@ -17,9 +17,8 @@ def components(edges: DataFrame, a: str = "a_id", b: str = "b_id", max_rounds: i
     Null ends are dropped, self-edges keep their vertex, no edges give no rows."""
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna().distinct()
     both = stash(pairs.union(pairs.select("y", "x")).distinct(), "edges")
-    labels = both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("component"))
+    labels = stash(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("component")), "labels")
     for _ in range(max_rounds):
-        labels = stash(labels, "labels")
         near = (
             both.join(labels.select(F.col("id").alias("y"), F.col("component").alias("c")), "y")
             .groupBy(F.col("x").alias("id")).agg(F.min("c").alias("c"))
