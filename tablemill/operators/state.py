@@ -113,3 +113,79 @@ def find_or_create(rows: DataFrame, dimension: DataFrame, name: str, dim_id: str
     fresh = with_new_ids(wanted.join(known, "_k", "left_anti"), dimension, dim_id, F.col("_k"))
     ids = known.unionByName(fresh.select("_k", dim_id))
     return rows.withColumn("_k", folded(name)).join(ids, "_k", "left").drop("_k"), dimension.select(dim_id, dim_name).unionByName(fresh.select(dim_id, dim_name))
+
+
+def persist_reports(tracks: DataFrame, reports: DataFrame, columns: list[str], versions: dict[str, int]) -> DataFrame:
+    """Tracks whose derived `columns` come from `reports` (by id), stamped with the producers'
+    current versions; others stay."""
+    new = reports.select(F.col("id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in columns))
+    met = tracks.join(new, tracks["id"] == F.col("_id"), "left")
+    hit = F.col("_id").isNotNull()
+    kept = {c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in columns} | {c: F.when(hit, v).otherwise(F.col(c)) for c, v in versions.items()}
+    return met.select(*(kept.get(c, F.col(c)).cast(tracks.schema[c].dataType).alias(c) for c in tracks.columns))
+
+
+def persist_failures(tracks: DataFrame, failed: DataFrame, derived: list[str]) -> DataFrame:
+    """Tracks whose analysis failed: derived columns null, an empty report as the final mark, one
+    attempt more."""
+    met = tracks.join(failed.select(F.col("id").alias("_id")).distinct(), tracks["id"] == F.col("_id"), "left")
+    hit = F.col("_id").isNotNull()
+    changed = {c: F.when(~hit, F.col(c)) for c in derived} | {
+        "report_json": F.when(hit, "").otherwise(F.col("report_json")), "analysis_attempts": F.coalesce("analysis_attempts", F.lit(0)) + hit.cast("int"),
+    }
+    return met.select(*(changed.get(c, F.col(c)).cast(tracks.schema[c].dataType).alias(c) for c in tracks.columns))
+
+
+def reset_analysis(tracks: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pending tracks of `ids` as never analysed."""
+    met = tracks.join(ids.select(F.col("id").alias("_id")).distinct(), tracks["id"] == F.col("_id"), "left")
+    hit = F.col("_id").isNotNull() & (F.col("status") == "pending")
+    cleared = ("analyzed_at", "verdict", "report_json", "fingerprint")
+    return met.select(*(F.when(~hit, F.col(c)).alias(c) if c in cleared else F.when(~hit, F.col(c)).otherwise(0).cast(tracks.schema[c].dataType).alias(c) if c == "analysis_attempts" else F.col(c) for c in tracks.columns))
+
+
+def set_values(table: DataFrame, given: DataFrame, key: str) -> DataFrame:
+    """A key-value table after writes; the given value stands."""
+    return table.join(given.select(key), key, "left_anti").unionByName(given.select(*table.columns))
+
+
+def delete_sources(sources: DataFrame, tracks: DataFrame, children: dict[str, DataFrame], actions: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, DataFrame], DataFrame]:
+    """Everything after sources are deleted: their tracks and the tracks' children go, journal
+    rows stay without their track."""
+    lost = tracks.join(gone.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(F.col("id").alias("track_id"))
+    left = {name: table.join(lost, "track_id", "left_anti").select(*table.columns) for name, table in children.items()}
+    marked = actions.join(lost.select("track_id", F.lit(True).alias("_lost")), "track_id", "left")
+    journal = marked.select(*(F.when(F.col("_lost").isNull(), F.col(c)).alias(c) if c == "track_id" else F.col(c) for c in actions.columns))
+    kept = tracks.join(lost.select(F.col("track_id").alias("id")), "id", "left_anti").select(*tracks.columns)
+    return sources.join(gone.select("id"), "id", "left_anti").select(*sources.columns), kept, left, journal
+
+
+def move_tracks(tracks: DataFrame, actions: DataFrame, ids: DataFrame, kind: str, status: str, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(tracks, actions) after a change of status with its journal rows: only tracks in an
+    `allowed` status move; action ids follow the largest."""
+    moved = tracks.join(ids.select("id").distinct(), "id", "left_semi").where(F.col("status").isin(*allowed))
+    numbered = with_new_ids(moved.select(F.col("id").alias("track_id"), "path"), actions, "id", F.col("track_id"))
+    given = {"id": F.col("id"), "track_id": F.col("track_id"), "type": F.lit(kind), "from_path": F.col("path"), "undone": F.lit(False)}
+    events = numbered.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in actions.schema.fields))
+    met = tracks.join(moved.select("id", F.lit(True).alias("_moved")), "id", "left")
+    after = met.select(*(F.when(F.col("_moved"), status).otherwise(F.col(c)).alias(c) if c == "status" else F.col(c) for c in tracks.columns))
+    return after, actions.unionByName(events)
+
+
+def requeue(tracks: DataFrame, actions: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rejected tracks back in the queue; their live reject rows are undone."""
+    back = tracks.join(ids.select("id").distinct(), "id", "left_semi").where("status = 'resourcing'").select(F.col("id").alias("_id"), F.lit(True).alias("_back"))
+    met = tracks.join(back, tracks["id"] == F.col("_id"), "left")
+    after = met.select(*(F.when(F.col("_back"), "pending").otherwise(F.col(c)).alias(c) if c == "status" else F.col(c) for c in tracks.columns))
+    closed = actions.join(back, actions["track_id"] == F.col("_id"), "left")
+    undone = F.col("undone") | (F.coalesce("_back", F.lit(False)) & (F.col("type") == "reject"))
+    return after, closed.select(*(undone.alias(c) if c == "undone" else F.col(c) for c in actions.columns))
+
+
+def read_through(keys: DataFrame, cache: DataFrame, key: str, value: str, version: int, compute) -> DataFrame:
+    """(key, value) of every key: from the cache where its version is current and its value not
+    empty, else from compute(keys that miss)."""
+    good = cache.where((F.col("version") == version) & F.col(value).isNotNull() & (F.col(value) != ""))
+    hits = keys.join(good.select(key, value), key)
+    misses = keys.join(good.select(key), key, "left_anti")
+    return hits.select(key, value).unionByName(compute(misses).select(key, value))
