@@ -137,7 +137,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     )
     once = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
     runs = stash(repeated_runs(once, "k", "text", least_run), "chunk-runs")
-    texts = _packed(_keyed(docs, key, text)).join(runs, ["k", "t"]).dropDuplicates(["k", "t"])
+    # The plan is the same at every size: runs are hashed, texts stream past them.
+    texts = _packed(_keyed(docs, key, text)).join(runs.hint("shuffle_hash"), ["k", "t"]).dropDuplicates(["k", "t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
