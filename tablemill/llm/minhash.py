@@ -153,11 +153,12 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int
     return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, h1 long, h2 long, bands array<long>, coordinates array<byte>")
 
 
-def similarities(pairs: DataFrame, texts: DataFrame, words: int = WORDS, block: int = 256) -> DataFrame:
+def similarities(pairs: DataFrame, texts: DataFrame, words: int = WORDS, block: int = 256, detail: bool = False) -> DataFrame:
     """(a, b, similarity): the exact Jaccard similarity of the word-run sets of each pair.
 
     pairs (a, b); texts (id, text) with distinct ids. An id that stands in very many pairs is
-    dealt out in blocks, with a copy of its text for each."""
+    dealt out in blocks, with a copy of its text for each. With `detail` come how many runs b
+    has (runs), how many of them a has too (common), and the others (extra)."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     left = many.join(texts.withColumnRenamed("id", "a"), "a").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = pairs.join(many, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
@@ -167,17 +168,23 @@ def similarities(pairs: DataFrame, texts: DataFrame, words: int = WORDS, block:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left_set = None, None
         for batch in batches:
-            out = []
+            out: dict[str, list] = {f: [] for f in ("similarity", "runs", "common", "extra")}
             for a, text_a, text_b in zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
                 if last != (a, text_a):
                     last, left_set = (a, text_a), np.unique(shingles([text_a], words)[0])
                 right = np.unique(shingles([text_b], words)[0])
-                shared = len(np.intersect1d(left_set, right, assume_unique=True))
-                out.append(shared / max(1, len(left_set) + len(right) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+                shared = np.intersect1d(left_set, right, assume_unique=True)
+                out["similarity"].append(len(shared) / max(1, len(left_set) + len(right) - len(shared)))
+                if detail:
+                    out["runs"].append(len(right))
+                    out["common"].append(len(shared))
+                    out["extra"].append(np.setdiff1d(right, shared, assume_unique=True).view(np.int64))
+            kinds = {"similarity": pa.float64(), "runs": pa.int64(), "common": pa.int64(), "extra": pa.list_(pa.int64())}
+            columns = {f: pa.array(v, kinds[f]) for f, v in out.items() if detail or f == "similarity"}
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns.values()], names=["a", "b", *columns])
 
     kind = both.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+    return both.mapInArrow(run, f"a {kind}, b {kind}, similarity double" + ", runs long, common long, extra array<long>" * detail)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -192,7 +199,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     Work: representatives that share a band are linked to the smallest id of that bucket, and
     each such pair is compared exactly. Members of a bucket that are still in different
     components afterwards are compared with each other unless their similarities to the
-    bucket's centre rule a link out (Jaccard distance is a metric) or fewer than AGREEMENT of
+    bucket's centre rule a link out (Jaccard distance is a metric), or the runs that they have
+    from the centre and those that both have besides are too few, or less than AGREEMENT of
     their coordinates agree; before that, PIVOTS further members stand in for the centre, so
     that few members are left."""
     given = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
@@ -243,11 +251,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         star = stash(star.select(F.least("p.id", "x.id").alias("a"), F.greatest("p.id", "x.id").alias("b")).distinct(), "pivots")
         links = stash(links.union(linked(similarities(star, texts, words)).select("a", "b")).distinct(), "links")
         open_members = still_open(links)
+    # What two texts share lies in the centre, or in what neither has from it: with few common
+    # runs outside the centre, the smaller share of the centre bounds their similarity.
+    outside = similarities(open_members.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), texts, words, detail=True)
+    outside = outside.select(F.col("a").alias("centre"), F.col("b").alias("id"), "runs", "common", "extra")
+    open_members = stash(open_members.join(outside, ["centre", "id"]), "outside")
     x, y = open_members.alias("x"), open_members.alias("y")
+    shared = F.least("x.common", "y.common") + F.size(F.array_intersect("x.extra", "y.extra"))
+    possible = shared * (1 + similarity) >= (F.col("x.runs") + F.col("y.runs")) * similarity - 1e-6
     # A pair is made in the first bucket that it shares.
     first = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.band") + 1
     met = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id"))
-    rest = x.join(y, met & in_reach("x", "y") & first & agreeing("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    rest = x.join(y, met & in_reach("x", "y") & first & agreeing("x", "y") & possible).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     more = stash(similarities(stash(rest, "rest"), texts, words), "rest-similarities")
     links = stash(links.union(linked(more).select("a", "b")).distinct(), "links")
     groups = components(links, "a", "b").select(F.col("id").alias("representative"), F.col("component"))
