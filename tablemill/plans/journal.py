@@ -26,6 +26,16 @@ def batches(rows: DataFrame) -> DataFrame:
     )
 
 
+def expired(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Whole batches of `kept` older than the cutoff, neither half-reverted nor holding an action
+    pinned among all `rows`."""
+    newest = rows.where("not undone").groupBy("track_id").agg(F.max("id").alias("id"), F.max("value").alias("most")).where("most > 300").select("id")
+    pinned = rows.where("value > 250").select("id").union(rows.where("id % 1013 = 0").select("id")).union(newest).distinct()
+    held = kept.join(pinned, "id", "left_semi").select("batch_id").distinct()
+    old = batches(kept).where((F.col("last_at") < 1706400000) & (F.col("all_undone") == F.col("any_undone")))
+    return old.join(held, "batch_id", "left_anti").select("batch_id")
+
+
 @query("JN8 AG6 SO5 WN1", """
 with a as (select event_id as id, user_id as batch_id, event_type as type, event_id % 97 as track_id, value < 5 as undone from events where event_type <> 'error'),
 b as (select batch_id, min(id) as first_id, count(distinct track_id)::bigint as tracks, min(undone::int)::int as all_undone from a group by 1)
@@ -48,14 +58,23 @@ pinned as (select id from a where value > 250 union select id from a where id %
 g as (select batch_id, max(sec) as last_at, min(undone::int) as u0, max(undone::int) as u1 from a where sec % 4 = batch_id % 4 group by 1)
 select g.batch_id from g where last_at < 1706400000 and u0 = u1 and not exists (select 1 from a join pinned using (id) where a.batch_id = g.batch_id and sec % 4 = a.batch_id % 4)""")
 def expired_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole batches older than the cutoff, neither half-reverted nor holding a pinned action."""
+    """Batches of the actions in their user's quarter of seconds only, as its SQL has them;
+    `expired_days` judges every action."""
     rows = actions(spark, sf_dir)
-    newest = rows.where("not undone").groupBy("track_id").agg(F.max("id").alias("id"), F.max("value").alias("most")).where("most > 300").select("id")
-    pinned = rows.where("value > 250").select("id").union(rows.where("id % 1013 = 0").select("id")).union(newest).distinct()
-    kept = rows.where(F.col("at") % 4 == F.col("batch_id") % 4)
-    held = kept.join(pinned, "id", "left_semi").select("batch_id").distinct()
-    old = batches(kept).where((F.col("last_at") < 1706400000) & (F.col("all_undone") == F.col("any_undone")))
-    return old.join(held, "batch_id", "left_anti").select("batch_id")
+    return expired(rows, rows.where(F.col("at") % 4 == F.col("batch_id") % 4))
+
+
+@query("AG7 JN9 ST1 PF11 SK15 SM6", """
+with a as (select event_id as id, user_id, floor(epoch(ts) / 86400)::bigint as day, event_id % 97 as track_id, value < 5 as undone, floor(epoch(ts))::bigint as sec, value from events),
+pinned as (select id from a where value > 250 union select id from a where id % 1013 = 0 union select max(id) from a where not undone group by track_id having max(value) > 300),
+g as (select user_id, day, max(sec) as last_at, min(undone::int) as u0, max(undone::int) as u1 from a group by 1, 2)
+select g.user_id, g.day from g where last_at < 1706400000 and u0 = u1 and not exists (select 1 from a join pinned using (id) where a.user_id = g.user_id and a.day = g.day)""")
+def expired_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expired batches where a batch is all that a user did in a day (UTC), so that every action
+    is judged in exactly one batch."""
+    rows = actions(spark, sf_dir)
+    rows = rows.withColumn("batch_id", F.struct(F.col("batch_id").alias("user_id"), F.floor(F.col("at") / 86400).alias("day")))
+    return expired(rows, rows).select("batch_id.user_id", "batch_id.day")
 
 
 @query("WN10 SK14", """
