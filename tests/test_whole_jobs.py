@@ -17,3 +17,15 @@ def test_expired_days_judge_every_action(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
     got = registry.QUERIES["expired_days"](spark, str(tmp_path)).collect()
     assert sorted((r.user_id, r.day) for r in got) == [(1, 19724), (4, 19724)]
+
+
+def test_rank_sort_orders_takes_cheap_and_unpriced(spark, tmp_path):
+    rows = [(1, "O", 10.0), (2, "P", None), (3, "P", 5.0), (4, "F", 500000.0), (5, "P", 7.0)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = registry.QUERIES["rank_sort_orders"](spark, str(tmp_path)).collect()
+    assert [(r.o_orderkey, r["rank"]) for r in got] == [(5, 0), (3, 0), (2, 0), (4, 1), (1, 2)]
+
+
+def test_spectral_cutoff_takes_every_supplier(spark, tmp_path):
+    spark.createDataFrame([(1,), (24,), (1000,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert sorted(r.track_id for r in registry.QUERIES["spectral_cutoff"](spark, str(tmp_path)).collect()) == [1, 24, 1000]
