@@ -7,6 +7,7 @@ weighted passage representation is scored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import RollingHash, mix, slices, text_bytes, word_spans
+from tablemill.llm.common import SPACES, RollingHash, mix, slices, text_bytes, word_spans
 
-#: Passages have PASSAGE bytes, or more in texts that would have over MOST of them.
-PASSAGE, MOST = 512, 64
+#: Passages have PASSAGE bytes in texts of every length. Training alone takes at most MOST of a
+#: document, those with the least hash of key and number; scoring reads all, BLOCK at a time.
+PASSAGE, MOST, BLOCK = 512, 64, 2048
 #: The classifier is fitted on at most so many labelled documents, taken by the hash of their id.
 TRAINING_DOCS = 2048
 CLASSES = 16
@@ -40,25 +42,44 @@ WIDTH = CLASSES * CLASSES + EXTRA
 
 def encode_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(features of every passage, the row of each). An empty or null text has one passage."""
-    data, offsets = text_bytes(texts)
+    return _encode(*text_bytes(texts))
+
+
+def passage_blocks(text: str) -> Iterator[np.ndarray]:
+    """The features of one text's passages, BLOCK at a time; a word belongs whole to the passage
+    where it starts, so they equal those of `encode_passages`."""
+    data, offsets = text_bytes([text])
+    spaces = np.flatnonzero(SPACES[data])
+    for start in range(0, len(data), BLOCK * PASSAGE):
+        end = min(len(data), start + BLOCK * PASSAGE)
+        after = np.searchsorted(spaces, end)
+        word_end = int(spaces[after]) if after < len(spaces) else len(data)
+        yield _encode(data[start:word_end], np.array([0, end - start]), word_end - end, start > 0 and not SPACES[data[start - 1]])[0]
+
+
+def _encode(data: np.ndarray, offsets: np.ndarray, tail: int = 0, in_word: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """`tail` bytes after the last offset only complete its last word; with `in_word` the first
+    bytes continue a word counted before."""
+    whole, data = data, data[: len(data) - tail]
     sizes = np.diff(offsets)
-    step = np.maximum(PASSAGE, -(-sizes // MOST))
-    n = np.maximum(1, -(-sizes // step))
+    n = np.maximum(1, -(-sizes // PASSAGE))
     first = np.cumsum(n) - n
-    row = np.repeat(np.arange(len(texts)), n)
+    row = np.repeat(np.arange(len(sizes)), n)
     out = np.zeros((len(row), WIDTH), np.float32)
     if len(data):
-        text_row = np.repeat(np.arange(len(texts)), sizes)
-        passage = first[text_row] + (np.arange(len(data)) - offsets[text_row]) // step[text_row]
+        text_row = np.repeat(np.arange(len(sizes)), sizes)
+        passage = first[text_row] + (np.arange(len(data)) - offsets[text_row]) // PASSAGE
         kind = CLASS_OF[data]
         inside = passage[1:] == passage[:-1]
         bins = passage[:-1][inside] * CLASSES**2 + kind[:-1][inside] * CLASSES + kind[1:][inside]
         counts = np.bincount(bins, minlength=len(row) * CLASSES**2).reshape(len(row), -1)
         # Short passages say little: 16 unseen pairs stand beside those that were seen.
         out[:, : CLASSES**2] = np.sqrt(counts / (counts.sum(axis=1, keepdims=True) + 16))
-        starts, ends, _ = word_spans(data, offsets)
+        starts, ends, _ = word_spans(whole, np.append(offsets[:-1], len(whole)))
+        mine = (starts < len(data)) & ((starts > 0) | (not in_word))
+        starts, ends = starts[mine], ends[mine]
         if len(starts):
-            word, at = RollingHash(data, 41)(starts, ends), passage[starts]
+            word, at = RollingHash(whole, 41)(starts, ends), passage[starts]
             words = np.bincount(at, minlength=len(row))
             again = np.bincount(at[1:], weights=(word[1:] == word[:-1]) & (at[1:] == at[:-1]), minlength=len(row))
             distinct = np.unique(mix(word + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
@@ -135,8 +156,38 @@ class GatedAttention:
         return self
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x, row = encode_passages(texts)
-        return self.forward((x - self.mean) / self.scale, row)["p"] if len(texts) else np.zeros(0)
+        """All passages count. A text of more than a block's characters is read by blocks, with
+        running attention sums; the others go together, about a block's characters at a time."""
+        out = np.zeros(len(texts))
+        sizes = np.array([len(t or "") for t in texts], np.int64)
+        for i in np.flatnonzero(sizes > BLOCK * PASSAGE):
+            out[i] = self._long(texts[i])
+        short = np.flatnonzero(sizes <= BLOCK * PASSAGE)
+        group = np.cumsum(sizes[short] + PASSAGE) // (BLOCK * PASSAGE)
+        for at in np.split(short, np.flatnonzero(np.diff(group)) + 1):
+            if len(at):
+                x, row = encode_passages([texts[i] for i in at])
+                out[at] = self.forward((x - self.mean) / self.scale, row)["p"]
+        return out
+
+    def _long(self, text: str) -> float:
+        w, top, total, z = self.w, -np.inf, 0.0, np.zeros(len(self.w["c"]))
+        for x in passage_blocks(text):
+            h = np.tanh((x - self.mean) / self.scale @ w["W"] + w["b"])
+            e = (np.tanh(h @ w["V"] + w["bv"]) * _sigmoid(h @ w["U"] + w["bu"])) @ w["a"]
+            higher = max(top, e.max())
+            share, fade = np.exp(e - higher), np.exp(top - higher)
+            top, total, z = higher, total * fade + share.sum(), z * fade + share @ h
+        return float(_sigmoid(z / total @ w["c"] + w["d"])[0])
+
+
+def sampled(key: str, text: str | None) -> Iterator[np.ndarray]:
+    """The features of at most MOST passages of a text, by the least hash of key and number."""
+    n = max(1, -(-len((text or "").encode("utf-8", "replace")) // PASSAGE))
+    order = mix(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(zlib.crc32(key.encode())))
+    chosen = np.sort(np.argsort(order, kind="stable")[:MOST])
+    for i, x in enumerate(passage_blocks(text) if text else [encode_passages([text])[0]]):
+        yield x[chosen[(chosen >= i * BLOCK) & (chosen < (i + 1) * BLOCK)] - i * BLOCK]
 
 
 def held_out(key: str = "doc_id"):
@@ -161,9 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
-                x, row = encode_passages(texts)
-                cuts = np.searchsorted(row, np.arange(len(texts) + 1))
-                packed = [x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+                packed = [b"".join(x.tobytes() for x in sampled(k, t)) for k, t in zip(part.column("key").cast(pa.string()).to_pylist(), texts)]
                 yield pa.RecordBatch.from_arrays([part.column("key").cast(pa.string()), part.column("label"), pa.array(packed, pa.binary())], names=["key", "label", "passages"])
 
     found = sorted({r["key"]: (r["key"], r["label"], bytes(r["passages"])) for r in rows.mapInArrow(run, "key string, label int, passages binary").collect()}.values())

@@ -52,6 +52,21 @@ def test_learns_and_holds_out(spark, documents, odd_rows):
     assert classifier.score(documents([]), model).count() == 0
 
 
+def test_long_texts_have_passages_of_512_bytes(monkeypatch):
+    rng = random.Random(7)
+    text = " ".join("".join(rng.choice("abcdeé#.7") for _ in range(rng.randint(1, 30))) for _ in range(6000)) + "y" * 3000
+    size = len(text.encode())
+    x, row = classifier.encode_passages(["short", text, None])
+    assert row.tolist() == [0, *[1] * -(-size // 512), 2]
+    model = classifier.GatedAttention()
+    whole = model.scores([text, "short", None])
+    monkeypatch.setattr(classifier, "BLOCK", 7)
+    assert np.array_equal(np.concatenate(list(classifier.passage_blocks(text))), x[1:-1])
+    assert np.allclose(model.scores([text, "short", None]), whole, atol=1e-9)
+    some = np.concatenate(list(classifier.sampled("k", text)))
+    assert len(some) == classifier.MOST and {r.tobytes() for r in some} <= {r.tobytes() for r in x[1:-1]}
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secret_scan.train(secret_scan.labelled_findings(spark))
