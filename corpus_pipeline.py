@@ -48,7 +48,7 @@ STAGES = [
     ("secret scans", secrets),
     ("packing", pack_sequences),
 ]
-#: No SQL expresses the stages; tests hold them against brute force.
+#: No SQL expresses the stages; tests/llm/test_pipeline.py holds run() against loops.
 ORACLE_SQL = None
 
 
