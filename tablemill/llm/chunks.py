@@ -15,10 +15,29 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import RollingHash, slices, text_bytes
-from tablemill.llm.suffix import _keyed, _packed
+from tablemill.llm.common import RollingHash, content_id, slices, text_bytes
 from tablemill.storage import stash
 
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows by (k, t): the key, and a content id that tells rows with equal or null keys apart."""
+    kind = docs.schema[key].dataType
+    marked = F.concat(F.col(key).isNull().cast("string"), F.coalesce(F.col(text), F.lit("")))
+    return docs.select(F.coalesce(F.col(key), F.lit("0").cast(kind)).alias("k"), content_id(marked).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def _packed(keyed: DataFrame) -> DataFrame:
+    """(k, t, packed): texts compressed before they are shuffled; repeated rows once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [squeeze.compress(x.encode("utf-8", "replace")) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), pa.array(packed, pa.binary())], names=["k", "t", "packed"])
+
+    kind = keyed.schema["k"].dataType.simpleString()
+    return keyed.mapInArrow(run, f"k {kind}, t binary, packed binary")
+
+
 LEAST, BITS, MOST = 24, 5, 512
 #: Repeated chunks are removed in runs of at least so many bytes: shorter ones are common phrases.
 RUN = 96
@@ -90,7 +109,7 @@ def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 yield pa.RecordBatch.from_arrays([part.column("k").take(index), part.column("t").take(index), *numbers, *map(pa.array, digests)], names=["k", "t", "nth", "start", "size", "d1", "d2"])
 
     kind = keyed.schema["k"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"k {kind}, t int, nth int, start int, size int, d1 long, d2 long")
+    return keyed.mapInArrow(run, f"k {kind}, t binary, nth int, start int, size int, d1 long, d2 long")
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least_run: int = RUN) -> DataFrame:
@@ -132,7 +151,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     full = F.coalesce(F.col("text"), F.lit(""))
     kind = docs.schema[key].dataType
     light = docs.select(F.col(key).alias("given"), F.col(text).alias("text")).select(
-        "given", F.coalesce("given", F.lit("0").cast(kind)).alias("k"), F.hash(full, F.col("given").isNull()).alias("t"),
+        "given", F.coalesce("given", F.lit("0").cast(kind)).alias("k"), content_id(F.concat(F.col("given").isNull().cast("string"), full)).alias("t"),
         F.octet_length(full).cast("long").alias("n_bytes"), F.sha2(full, 256).alias("whole"),
     )
     once = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
@@ -153,7 +172,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
                 spans.append(len(ranges))
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["k", "t", "n_removed", "n_spans", "kept"])
 
-    done = texts.mapInArrow(run, f"k {kind.simpleString()}, t int, n_removed long, n_spans long, kept binary")
+    done = texts.mapInArrow(run, f"k {kind.simpleString()}, t binary, n_removed long, n_spans long, kept binary")
     done = done.select("k", "t", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
     return light.join(done, ["k", "t"], "left").select(
         F.col("given").alias(key), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
