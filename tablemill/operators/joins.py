@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from tablemill.operators.filters import within_band
 
 
+def band_neighbours(rows: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:
+    """(a_id, b_id): as band_pairs, but a row with a null value, which is within reach of every
+    row, is given once, with a null b_id, instead of a pair with each: the table grows with the
+    rows and the near pairs, and a reader that wants the pairs of one such row joins them."""
+    near = band_pairs(rows.where(F.col(value).isNotNull()), key, value, tolerance)
+    every = rows.where(F.col(value).isNull() & F.col(key).isNotNull())
+    return near.unionByName(every.select(F.col(key).alias("a_id"), F.lit(None).cast(rows.schema[key].dataType).alias("b_id")))
+
+
 def band_pairs(rows: DataFrame, key: str, value: str, tolerance: float, fresh: DataFrame | None = None) -> DataFrame:
     """(a_id, b_id): pairs of keys whose values are within `tolerance`, by an equi-join on buckets.
 
@@ -55,6 +64,22 @@ def match_cardinality(left: DataFrame, right: DataFrame, key: str, left_id: str,
     )
 
 
+def match_status(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str) -> DataFrame:
+    """(left_id, n_matches, match, single): how many rows of `right` a left row's key meets, and
+    which one it is where there is one. No list travels; see match_members."""
+    met = right.groupBy(key).agg(F.count("*").alias("n_matches"), F.min(right_id).alias("_least"))
+    rows = left.select(left_id, key).join(met, key, "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
+    match = F.when(F.col("n_matches") == 0, "none").when(F.col("n_matches") == 1, "pending").otherwise("ambiguous")
+    return rows.select(left_id, "n_matches", match.alias("match"), F.when(F.col("n_matches") == 1, F.col("_least")).alias("single"))
+
+
+def match_members(right: DataFrame, key: str, right_id: str) -> DataFrame:
+    """(key, right_id): the candidates of every ambiguous key, once per key and not per left row,
+    as rows, so that a key of very many candidates is no large value."""
+    several = right.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    return right.join(several, key, "left_semi").select(key, right_id)
+
+
 def snapshot_diff(listing: DataFrame, stored: DataFrame, key: str, compared: list[str], removable: Column | None = None) -> DataFrame:
     """(key, change): added, updated, unchanged or removed for every key of either side.
 
@@ -74,8 +99,11 @@ def snapshot_diff(listing: DataFrame, stored: DataFrame, key: str, compared: lis
 
 
 def prefer(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
-    """The first row of each key by `order`; the order must end in a unique column."""
-    from pyspark.sql import Window
-
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    return ranked.where("_rank = 1").drop("_rank")
+    """The row of each key with the least `order` (ascending expressions, nulls first; numbers
+    are negated to prefer great ones); the order must end in a unique column.
+
+    An aggregate, so each task sends one row a key, however many rows a key has."""
+    others = [c for c in rows.columns if c not in key]
+    ranks = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))
+    best = rows.groupBy(*key).agg(F.min_by(F.struct(*others), ranks).alias("_best"))
+    return best.select(*key, "_best.*").select(*rows.columns)

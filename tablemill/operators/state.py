@@ -13,7 +13,7 @@ DERIVED_BY_CONTENT = ["analyzed_at", "fingerprint", "fingerprint_ver", "report_j
 def upsert_files(tracks: DataFrame, listing: DataFrame) -> DataFrame:
     """Tracks after a listing (path, size_bytes, mtime): new paths come in as pending, unchanged
     ones stay, changed ones become pending and lose what was derived from their content, but not
-    the verdict. Ids of new rows follow the largest, by path."""
+    the verdict. Ids of new rows follow the largest, in an order fixed by the path."""
     new = listing.select(F.col("path").alias("_path"), F.col("size_bytes").alias("_size"), F.col("mtime").alias("_mtime"))
     met = tracks.join(new, tracks["path"] == F.col("_path"), "left")
     changed = F.col("_path").isNotNull() & ~(F.col("size_bytes").eqNullSafe(F.col("_size")) & F.col("mtime").eqNullSafe(F.col("_mtime")))
@@ -96,8 +96,8 @@ def advance_syncs(syncs: DataFrame, requests: DataFrame, key: str) -> DataFrame:
 
 
 def latest_per_key(rows: DataFrame, key: list[str], at: str) -> DataFrame:
-    """The newest row of each key; ties by all columns."""
-    return joins.prefer(rows, key, F.desc(at), *map(F.col, sorted(set(rows.columns) - {*key, at})))
+    """The newest row of each key by the timestamp `at`; ties by all columns."""
+    return joins.prefer(rows, key, -F.unix_micros(F.col(at).cast("timestamp")), *map(F.col, sorted(set(rows.columns) - {*key, at})))
 
 
 def find_or_create(rows: DataFrame, dimension: DataFrame, name: str, dim_id: str, dim_name: str) -> tuple[DataFrame, DataFrame]:

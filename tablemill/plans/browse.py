@@ -12,9 +12,12 @@ from tablemill.plans.base import query
 from tablemill.storage import table
 
 
-def genres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(o_orderkey, genre, ord): each order's part types, the first line number of each."""
+def genres(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """(o_orderkey, genre, ord): each order's part types, the first line number of each; of all
+    orders or of the given ones, to which line items are cut before they are aggregated."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    if orders is not None:
+        lines = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("genre"))
     return lines.join(parts, "l_partkey").groupBy(F.col("l_orderkey").alias("o_orderkey"), "genre").agg(F.min("l_linenumber").alias("ord"))
 
@@ -24,15 +27,15 @@ def browse(spark: SparkSession, sf_dir: str, folder: str | None = None, needle:
     by AND. The genre filter keeps every genre of the tracks that have it."""
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
-    listed = genres(spark, sf_dir)
     rows = orders.where(filters.all_of(F.col("o_orderstatus").isin(*status), filters.optional_equals(F.col("o_orderpriority"), folder)))
     rows = rows.join(customers, "o_custkey", "left")
     search = filters.contains_any(needle, F.col("c_name"), F.col("c_mktsegment"))
     rows = rows.where(filters.all_of(search))
+    lists = genres(spark, sf_dir, rows).groupBy("o_orderkey").agg(aggregates.ordered_list(F.struct("ord", "genre"), "genre").alias("listed"))
     if genre is not None:
-        rows = rows.join(listed.where(F.col("genre") == genre), "o_orderkey", "left_semi")
-    lists = listed.groupBy("o_orderkey").agg(F.array_join(aggregates.ordered_list(F.struct("ord", "genre"), "genre"), ", ").alias("genres"))
-    return rows.join(lists, "o_orderkey", "left").select("o_orderkey", "c_name", "o_orderpriority", F.round("o_totalprice", 2).alias("price"), "genres")
+        lists = lists.where(F.array_contains("listed", genre))
+    lists = lists.select("o_orderkey", F.array_join("listed", ", ").alias("genres"))
+    return rows.join(lists, "o_orderkey", "left" if genre is None else "inner").select("o_orderkey", "c_name", "o_orderpriority", F.round("o_totalprice", 2).alias("price"), "genres")
 
 
 GENRES_SQL = """
@@ -100,7 +103,7 @@ def anti_unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id")).union(bare.select(F.lit("order"), "o_orderkey"))
 
 
-@query("AG8 AG10 FS27 SO4 SC2", """
+@query("AG8 AG10 FS27 SO4", """
 with f as (select case when upper(split_part(source || '/' || doc_id || case doc_id % 4 when 0 then '.AIF' when 1 then '.jpeg' when 2 then '.wav' else '' end, '/', 1)) = 'SRC0' then 'SRC0' else '' end as x,
   doc_id, n_chars from documents)
 select case doc_id % 4 when 0 then '.aiff' when 1 then '.jpg' when 2 then '.wav' else '(sans extension)' end as bucket,
@@ -158,7 +161,7 @@ def analysis_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", filters.needs_analysis(*args, 1).alias("needs"), filters.to_reanalyse(status, *args, 1).alias("again"), filters.versioned(args[0], args[1], 1).alias("shown"))
 
 
-@query("PF19 SC13 FJ2", """
+@query("PF19 FJ2", """
 select event_id, (json_extract_string(props, '$.k'))::bigint as k from events
 where json_extract_string(props, '$.k') is not null and json_extract_string(props, '$.missing') is null and (json_extract_string(props, '$.k'))::bigint > 90""")
 def json_path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

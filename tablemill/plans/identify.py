@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablemill.functions import dirty_names, scoring, text
 from tablemill.operators import joins
+from tablemill.operators.filters import normal_path
 from tablemill.plans.base import query
 from tablemill.storage import table
 
@@ -74,6 +75,10 @@ def dirty_name_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", dirty.alias("stem"), found.alias("f")).select("p_partkey", "stem", "f.artist", "f.title", "f.version", F.array_join("f.queries", " | ").alias("queries"))
 
 
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", normal_path(F.regexp_extract("url", "://[^/]+(/[^?#]*)", 1)).alias("k"))
+
+
 PATH_SQL = r"lower(replace(trim(regexp_extract(url, '://[^/]+(/[^?#]*)', 1)), '\', '/'))"
 
 
@@ -82,13 +87,32 @@ with l as (select page_id, {PATH_SQL} as k from pages), r as (select page_id as
 select l.page_id, count(content_id)::bigint as n_matches, case count(content_id) when 0 then 'none' when 1 then 'pending' else 'ambiguous' end as match,
   string_agg(content_id, ',' order by content_id) as candidates from l left join r using (k) group by 1""")
 def match_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tablemill.operators.filters import normal_path
-
-    left = table(spark, sf_dir, "pages").select("page_id", normal_path(F.regexp_extract("url", "://[^/]+(/[^?#]*)", 1)).alias("k"))
+    """With the candidates listed in every row, as its SQL has them; match_status and
+    match_members keep them once per key."""
+    left = paths(spark, sf_dir)
     right = left.where("page_id % 3 = 0").select(F.col("page_id").alias("content_id"), "k")
     return joins.match_cardinality(left, right, "k", "page_id", "content_id", "content_id")
 
 
+@query("JN14 JN15 JN16 JN17 PF17 PF18", f"""
+with l as (select page_id, {PATH_SQL} as k from pages), r as (select page_id as content_id, k from l where page_id % 3 = 0)
+select l.page_id, count(content_id)::bigint as n_matches, case count(content_id) when 0 then 'none' when 1 then 'pending' else 'ambiguous' end as match,
+  case when count(content_id) = 1 then min(content_id) end as single from l left join r using (k) group by 1""")
+def match_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As match_cardinality, without a copy of each candidate list for every row."""
+    left = paths(spark, sf_dir)
+    right = left.where("page_id % 3 = 0").select(F.col("page_id").alias("content_id"), "k")
+    return joins.match_status(left, right, "k", "page_id", "content_id")
+
+
+@query("JN17 PF18", f"""
+with r as (select page_id as content_id, {PATH_SQL} as k from pages where page_id % 3 = 0)
+select k, content_id from r where k in (select k from r group by 1 having count(*) > 1)""")
+def match_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    right = paths(spark, sf_dir).where("page_id % 3 = 0").select(F.col("page_id").alias("content_id"), "k")
+    return joins.match_members(right, "k", "content_id")
+
+
 CANDIDATES_SQL = """
 select p_partkey, p_brand, p_size, p_name || case p_partkey % 7 when 0 then ' (Remix)' when 1 then ' dub dub' when 2 then ' Original Mix' else '' end as track,
   case p_partkey % 5 when 0 then 'Vinyl, 12", EP' when 1 then 'CD, Compilation' when 2 then 'Vinyl, Single' when 3 then 'File, Mixed, Compilation' else null end as formats from part"""
@@ -111,10 +135,9 @@ def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(
         "p_brand", "p_partkey", "p_size", scoring.track_score(track, F.lit("Red Widget"), F.lit("(Dub)")).cast("long").alias("score"), scoring.format_relevance(formats).cast("long").alias("relevance"),
     )
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("score"), F.desc("relevance"), "p_size", "p_partkey")).cast("long")
-    return rows.withColumn("rank", rank).where("rank <= 6").select("p_brand", "p_partkey", "score", "relevance", "rank")
+    # A limit right over the window lets every task send six rows of a brand.
+    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("score"), F.desc("relevance"), "p_size", "p_partkey"))
+    return rows.withColumn("rank", rank).where("rank <= 6").select("p_brand", "p_partkey", "score", "relevance", F.col("rank").cast("long").alias("rank"))
 
 
 @query("FX5 ST4", """
@@ -125,4 +148,4 @@ def attempt_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first attempt with a good score wins, else the fullest list."""
     tries = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("attempt")).agg(F.max("value").alias("best"), F.count("*").alias("n"))
     good = F.col("best") > 200
-    return joins.prefer(tries, ["user_id"], good.cast("int").desc(), F.when(good, F.col("attempt")), F.desc("n"), F.col("attempt")).select("user_id", "attempt")
+    return joins.prefer(tries, ["user_id"], -good.cast("int"), F.when(good, F.col("attempt")), -F.col("n"), F.col("attempt")).select("user_id", "attempt")

@@ -49,7 +49,7 @@ def batch_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WN2 SO6 JN23", """
 select event_id % 97 as track_id, max(event_id)::bigint as id, arg_max(event_type, event_id) as type from events where value >= 5 group by 1""")
 def latest_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.prefer(actions(spark, sf_dir).where("not undone"), ["track_id"], F.desc("id")).select("track_id", "id", "type")
+    return joins.prefer(actions(spark, sf_dir).where("not undone").select("track_id", "id", "type"), ["track_id"], -F.col("id")).select("track_id", "id", "type")
 
 
 @query("AG7 JN9 ST1 PF11 SK15 SM6", """

@@ -13,7 +13,7 @@ STORED_SQL = "select doc_id, n_chars as size_bytes, case when doc_id % 7 = 0 the
 LISTED_SQL = "select doc_id, case when doc_id % 11 = 0 then n_chars + 1 else n_chars end as size_bytes from documents where doc_id % 6 <> 0"
 
 
-@query("JN18 ST2 SM3 SC1 SC16", f"""
+@query("JN18 ST2 SM3", f"""
 with s as ({STORED_SQL}), l as ({LISTED_SQL})
 select coalesce(s.doc_id, l.doc_id) as doc_id, case when s.doc_id is null then 'added' when l.doc_id is null and status = 'pending' then 'removed' when l.doc_id is null then 'kept'
   when s.size_bytes = l.size_bytes then 'unchanged' else 'updated' end as change from l full join s on s.doc_id = l.doc_id""")
@@ -24,7 +24,7 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.snapshot_diff(listed, stored, "doc_id", ["size_bytes"], F.col("status") == "pending")
 
 
-@query("SK1 SK29 AG39 SC12", """
+@query("SK1 SK29 AG39", """
 with t as (select o_orderkey as id, 'p' || o_orderkey as path, o_custkey as size_bytes, 'filed' as status, 'ok' as verdict, 'r' as report_json from orders where o_orderkey % 3 <> 0),
 l as (select 'p' || o_orderkey as path, case when o_orderkey % 7 = 0 then o_custkey + 1 else o_custkey end as size_bytes from orders where o_orderkey % 2 = 0)
 select t.path, coalesce(l.size_bytes, t.size_bytes)::bigint as size_bytes, case when l.size_bytes <> t.size_bytes then 'pending' else status end as status, verdict,
@@ -42,7 +42,7 @@ def upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.upsert_files(tracks, listing).select("path", "size_bytes", "status", "verdict", "report_json")
 
 
-@query("AG39 SK17 JN19", """
+@query("AG39 JN19", """
 with f as (select distinct lower(trim(p_name)) as name from part where lower(trim(p_name)) not in (select lower(s_name) from supplier))
 select count(*)::bigint as n, min(id)::bigint as low, max(id)::bigint as high, count(distinct id)::bigint as distinct_ids from (
   select (select max(s_suppkey) from supplier) + row_number() over (order by name) as id from f)""")
@@ -84,7 +84,7 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.unique_names(rows, taken, "p_name", "ext", "p_partkey").select("p_partkey", "name")
 
 
-@query("SK24 SK18", """
+@query("SK24", """
 select s_suppkey, case when status = 'ambiguous' and wanted = 'pending' and list_contains(string_split(candidates, ','), (s_suppkey % 7)::varchar) then 'pending'
   when status in ('pending', 'ambiguous') and wanted = 'dismissed' then 'dismissed' else status end as status,
   case when status = 'ambiguous' and wanted = 'pending' and list_contains(string_split(candidates, ','), (s_suppkey % 7)::varchar) then (s_suppkey % 7)::varchar else candidates end as candidates
@@ -102,7 +102,7 @@ def sync_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 select user_id, event_type, max(event_id)::bigint as event_id, round(arg_max(value, (ts, event_id)), 2) as value from events group by 1, 2""")
 def latest_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", "ts")
-    return joins.prefer(rows, ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "event_id", F.round("value", 2).alias("value"))
+    return joins.prefer(rows, ["user_id", "event_type"], -F.unix_micros(F.col("ts").cast("timestamp")), -F.col("event_id")).select("user_id", "event_type", "event_id", F.round("value", 2).alias("value"))
 
 
 @query("SK27 PF17 FS28", """
