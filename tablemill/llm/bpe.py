@@ -20,12 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import RollingHash, slices
+from tablemill.llm.common import SPACES, RollingHash, column_bytes, mix, slices, text_bytes
 
-#: Separators of str.split() that the vocabulary's normaliser takes for ordinary characters.
-ODD_SPACES = "\x1c\x1d\x1e\x1f"
-ORDINARY_SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-CACHE_CHUNKS = 800_000
+# UTF-8 of the white space beyond ASCII that separates words.
+WIDE_SPACES = [
+    b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", *(bytes([0xE2, 0x80, x]) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\xe2\x81\x9f", b"\xe3\x80\x80",
+]
+CACHE_CHUNKS = 1 << 20
 TAILS = ".,!?#*$%&;:|-"
 STOPS, CLOSERS = ".!?…", "\"')]»”’"
 SEED = 11
@@ -41,22 +42,27 @@ def byte_letters() -> list[str]:
 
 
 class Table:
-    """A fixed map from 64-bit keys to integers, looked up for whole arrays (missing: -1)."""
+    """A map from 64-bit keys to integers with room for `most` entries, looked up for whole
+    arrays (missing: -1). Keys are added once each."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(4, int(np.ceil(np.log2(4 * len(keys) + 1)))))
+    def __init__(self, keys: np.ndarray, values: np.ndarray, most: int = 0, kind: type = np.int64):
+        self.shift = np.uint64(64 - max(4, int(np.ceil(np.log2(max(4 * len(keys), 2 * most, 1))))))
         slots = 1 << (64 - int(self.shift))
-        self.keys = np.zeros(slots + 64, np.uint64)
-        self.values = np.full(slots + 64, -1, np.int64)
-        left = np.arange(len(keys))
+        self.keys = np.zeros(slots + 256, np.uint64)
+        self.values = np.full(slots + 256, -1, kind)
         self.probes = 0
+        self.add(keys, values)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        left, probe = np.arange(len(keys)), 0
         while len(left):  # one entry a free slot and round; the others go one slot further
-            at = self.slot(keys[left]) + self.probes
+            at = self.slot(keys[left]) + probe
             _, first = np.unique(at, return_index=True)
             first = first[self.values[at[first]] < 0]
             self.keys[at[first]], self.values[at[first]] = keys[left[first]], values[left[first]]
             left = np.delete(left, first)
-            self.probes += 1
+            probe += 1
+        self.probes = max(self.probes, probe)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -76,6 +82,28 @@ class Table:
         return out.reshape(given.shape)
 
 
+def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row numbers of the white-space-free stretches of UTF-8 texts end to end."""
+    space = SPACES[data]
+    leads = np.flatnonzero((data == 0xC2) | (data - np.uint8(0xE1) <= 2))
+    if len(leads):
+        padded = np.append(data, np.zeros(2, np.uint8))
+        for wide in WIDE_SPACES:
+            at = leads[padded[leads] == wide[0]]
+            for step in range(1, len(wide)):
+                at = at[padded[at + step] == wide[step]]
+            for step in range(len(wide)):
+                space[at + step] = True
+    # A gap before every text parts the last stretch of one from the first of the next.
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    left, right = np.ones(len(data) + 1, bool), np.ones(len(data) + 1, bool)
+    left[1:], right[:-1] = space, space
+    starts = np.flatnonzero(~right & (left | edge))
+    ends = np.flatnonzero(~left & (right | edge))
+    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
 class WordBpe:
     """Encoder of a lower-casing BPE vocabulary with word ends, with a bounded cache of chunks
     (white-space-free stretches of text). Ids of merged tokens must rise with merge rank."""
@@ -126,10 +154,12 @@ class WordBpe:
         starts = np.concatenate([[0], ends[:-1]])
         return Table(RollingHash(data, SEED)(starts, ends), np.array(list(tokens.values())))
 
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
+    def clear(self, chunks: int = 0) -> None:
+        none = np.zeros(0, np.uint64)
+        self.index, self.known = Table(none, none, 2 * max(CACHE_CHUNKS, chunks), np.int32), 0
         self.starts = np.zeros(1 << 16, np.int64)
         self.counts = np.zeros(1 << 16, np.int32)
+        self.marks = np.zeros(1 << 16, np.int64)
         self.ends_sentence = np.zeros(1 << 16, bool)
         self.flat = np.zeros(1 << 18, np.int32)
         self.used = 0
@@ -301,12 +331,13 @@ class WordBpe:
                 out += self.words.findall(self.normal(part))
         return out
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: list[str], marks: np.ndarray) -> None:
+        """Encode new chunks and keep them under the numbers that follow the known ones."""
         words: list[str] = []
         fixed: dict[int, int] = {}
         counts = []
-        for chunk in chunks:
-            low = self.normal(chunk)
+        # Lower case of all chunks at once: no chunk holds a line feed.
+        for chunk, low in zip(chunks, self.normal("\n".join(chunks)).split("\n")):
             if low.isalpha():
                 words.append(low)
                 counts.append(1)
@@ -329,47 +360,63 @@ class WordBpe:
             flat[ends[at]] = special
         stops = ends[np.cumsum(counts)]
         counts = np.diff(np.concatenate([[0], stops]))
-        first, n = len(self.index), len(chunks)
+        first, n = self.known, len(chunks)
         while first + n > len(self.starts):
-            self.starts, self.counts, self.ends_sentence = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts, self.ends_sentence))
+            for name in ("starts", "counts", "marks", "ends_sentence"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(flat)] = flat
         self.starts[first : first + n] = self.used + stops - counts
         self.counts[first : first + n] = counts
+        self.marks[first : first + n] = marks
         self.ends_sentence[first : first + n] = [c[-1] in STOPS or c[-1] in CLOSERS and c.rstrip(CLOSERS)[-1:] in (*STOPS,) for c in chunks]
         self.used += len(flat)
-        self.index.update(zip(chunks, range(first, first + n)))
-
-    @staticmethod
-    def split(text: str) -> list[str]:
-        if any(c in text for c in ODD_SPACES):
-            return [c for c in ORDINARY_SPACES.split(text) if c]
-        return text.split()
+        self.known += n
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The cache's number of every chunk; unknown ones are learnt. A chunk is known by its
+        hash, and by its length and the sum of its bytes: if these differ, its next hash is tried."""
+        keys = RollingHash(data, SEED + 1)(starts, ends)
+        sums = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
+        marks = (sums[ends] - sums[starts]) << 24 | np.minimum(ends - starts, (1 << 24) - 1)
+        at = self.index(keys).astype(np.int64)
+        left = np.arange(len(keys))
+        while True:
+            unknown = left[at[left] < 0]
+            if len(unknown):
+                fresh, first = np.unique(keys[unknown], return_index=True)
+                first = unknown[first]
+                raw = data.tobytes()
+                chunks = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+                self.index.add(fresh, np.arange(self.known, self.known + len(fresh)))
+                self.learn(chunks, marks[first])
+                at[unknown] = self.index(keys[unknown])
+            left = left[self.marks[at[left]] != marks[left]]
+            if not len(left):
+                return at
+            keys[left] = mix(keys[left] + np.uint64(1))
+            at[left] = self.index(keys[left])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids end to end, the offsets of each text, and for each id whether a sentence ends after it."""
-        chunks: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = self.split(text)
-            counts[i] = len(own)
-            chunks += own
-        if new := set(chunks).difference(self.index):
-            if len(self.index) + len(new) > CACHE_CHUNKS:
-                self.clear()
-                new = set(chunks)
-            self.learn(list(new))
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        return self.encode_bytes(*text_bytes(texts))
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for UTF-8 texts laid end to end."""
+        starts, ends, row = chunk_spans(data, offsets)
+        if self.known + len(starts) > 2 * CACHE_CHUNKS or self.known > CACHE_CHUNKS:
+            self.clear(len(starts))
+        at = self.numbers(data, starts, ends)
         lengths = self.counts[at].astype(np.int64)
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.arange(total) + np.repeat(self.starts[at] - (ends - lengths), lengths)]
-        offsets = np.zeros(len(texts) + 1, np.int64)
-        offsets[1:] = np.concatenate([[0], ends])[np.cumsum(counts)]
+        out = np.zeros(len(offsets), np.int64)
+        out[1:] = np.concatenate([[0], ends])[np.searchsorted(row, np.arange(1, len(offsets)), side="left")]
         stops = np.zeros(total, bool)
         stops[ends[self.ends_sentence[at] & (lengths > 0)] - 1] = True
-        return ids, offsets, stops
+        return ids, out, stops
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens' strings joined by spaces, as the library does without a decoder."""
@@ -403,7 +450,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
         bpe = codec(spec.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, offsets, _ = bpe.encode([t or "" for t in part.column("text").to_pylist()])
+                ids, offsets, _ = bpe.encode_bytes(*column_bytes(part.column("text")))
                 decoded = [bpe.decode(ids[a:b]) for a, b in zip(offsets, offsets[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("key"), lists, pa.array(decoded, pa.string())], names=[key, "ids", "decoded"])
