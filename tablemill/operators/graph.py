@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.storage import stash
+from tablemill.storage import scratch, stash
 
 
 def components(edges: DataFrame, a: str = "a_id", b: str = "b_id", max_rounds: int = 60) -> DataFrame:
@@ -15,21 +15,23 @@ def components(edges: DataFrame, a: str = "a_id", b: str = "b_id", max_rounds: i
     so a vertex with very many edges costs one row a task) and then jumps to that label's own
     label, which halves long chains. Only the number of changed rows comes to the driver.
     Null ends are dropped, self-edges keep their vertex, no edges give no rows."""
-    pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna().distinct()
-    both = stash(pairs.union(pairs.select("y", "x")).distinct(), "edges")
-    labels = stash(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = (
-            both.join(labels.select(F.col("id").alias("y"), F.col("component").alias("c")), "y")
-            .groupBy(F.col("x").alias("id")).agg(F.min("c").alias("c"))
-        )
-        hop = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "c").alias("c"))
-        jump = labels.select(F.col("id").alias("c"), F.col("component").alias("far"))
-        moved = stash(
-            hop.join(jump, "c", "left").select("id", "old", F.least("c", "far").alias("component")), "moved"
-        )
-        changed = moved.where("old <> component").limit(1).count()
-        labels = moved.select("id", "component")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    with scratch(edges.sparkSession) as keep:
+        pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna().distinct()
+        both = stash(pairs.union(pairs.select("y", "x")).distinct(), "edges")
+        labels = both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("component"))
+        labels = keep(labels, "labels")
+        for _ in range(max_rounds):
+            near = (
+                both.join(labels.select(F.col("id").alias("y"), F.col("component").alias("c")), "y")
+                .groupBy(F.col("x").alias("id")).agg(F.min("c").alias("c"))
+            )
+            hop = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "c").alias("c"))
+            jump = labels.select(F.col("id").alias("c"), F.col("component").alias("far"))
+            moved = keep(
+                hop.join(jump, "c", "left").select("id", "old", F.least("c", "far").alias("component")), "moved"
+            )
+            changed = moved.where("old <> component").limit(1).count()
+            labels = moved.select("id", "component")
+            if not changed:
+                return labels
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")

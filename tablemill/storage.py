@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open = threading.local()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of the input folder; any path Spark can read."""
@@ -14,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where none is set (tests), a temporary folder."""
+    """The cluster's spark.checkpoint.dir. Where none is set, a local master gets a temporary
+    folder; a cluster, whose machines share no such folder, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = java.get() if java.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tablemill-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -27,15 +35,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage is cut and lost
-    executors cost nothing, since every later read finds the files. Returns the same rows."""
+    executors cost nothing, since every later read finds the files. Returns the same rows.
+    Inside `scratch` the table is deleted when the block ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tablemill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if getattr(_open, "made", None):
+        _open.made[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose stashes are deleted when it ends, but for those made with the function that
+    it gives: what the block returns may read only these. Blocks nest: a kept table belongs to
+    the block around."""
+    if not hasattr(_open, "made"):
+        _open.made = []
+    _open.made.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stash(df, name)
+        kept.append(_open.made[-1].pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in _open.made.pop():
+            _delete(spark, path)
+        if _open.made:
+            _open.made[-1].extend(kept)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def clear_stashes(spark: SparkSession) -> None:
     """Delete every stash of the shared folder; only when no result that reads one is needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tablemill")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/tablemill")
