@@ -18,19 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import RollingHash, mix, powers, slices, text_bytes, word_spans
+from tablemill.llm.common import RollingHash, content_id, free_name, join_groups, mix, powers, slices, text_bytes, word_spans
 from tablemill.operators.graph import components
-from tablemill.storage import stash
+from tablemill.storage import scratch, stash
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
-#: Members of a bucket that its centre left open are compared if this share of all coordinates
-#: agrees. At similarity 0.8 and 100 coordinates 1 pair in 8,000 falls below; bands alone miss
-#: 1 in 2,800.
-AGREEMENT = 0.65
 #: So many further members of each open bucket are compared with the others before all that are
 #: left: most links are found by them, at one comparison a member.
 PIVOTS = 2
+#: Members of a bucket are compared with each other in blocks of about so many.
+DEAL = 256
 _ONE = 1 << 30  # ranks are fixed-point, so that sums don't depend on their order
 
 
@@ -124,9 +122,8 @@ def _land(out: np.ndarray, elements: np.ndarray, rows: np.ndarray, share: np.nda
     np.minimum.at(out.reshape(-1), rows[at] * k + ((dart >> np.uint64(36)) % np.uint64(k)).astype(np.int64), value)
 
 
-def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """(id, h1, h2, bands, coordinates): a 128-bit hash of the text, one hash per band and eight
-    bits of each coordinate; both lists are null for texts without words."""
+def sketch(texts: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
+    """(v, bands) of (v, text): one hash per band of the signature, null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,151 +135,193 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int
                 for j in range(rows):
                     band = mix(band * np.uint64(0x2545F4914F6CDD1D) + signature[:, :, j] + np.uint64(j))
                 band = mix(band + np.arange(bands, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)).view(np.int64)
-                data, offsets = text_bytes(texts)
-                whole = [RollingHash(data, seed)(offsets[:-1], offsets[1:]).view(np.int64) for seed in (21, 22)]
                 there = np.bincount(row, minlength=len(texts)) > 0
                 starts = np.concatenate([[0], np.cumsum(there)]) * bands
-                eight = (signature.reshape(len(texts), -1) & np.uint64(0xFF)).astype(np.uint8).view(np.int8)
-                lists = [
-                    pa.ListArray.from_arrays(pa.array(starts * each, pa.int32()), pa.array(values[there].ravel()), mask=pa.array(~there))
-                    for values, each in ((band, 1), (eight, rows))
-                ]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, whole), *lists], names=["id", "h1", "h2", "bands", "coordinates"])
+                lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(band[there].ravel()), mask=pa.array(~there))
+                yield pa.RecordBatch.from_arrays([part.column("v"), lists], names=["v", "bands"])
 
-    given = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, h1 long, h2 long, bands array<long>, coordinates array<byte>")
+    return texts.select("v", "text").mapInArrow(run, "v binary, bands array<long>")
 
 
-def similarities(pairs: DataFrame, texts: DataFrame, words: int = WORDS, block: int = 256, detail: bool = False) -> DataFrame:
+def similarities(pairs: DataFrame, texts: DataFrame, words: int = WORDS, detail: bool = False) -> DataFrame:
     """(a, b, similarity): the exact Jaccard similarity of the word-run sets of each pair.
 
-    pairs (a, b); texts (id, text) with distinct ids. An id that stands in very many pairs is
-    dealt out in blocks, with a copy of its text for each. With `detail` come how many runs b
-    has (runs), how many of them a has too (common), and the others (extra)."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    left = many.join(texts.withColumnRenamed("id", "a"), "a").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = pairs.join(many, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    near = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = near.join(left.select("a", "block", F.col("text").alias("text_a")), ["a", "block"]).select("a", "b", "text_a", "text_b")
+    pairs (a, b) is a stored table of distinct pairs; texts (v, text) has distinct v. The pairs
+    of one `a` are dealt out in blocks of DEAL. A block is a stream of rows, first the text of
+    `a`, then those of its partners, so a text travels once a pair or block, and a task holds
+    one slice of texts and the runs of one `a`. With `detail` come how many runs b has (runs),
+    how many of them a has too (common), and the others (extra)."""
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / DEAL).cast("int"))
+    many = stash(many, "pairs-of-each")
+    dealt = join_groups(pairs, many, ["a"], pairs.count()).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    right = dealt.join(texts.withColumnRenamed("v", "b"), "b").select("a", "block", "b", "text")
+    left = many.join(texts.withColumnRenamed("v", "a"), "a").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("a", "block", F.lit(None).cast("binary").alias("b"), "text")
+    stream = left.unionByName(right).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left_set = None, None
+        left_set = np.zeros(0, np.uint64)
         for batch in batches:
-            out: dict[str, list] = {f: [] for f in ("similarity", "runs", "common", "extra")}
-            for a, text_a, text_b in zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                if last != (a, text_a):
-                    last, left_set = (a, text_a), np.unique(shingles([text_a], words)[0])
-                right = np.unique(shingles([text_b], words)[0])
-                shared = np.intersect1d(left_set, right, assume_unique=True)
-                out["similarity"].append(len(shared) / max(1, len(left_set) + len(right) - len(shared)))
-                if detail:
-                    out["runs"].append(len(right))
-                    out["common"].append(len(shared))
-                    out["extra"].append(np.setdiff1d(right, shared, assume_unique=True).view(np.int64))
-            kinds = {"similarity": pa.float64(), "runs": pa.int64(), "common": pa.int64(), "extra": pa.list_(pa.int64())}
-            columns = {f: pa.array(v, kinds[f]) for f, v in out.items() if detail or f == "similarity"}
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns.values()], names=["a", "b", *columns])
-
-    kind = both.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}, similarity double" + ", runs long, common long, extra array<long>" * detail)
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, class_id, class_size): one row per row of `docs`.
-
-    class_id is the smallest key of the texts connected by word-run similarity of `similarity`
-    or more. Texts are compared in lower case. Exact copies are one text with one representative. Null texts and
-    texts without words are alike with nothing: each is its own class. Rows with a null key are
-    left out; rows repeating a key and text give equal rows; a key with several texts has one
-    row for each, and their classes meet. Other columns are not carried.
-
-    Work: representatives that share a band are linked to the smallest id of that bucket, and
-    each such pair is compared exactly. Members of a bucket that are still in different
-    components afterwards are compared with each other unless their similarities to the
-    bucket's centre rule a link out (Jaccard distance is a metric), or the runs that they have
-    from the centre and those that both have besides are too few, or less than AGREEMENT of
-    their coordinates agree; before that, PIVOTS further members stand in for the centre, so
-    that few members are left."""
-    given = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    sketches = stash(sketch(given, "id", "text", bands, rows, words), "sketches")
-    worded = sketches.where("bands is not null")
-    copies = worded.groupBy("h1", "h2").agg(F.min("id").alias("representative"))
-    members = stash(worded.select("id", "h1", "h2").join(copies, ["h1", "h2"]), "members")
-    chosen = worded.join(copies.select(F.col("representative").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi")
-    chosen = stash(chosen.dropDuplicates(["id"]), "chosen")
-    banded = chosen.select("id", F.posexplode("bands").alias("band", "bucket"))
-    centres = banded.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
-    placed = stash(banded.join(centres, "bucket"), "buckets")
-    stars = stash(placed.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
-    # A key with several texts is compared by the first of them; exact copies share theirs.
+            for part in slices(batch, "text"):
+                found, row = shingles(part.column("text").to_pylist(), words)
+                order = np.lexsort((found, row))
+                found, row = found[order], row[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
+                found, row = found[new], row[new]
+                edges = np.searchsorted(row, np.arange(part.num_rows + 1))
+                out: dict[str, list] = {f: [] for f in ("similarity", "runs", "common", "extra")}
+                pairs_here = np.flatnonzero(part.column("b").is_valid().to_numpy(zero_copy_only=False))
+                partner = set(pairs_here.tolist())
+                for i in range(part.num_rows):
+                    own = found[edges[i] : edges[i + 1]]
+                    if i not in partner:
+                        left_set = own
+                        continue
+                    at = np.searchsorted(left_set, own)
+                    both = left_set[np.minimum(at, len(left_set) - 1)] == own if len(left_set) else np.zeros(len(own), bool)
+                    shared = int(both.sum())
+                    out["similarity"].append(shared / max(1, len(left_set) + len(own) - shared))
+                    if detail:
+                        out["runs"].append(len(own))
+                        out["common"].append(shared)
+                        out["extra"].append(own[~both].view(np.int64))
+                kinds = {"similarity": pa.float64(), "runs": pa.int64(), "common": pa.int64(), "extra": pa.list_(pa.int64())}
+                columns = {f: pa.array(v, kinds[f]) for f, v in out.items() if detail or f == "similarity"}
+                at = pa.array(pairs_here)
+                yield pa.RecordBatch.from_arrays([part.column("a").take(at), part.column("b").take(at), *columns.values()], names=["a", "b", *columns])
+
+    return stream.mapInArrow(run, "a binary, b binary, similarity double" + ", runs long, common long, extra array<long>" * detail)
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (id, component) after further links (a, b): components of the labels, not of all
+    vertices anew."""
+    of_a, of_b = (labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    met = links.join(of_a, "a").join(of_b, "b").where("ca <> cb").select("ca", "cb").distinct()
+    moved = components(met, "ca", "cb").select(F.col("id").alias("component"), F.col("component").alias("into"))
+    sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
+    joined = join_groups(labels, stash(sizes.join(moved, "component"), "moved-labels"), ["component"], labels.count(), "left")
+    return stash(joined.select("id", F.coalesce("into", "component").alias("component")), "labels")
+
+
+def _classes(docs: DataFrame, keep, key: str, text: str, similarity: float, words: int, bands: int, rows: int) -> DataFrame:
+    """(id, v, class, worded): the stored rows of `docs` with their content id and their class,
+    which is a content id: of texts with words, the least of their component."""
+    texts_of_rows = docs.select(F.col(f"`{key}`").alias("id"), content_id(F.col(f"`{text}`")).alias("v"), F.col(f"`{text}`").alias("text"))
+    narrow = stash(texts_of_rows.select("id", "v"), "rows")
+    total = narrow.count()
+    # Each different text is read once from here on; copies are put together before the shuffle.
+    once = texts_of_rows.groupBy("v").agg(F.first("text").alias("text"))
+    sketches = stash(sketch(texts_of_rows, bands, rows, words), "sketches")
+    chosen = sketches.groupBy("v").agg(F.count("*").alias("n"), F.first("bands").alias("bands"))
+    chosen = stash(chosen, "chosen")
+    banded = chosen.where("bands is not null").select("v", F.posexplode("bands").alias("band", "bucket"))
+    centres = stash(banded.groupBy("bucket").agg(F.min("v").alias("centre"), F.count("*").alias("n")).where("n > 1"), "centres")
+    placed = stash(join_groups(banded, centres, ["bucket"], total * bands), "buckets")
+    stars = stash(placed.where("v <> centre").select(F.col("centre").alias("a"), F.col("v").alias("b")).distinct(), "stars")
+    # Every text that a later comparison can ask for stands in a star.
+    wanted = stash(stars.select(F.col("a").alias("v")).union(stars.select("b")).distinct(), "wanted")
     # The plan is the same at every size: ids are hashed, texts stream past them.
-    texts = stash(given.join(wanted.hint("shuffle_hash"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    texts = stash(once.join(wanted.hint("shuffle_hash"), "v", "left_semi"), "texts")
     compared = stash(similarities(stars, texts, words), "similarities")
 
     def linked(found: DataFrame) -> DataFrame:
-        return found.where(F.col("similarity") >= similarity - 1e-12)
+        return found.where(F.col("similarity") >= similarity - 1e-12).select("a", "b")
 
-    links = linked(compared).select("a", "b")
-    measured = placed.where("id <> centre").join(compared.select(F.col("a").alias("centre"), F.col("b").alias("id"), "similarity"), ["centre", "id"])
-    measured = stash(measured.unionByName(placed.where("id = centre").withColumn("similarity", F.lit(1.0))), "measured")
+    found = components(linked(compared), "a", "b")
+    labels = stash(wanted.select(F.col("v").alias("id")).join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
+    measured = placed.where("v <> centre").join(compared.select(F.col("a").alias("centre"), F.col("b").alias("v"), "similarity"), ["centre", "v"])
+    measured = stash(measured.unionByName(placed.where("v = centre").withColumn("similarity", F.lit(1.0))), "measured")
+    size = measured.count()
 
-    def still_open(links: DataFrame) -> DataFrame:
+    def still_open(labels: DataFrame) -> DataFrame:
         """Members, but for centres, of the buckets whose members are in several components."""
-        groups = components(links, "a", "b").select("id", F.col("component").alias("group"))
-        grouped = measured.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
-        split = grouped.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("bucket")
-        members_left = grouped.join(split, "bucket", "left_semi").where("id <> centre")
-        return stash(members_left.join(chosen.select("id", "bands", "coordinates"), "id"), "open")
-
-    def agreeing(a: str, b: str) -> Column:
-        equal = F.zip_with(f"{a}.coordinates", f"{b}.coordinates", lambda p, q: p == q)
-        return F.size(F.filter(equal, lambda e: e)) >= AGREEMENT * bands * rows
+        grouped = stash(measured.join(labels.select(F.col("id").alias("v"), F.col("component").alias("group")), "v"), "grouped")
+        split = grouped.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n"))
+        split = stash(split.where("low < high").select("bucket", "n"), "split")
+        return stash(join_groups(grouped, split, ["bucket"], size).where("v <> centre"), "open")
 
     def in_reach(a: str, b: str) -> Column:
         """d(x,y) >= |d(x,c) - d(y,c)|: what the bucket's centre leaves possible."""
         return (F.col(f"{a}.group") != F.col(f"{b}.group")) & (F.abs(F.col(f"{a}.similarity") - F.col(f"{b}.similarity")) <= 1 - similarity + 1e-9)
 
-    open_members = still_open(links)
+    open_members = still_open(labels)
     for turn in range(PIVOTS):  # one more member of each open bucket is compared with the others
-        pivots = open_members.groupBy("bucket").agg(F.min_by(F.struct("id", "group", "similarity", "coordinates"), F.xxhash64("id", F.lit(turn))).alias("p"))
-        p, x = pivots.select("bucket", "p.*").alias("p"), open_members.alias("x")
-        star = p.join(x, (F.col("p.bucket") == F.col("x.bucket")) & in_reach("p", "x") & agreeing("p", "x"))
-        star = stash(star.select(F.least("p.id", "x.id").alias("a"), F.greatest("p.id", "x.id").alias("b")).distinct(), "pivots")
-        links = stash(links.union(linked(similarities(star, texts, words)).select("a", "b")).distinct(), "links")
-        open_members = still_open(links)
+        order = F.struct(F.xxhash64("v", F.lit(turn)), "v")
+        pivots = open_members.groupBy("bucket").agg(F.min_by(F.struct("v", "group", "similarity"), order).alias("p"), F.count("*").alias("n"))
+        met = join_groups(open_members, stash(pivots, "pivots"), ["bucket"], size).alias("x").where(in_reach("p", "x"))
+        star = stash(met.select(F.least("p.v", "x.v").alias("a"), F.greatest("p.v", "x.v").alias("b")).distinct(), "pivot-pairs")
+        labels = _merged(labels, stash(linked(similarities(star, texts, words)), "links"))
+        open_members = still_open(labels)
     # What two texts share lies in the centre, or in what neither has from it: with few common
     # runs outside the centre, the smaller share of the centre bounds their similarity.
-    outside = similarities(open_members.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), texts, words, detail=True)
-    outside = outside.select(F.col("a").alias("centre"), F.col("b").alias("id"), "runs", "common", "extra")
-    open_members = stash(open_members.join(outside, ["centre", "id"]), "outside")
-    x, y = open_members.alias("x"), open_members.alias("y")
+    spokes = stash(open_members.select(F.col("centre").alias("a"), F.col("v").alias("b")).distinct(), "spokes")
+    outside = similarities(spokes, texts, words, detail=True).select(F.col("a").alias("centre"), F.col("b").alias("v"), "runs", "common", "extra")
+    open_members = open_members.join(outside, ["centre", "v"]).join(chosen.select("v", "bands"), "v")
+    counts = stash(open_members.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / DEAL).cast("int")), "open-buckets")
+    open_members = join_groups(stash(open_members, "outside"), counts, ["bucket"], size).withColumn("own", F.pmod(F.xxhash64("v", F.lit(9)), F.col("blocks")).cast("int"))
+    open_members = stash(open_members, "dealt")
+    # Block i meets block j >= i, so no task holds a whole bucket.
+    x = open_members.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1))).alias("x")
+    y = open_members.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).alias("y")
     shared = F.least("x.common", "y.common") + F.size(F.array_intersect("x.extra", "y.extra"))
     possible = shared * (1 + similarity) >= (F.col("x.runs") + F.col("y.runs")) * similarity - 1e-6
     # A pair is made in the first bucket that it shares.
     first = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.band") + 1
-    met = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id"))
-    rest = x.join(y, met & in_reach("x", "y") & first & agreeing("x", "y") & possible).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    more = stash(similarities(stash(rest, "rest"), texts, words), "rest-similarities")
-    links = stash(links.union(linked(more).select("a", "b")).distinct(), "links")
-    groups = components(links, "a", "b").select(F.col("id").alias("representative"), F.col("component"))
-    classed = (
-        members.join(groups, "representative", "left").select("id", F.coalesce("component", "representative").alias("class_id"))
-        .unionByName(sketches.where("bands is null").select("id", F.col("id").alias("class_id")))
-    )
-    classed = stash(classed, "classed")
-    sizes = classed.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return classed.join(sizes, "class_id").select(F.col("id").alias(key), "class_id", "class_size")
-
-
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose key names their class: one document of each group of near
-    copies. All columns are kept; repeated rows and rows with a null key are treated as in
-    near_duplicates (repeats of the kept row become one row, null keys are kept as they are)."""
-    classes = near_duplicates(docs, key, text, **options)
-    kept = classes.where(F.col(key) == F.col("class_id")).select(key).distinct()
-    unkeyed = docs.where(F.col(key).isNull())
-    return docs.join(kept, key, "left_semi").dropDuplicates([key]).select(*map(_named, docs.columns)).union(unkeyed)
+    blocks = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    met = blocks & ((F.col("x.own") < F.col("y.own")) | (F.col("x.v") < F.col("y.v")))
+    rest = x.join(y, met & in_reach("x", "y") & first & possible).select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"))
+    rest = stash(rest.distinct(), "rest")
+    labels = _merged(labels, stash(linked(similarities(rest, texts, words)), "links"))
+    vertices = chosen.join(labels.withColumnRenamed("id", "v"), "v", "left")
+    vertices = stash(vertices.select("v", F.coalesce("component", "v").alias("class"), F.col("bands").isNotNull().alias("worded"), "n"), "vertices")
+    return keep(join_groups(narrow, vertices, ["v"], total), "classes")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, null_keys: bool = False) -> DataFrame:
+    """(key, class_id, class_size): one row per row of `docs`.
+
+    class_id is the smallest key of the texts connected by word-run similarity of `similarity`
+    or more. Texts are compared in lower case. Exact copies are one text. Null texts and texts
+    without words are alike with nothing: each key's are their own class. Rows repeating a key
+    and text give equal rows; a key with several texts has one row for each, in the class of
+    that text. Rows with a null key count in their classes; they are left out of the answer
+    unless `null_keys`, and are then null in class_id where no key is in the class. Other
+    columns are not carried.
+
+    Work: texts that share a band are linked to the smallest id of that bucket, and each such
+    pair is compared exactly. Members of a bucket that are still in different components
+    afterwards are compared with each other unless their similarities to the bucket's centre
+    rule a link out (Jaccard distance is a metric), or the runs that they have from the centre
+    and those that both have besides are too few; before that, PIVOTS further members stand in
+    for the centre, so that few members are left. No pair that shares a band is left undecided."""
+    with scratch(docs.sparkSession) as keep:
+        found = _classes(docs, stash, key, text, similarity, words, bands, rows)
+        own = content_id(F.concat(F.lit("without words "), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+        classed = keep(found.select("id", F.when(F.col("worded"), F.col("class")).otherwise(own).alias("class")), "classed")
+        sizes = classed.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+        sizes = keep(sizes.withColumn("n", F.col("class_size")), "class-sizes")
+        out = join_groups(classed, sizes, ["class"], classed.count())
+        return (out if null_keys else out.where("id is not null")).select(F.col("id").alias(key), "class_id", "class_size")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of `docs` that stand for their class of near copies: of each class the row with
+    the smallest key, null keys last, and of rows repeating that key and text one. Texts without
+    words are alike with nothing and stay, but for repeats of a key. All columns are kept."""
+    with scratch(docs.sparkSession) as keep:
+        found = _classes(docs, stash, key, text, similarity, words, bands, rows)
+        best = found.where("worded").groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "v")).alias("best"))
+        bare = found.where("not worded").select("id", "v")
+        chosen = keep(best.select("best.id", "best.v").unionByName(bare).distinct(), "representatives")
+    at, name = free_name(docs, "v"), free_name(docs, "id")
+    # A null key is compared like a value: two columns, one of them never null.
+    rows_of = docs.withColumn(at, content_id(F.col(f"`{text}`")))
+    keys = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null key"))
+    rows_of = rows_of.withColumn(name, keys)
+    wanted = chosen.select(F.col("v").alias(at), F.coalesce(F.col("id").cast("string"), F.lit("null key")).alias(name))
+    return rows_of.join(wanted.hint("shuffle_hash"), [at, name], "left_semi").dropDuplicates([at, name]).select(*map(_named, docs.columns))
 
 
 def _named(column: str) -> Column:

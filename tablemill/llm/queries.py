@@ -15,7 +15,7 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), null_keys=True)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
