@@ -37,3 +37,33 @@ def test_ladder_is_distinct_and_ordered():
 def test_readable_stem():
     assert dirty_names.readable_stem("01 - [CAT] Night_Ferry (vinyl rip) 320 kbps") == "Night Ferry"
     assert dirty_names.readable_stem("Night Ferry (Original Mix)") == "Night Ferry (Original Mix)"
+
+
+MORE = [  # a wider table of expected roles
+    ("Alpha Bee_-_Night Song_(Club_Mix)-ab", "Alpha Bee", "Night Song", "Club Mix"),
+    ("Alpha Bee - Night Song - Long Road - Far Home", "Night Song", "Long Road - Far Home", None),
+    ("Alpha Bee - Night Song - Extended Mix", "Alpha Bee", "Night Song", "Extended Mix"),
+    ("1999 - Alpha Bee - Night Song", "Alpha Bee", "Night Song", None),
+    ("Alpha Bee - Night Song - Alpha Bee", "Night Song", "Alpha Bee", None),
+    ("Alpha Bee - Night Song-DEADBEEF", "Alpha Bee", "Night Song", None),
+    ("(A2) Alpha Bee - Night Song", "Alpha Bee", "Night Song", None),
+    ("1-02 Alpha Bee - Night Song", "Alpha Bee", "Night Song", None),
+    ("Alpha Bee--Night Song", "Alpha Bee", "Night Song", None),
+    ("Alpha Bee - Untitled", "", "", None),
+    ("Alpha Bee - Night Song [WEB-DL] (2004)", "Alpha Bee", "Night Song", None),
+    ("Alpha Bee - Night Song (feat. Cee (Dub Mix))", "Alpha Bee", "Night Song", "feat. Cee"),
+]
+
+
+@pytest.mark.parametrize(("stem", "artist", "title", "version"), MORE)
+def test_terms_of_more_names(stem, artist, title, version):
+    assert dirty_names.terms(stem) == (artist, title, version)
+
+
+def test_search_terms_mine_the_folder(spark):
+    rows = [("Night Song", "Alpha Bee - Best Of"), ("Night Song", "Somewhere"), (None, None), ("Alpha Bee - Night Song", "Cee - Dee")]
+    out = spark.createDataFrame(rows, "stem string, folder string").select(dirty_names.search_terms("stem", "folder").alias("f")).select("f.artist", "f.title", "f.queries")
+    assert [tuple(r) for r in out.collect()] == [
+        ("Alpha Bee", "Night Song", ["Alpha Bee Night Song", "Night Song", "Alpha Bee Best Of"]), ("", "Night Song", ["Night Song"]), ("", "", []),
+        ("Alpha Bee", "Night Song", ["Alpha Bee Night Song", "Night Song", "Alpha Bee Dee"]),
+    ]
