@@ -167,3 +167,14 @@ def tokens(text: Column) -> Column:
 def integer_list(text: Column) -> Column:
     """Comma text to integers; what is no integer is dropped."""
     return F.filter(F.transform(F.split(text, ","), lambda x: x.try_cast("bigint")), lambda x: x.isNotNull())
+
+
+def stored_or_named(artist: Column, title: Column, path: Column) -> Column:
+    """(artist, title): as stored if either is not empty, else as the file name tells, else empty."""
+    some = (F.coalesce(artist, F.lit("")) != "") | (F.coalesce(title, F.lit("")) != "")
+    named = parse_name(stem(path))
+
+    def of(stored: Column, field: str) -> Column:
+        return F.when(some, F.coalesce(stored, F.lit(""))).otherwise(F.coalesce(named[field], F.lit("")))
+
+    return F.struct(of(artist, "artist").alias("artist"), of(title, "title").alias("title"))

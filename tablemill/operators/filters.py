@@ -70,3 +70,14 @@ def ascii_lower(column: Column) -> Column:
 def normal_path(column: Column) -> Column:
     """Paths compared across systems: trimmed, with slashes, in lower case."""
     return F.lower(F.translate(F.trim(column), "\\", "/"))
+
+
+def duration_mismatch(declared: Column, decoded: Column, seconds: float = 1.0) -> Column:
+    """Declared and decoded durations more than `seconds` apart; never without a decoded one."""
+    return F.coalesce((decoded > 0) & (F.abs(declared - decoded) > seconds), F.lit(False))
+
+
+def queue_search(needle: str | None, otherwise: Column, *columns: Column) -> Column:
+    """A literal search over the columns; while nothing is searched, `otherwise` filters."""
+    found = contains_literal((needle or "").strip(), *columns)
+    return otherwise if found is None else found

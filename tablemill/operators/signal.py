@@ -1,7 +1,10 @@
-"""Signal measures per track from sampled blocks: sums in SQL, spectra in NumPy per track."""
+"""Signal measures per track from sampled blocks: sums in SQL, spectra in NumPy per frame."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,50 +48,123 @@ def truncated(rows: DataFrame, key: str, position: str, value: str, tail: int) -
     return late.select(key, ((F.sqrt("_all") > 1e-4) & (F.sqrt("_late") >= 0.5 * F.sqrt("_all"))).alias("truncated"))
 
 
+def power_of(frames: np.ndarray) -> np.ndarray:
+    """Squared magnitudes below half the rate of windowed frames (n, FRAME)."""
+    return np.abs(np.fft.rfft(frames * np.hanning(FRAME), axis=1)[:, : FRAME // 2]) ** 2
+
+
 def frames_of(x: np.ndarray) -> np.ndarray:
-    if len(x) < FRAME:
-        return np.zeros((0, FRAME))
-    return np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * np.hanning(FRAME + 1)[:FRAME]
+    return np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] if len(x) >= FRAME else np.zeros((0, FRAME))
 
 
-def spectrum_cutoff(x: np.ndarray, rate: int) -> float:
-    """Highest frequency with a fall of 18 dB over 500 Hz above it and no recovery within 9 dB:
-    0 without a frame, half the rate where nothing falls."""
-    power = np.abs(np.fft.rfft(frames_of(x), axis=1)) ** 2
-    if not len(power):
+def cutoff_of(power: np.ndarray, frames: int, rate: int) -> float:
+    """Highest frequency above 2 kHz with a fall of 18 dB from the 500 Hz below it to the 500 Hz
+    above, and no later bin, looked for in steps of that band, within 9 dB of the level below.
+
+    power: sums over `frames` frames. 0 without a frame; half the rate where nothing falls or the
+    spectrum is too short for two bands and their margins."""
+    if frames == 0:
         return 0.0
-    db = 10 * np.log10(power.mean(axis=0) + 1e-12)
-    weights = np.ones(11)
-    smooth = np.convolve(db, weights, "same") / np.convolve(np.ones(len(db)), weights, "same")
+    hz, bins, reach = rate / FRAME, len(power), 5
+    mean = power / frames
+    level = np.where(mean <= 1e-12, -120.0, 10 * np.log10(np.maximum(mean, 1e-12)))
+    width = np.convolve(np.ones(bins), np.ones(2 * reach + 1), "same")
+    smooth = np.convolve(level, np.ones(2 * reach + 1), "same") / width
+    band = max(2, math.ceil(500 / hz))
+    margin = band + reach + 1
+    lowest = max(margin, math.ceil(2000 / hz))
+    if bins <= lowest + margin:
+        return bins * hz
+    sums = np.concatenate([[0.0], np.cumsum(smooth)])
+    at = np.arange(lowest, bins - margin)
+    above = (sums[at + band + 1] - sums[at + 1]) / band
+    below = (sums[at] - sums[at - band]) / band
+    for k in at[below - above >= 18][::-1].tolist():
+        if not (smooth[k + band + 1 :: band] >= below[k - lowest] - 9).any():
+            return k * hz
+    return bins * hz
+
+
+def spectrum_cutoff(x: np.ndarray, rate: int) -> float:
+    """cutoff_of the frames of one signal."""
+    frames = frames_of(x)
+    return cutoff_of(power_of(frames).sum(axis=0), len(frames), rate)
+
+
+def flatness_of(power: np.ndarray, rate: int, low: float, high: float) -> np.ndarray:
+    """10 log10(geometric / arithmetic mean) of the band's power, a value a frame; none where the
+    band has eight bins or fewer."""
     hz = rate / FRAME
-    band = max(1, round(500 / hz))
-    bins = np.arange(int(2000 / hz) + 1, len(smooth) - band - 1)
-    sums = np.concatenate([[0], np.cumsum(smooth)])
-    below = (sums[bins + 1] - sums[np.maximum(0, bins - band + 1)]) / np.minimum(band, bins + 1)
-    above = (sums[bins + band + 1] - sums[bins + 1]) / band
-    rest = np.maximum.accumulate(smooth[::-1])[::-1][bins + band]
-    found = bins[(below - above >= 18) & (rest < below - 9)]
-    return float(found[-1] * hz) if len(found) else rate / 2
+    part = power[:, math.ceil(low / hz) : min(power.shape[1], math.floor(high / hz))] + 1e-20
+    if part.shape[1] <= 8:
+        return np.zeros(0)
+    return 10 * (np.log10(part).mean(axis=1) - np.log10(part.mean(axis=1)))
+
+
+def upper_middle(values: np.ndarray) -> float | None:
+    return float(np.sort(values)[len(values) // 2]) if len(values) else None
 
 
 def flatness(x: np.ndarray, rate: int, low: float, high: float) -> float | None:
-    """Upper median over frames of 10 log10(geometric / arithmetic mean) of the band's power."""
-    power = np.abs(np.fft.rfft(frames_of(x), axis=1)) ** 2 + 1e-12
-    hz = rate / FRAME
-    part = power[:, int(low / hz) : int(high / hz)]
-    if part.shape[1] <= 8 or not len(part):
-        return None
-    values = np.sort(10 * (np.log10(part).mean(axis=1) - np.log10(part.mean(axis=1))))
-    return float(values[len(values) // 2])
+    """Upper median over the frames of one signal of the band's flatness."""
+    return upper_middle(flatness_of(power_of(frames_of(x)), rate, low, high))
 
 
-def spectra(rows: DataFrame) -> DataFrame:
-    """(track_id, cutoff_hz, flat_fixed, flat_top) of (track_id, sample_rate, position, left,
-    right); one track's samples are one group, as a spectrum needs them together."""
+def frames(rows: DataFrame) -> DataFrame:
+    """(track_id, sample_rate, frame, mono) of (track_id, sample_rate, position, left, right):
+    FRAME samples every HOP, by a shuffle on track and frame, so that a long recording spreads
+    over tasks. A last frame that is not full is left out; positions have no gaps."""
+    slot = F.floor(F.col("position") / HOP)
+    both = F.filter(F.array(slot, slot - 1), lambda f: f >= 0)
+    dealt = rows.select("track_id", "sample_rate", "position", ((F.col("left") + F.col("right")) / 2).alias("x"), F.explode(both).alias("frame"))
+    held = dealt.groupBy("track_id", "frame").agg(F.first("sample_rate").alias("sample_rate"), F.sort_array(F.collect_list(F.struct("position", "x"))).alias("held"))
+    return held.where(F.size("held") == FRAME).select("track_id", "sample_rate", "frame", F.col("held.x").alias("mono"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        x, rate = ((pdf.left + pdf.right) / 2).to_numpy(), int(pdf.sample_rate.iloc[0])
-        return pd.DataFrame({"track_id": [pdf.track_id.iloc[0]], "cutoff_hz": [spectrum_cutoff(x, rate)], "flat_fixed": [flatness(x, rate, 16000, 20000)], "flat_top": [flatness(x, rate, 0.8 * rate / 2, 0.98 * rate / 2)]})
 
-    return rows.groupBy("track_id").applyInPandas(one, "track_id long, cutoff_hz double, flat_fixed double, flat_top double")
+def spectra(rows: DataFrame) -> DataFrame:
+    """(track_id, cutoff_hz, flat_fixed, flat_top) of (track_id, sample_rate, position, left,
+    right). Tasks add up the spectra of the frames they hold; a track's few sums then meet."""
+
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for (track, rate), own in pdf.groupby(["track_id", "sample_rate"]):
+                power = power_of(np.stack(own.mono.to_list()))
+                top = rate / 2
+                out.append((track, rate, len(own), power.sum(axis=0), flatness_of(power, rate, 16000, 20000), flatness_of(power, rate, 0.8 * top, 0.98 * top)))
+            yield pd.DataFrame(out, columns=["track_id", "sample_rate", "n", "power", "fixed", "top"])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        cutoff = cutoff_of(np.sum(np.stack(pdf.power.to_list()), axis=0), int(pdf.n.sum()), int(pdf.sample_rate.iloc[0]))
+        fixed, top = (upper_middle(np.concatenate(pdf[c].to_list())) for c in ("fixed", "top"))
+        return pd.DataFrame({"track_id": [pdf.track_id.iloc[0]], "cutoff_hz": [cutoff], "flat_fixed": [fixed], "flat_top": [top]})
+
+    parts = frames(rows).mapInPandas(some, "track_id long, sample_rate int, n long, power array<double>, fixed array<double>, top array<double>")
+    found = parts.groupBy("track_id").applyInPandas(whole, "track_id long, cutoff_hz double, flat_fixed double, flat_top double")
+    short = rows.select("track_id").distinct().join(found, "track_id", "left")  # tracks without a frame
+    return short.select("track_id", F.coalesce("cutoff_hz", F.lit(0.0)).alias("cutoff_hz"), "flat_fixed", "flat_top")
+
+
+def spectrogram(rows: DataFrame, most_columns: int = 1200, most_bins: int = 384) -> DataFrame:
+    """(track_id, column, levels): every second frame of a track, or every so many of these that
+    `most_columns` remain, as bytes: levels of -100 dB to full scale are 0 to 255, the loudest of
+    neighbouring bins stands for them so that `most_bins` remain."""
+    pool = -(-(FRAME // 2) // most_bins)
+    full = (np.hanning(FRAME).mean() * FRAME / 2) ** 2
+
+    def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            power = power_of(np.stack(pdf.mono.to_list()))
+            db = np.where(power <= 1e-12, -100.0, 10 * np.log10(np.maximum(power, 1e-300) / full))
+            level = ((np.clip(db, -100, 0) + 100) / 100 * 255).astype(np.uint8)
+            level = np.maximum.reduceat(level, np.arange(0, level.shape[1], pool), axis=1)
+            yield pd.DataFrame({"track_id": pdf.track_id, "column": pdf.column, "levels": [x.tobytes() for x in level]})
+
+    shown = frames(rows).where("frame % 2 = 0").withColumn("column", (F.col("frame") / 2).cast("long"))
+    stride = rows.groupBy("track_id").agg(F.max("position").alias("last"))
+    columns = F.floor((F.floor((F.col("last") + 1 - FRAME) / HOP)) / 2) + 1
+    stride = stride.select("track_id", F.greatest(F.ceil(columns / most_columns), F.lit(1)).alias("stride"))
+    kept = shown.join(stride, "track_id").where("column % stride = 0").withColumn("column", (F.col("column") / F.col("stride")).cast("long"))
+    return kept.select("track_id", "column", "mono").mapInPandas(levels, "track_id long, column long, levels binary")

@@ -189,3 +189,53 @@ def read_through(keys: DataFrame, cache: DataFrame, key: str, value: str, versio
     hits = keys.join(good.select(key, value), key)
     misses = keys.join(good.select(key), key, "left_anti")
     return hits.select(key, value).unionByName(compute(misses).select(key, value))
+
+
+def append_actions(actions: DataFrame, given: DataFrame, settings: DataFrame, setting: str) -> DataFrame:
+    """The journal with new rows (track_id, type), each with the session that the key-value table
+    `settings` names: one value for all, null if there is none. Ids follow the largest."""
+    session = settings.where(F.col("key") == setting).agg(F.max("value").alias("session_id"))  # one row
+    new = with_new_ids(given, actions, "id", F.struct("track_id", "type")).join(F.broadcast(session))
+    return actions.unionByName(new.select("id", "track_id", "type", "session_id"), allowMissingColumns=True)
+
+
+def purge_trash(trashed: DataFrame, removed: DataFrame) -> DataFrame:
+    """(id, outcome) of trash rows (id, track_id): `closed` for an orphan, `purged` where the
+    removal (track_id, ok) went well, `failed` where it did not, else `kept`."""
+    met = trashed.join(removed.select(F.col("track_id").alias("_id"), "ok"), F.col("track_id") == F.col("_id"), "left")
+    outcome = F.when(F.col("track_id").isNull(), "closed").when(F.col("ok").isNull(), "kept").when(F.col("ok"), "purged").otherwise("failed")
+    return met.select("id", outcome.alias("outcome"))
+
+
+def add_sources(sources: DataFrame, paths: DataFrame) -> DataFrame:
+    """(id, path, fresh): the id of every given path, canonical by trimmed end slashes: a known
+    source keeps its own, a new one gets the next."""
+    plain = paths.select(F.regexp_replace("path", "(?<=.)/+$", "").alias("path")).distinct()
+    known = sources.groupBy("path").agg(F.min("id").alias("id"))
+    fresh = with_new_ids(plain.join(known, "path", "left_anti"), sources, "id", F.col("path"))
+    return plain.join(known, "path").select("id", "path", F.lit(False).alias("fresh")).unionByName(fresh.select("id", "path", F.lit(True).alias("fresh")))
+
+
+def set_colours(sources: DataFrame, given: DataFrame, domain: list[str]) -> DataFrame:
+    """(id, colour, outcome): sources after colours are set; one outside `domain` is refused and
+    changes nothing, null clears."""
+    met = sources.select("id", "colour").join(given.select("id", F.col("colour").alias("_colour"), F.lit(True).alias("_given")), "id", "left")
+    good = F.col("_given") & (F.col("_colour").isNull() | F.col("_colour").isin(*domain))
+    outcome = F.when(F.col("_given").isNull(), "untouched").when(good, "set").otherwise("refused")
+    return met.select("id", F.when(good, F.col("_colour")).otherwise(F.col("colour")).alias("colour"), outcome.alias("outcome"))
+
+
+def patch_outcomes(paths: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
+    """(key, outcome): whether a path to be patched stands in the catalogue once (patched), not at
+    all (not-tracked) or several times (drifted)."""
+    counts = catalogue.groupBy(key).agg(F.count("*").alias("_n"))
+    n = F.coalesce("_n", F.lit(0))
+    return paths.select(key).join(counts, key, "left").select(key, F.when(n == 0, "not-tracked").when(n == 1, "patched").otherwise("drifted").alias("outcome"))
+
+
+def retried(tracks: DataFrame, failed: DataFrame, most: int) -> DataFrame:
+    """(id, attempts, state) after another round: one attempt more where it failed, terminal from
+    `most` on, due again below it."""
+    met = tracks.select("id", "attempts").join(failed.select("id").distinct().withColumn("_hit", F.lit(1)), "id", "left")
+    attempts = F.coalesce("attempts", F.lit(0)) + F.coalesce("_hit", F.lit(0))
+    return met.select("id", attempts.alias("attempts"), F.when(attempts >= most, "terminal").when(attempts > 0, "due").otherwise("new").alias("state"))

@@ -81,18 +81,26 @@ def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.round(aggregates.upper_median("l_extendedprice"), 2).alias("median"), F.round(F.stddev_pop("l_quantity"), 6).alias("spread"))
 
 
-@query("AG27 AG28 SC4 FA2")
-def spectral_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spectra of made-up tones, one per supplier: a sum of sines up to a limit by key."""
+def tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of made-up tones, one per supplier: a sum of sines up to a limit by key."""
     keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("track_id"))
     t = F.col("position") / 44100.0
     top = 4000 + (F.col("track_id") % 8) * 2000
     tone = sum((F.sin(2 * 3.141592653589793 * (top * k / 40.0) * t + k * k) for k in range(1, 41)), F.lit(0.0)) / 40
-    rows = keys.withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(16383)))).select("track_id", F.lit(44100).alias("sample_rate"), "position", tone.alias("left"), tone.alias("right"))
-    out = signal.spectra(rows)
+    return keys.withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(16383)))).select("track_id", F.lit(44100).alias("sample_rate"), "position", tone.alias("left"), tone.alias("right"))
+
+
+@query("AG27 AG28 SC4 FA2")
+def spectral_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = signal.spectra(tones(spark, sf_dir))
     return out.select("track_id", F.round("cutoff_hz", 1).alias("cutoff_hz"), F.round("flat_fixed", 3).alias("flat_fixed"), F.round("flat_top", 3).alias("flat_top"))
 
 
+@query("AG30")
+def spectrogram_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signal.spectrogram(tones(spark, sf_dir)).select("track_id", "column", F.hex("levels").alias("levels"))
+
+
 MEASURED_SQL = """
 select l_orderkey, l_linenumber, l_partkey, (l_extendedprice * 7) % 24000 - 500 as cutoff,
   case l_returnflag when 'R' then 'lossless' when 'A' then 'lossy' else 'unknown' end as declared, case when l_quantity > 45 then 'lossy' else 'lossless' end as content,

@@ -13,6 +13,7 @@ from tablemill.functions import text
 
 # Extensions of audio files, and the first bytes of containers by rail.
 AUDIO = ("mp3", "flac", "wav", "aif", "aiff", "m4a", "aac", "ogg", "opus")
+LOSSLESS = ("flac", "wav", "aif", "aiff")
 MAGIC = {"664C6143": "lossless", "52494646": "lossless", "464F524D": "lossless", "4F676753": "lossy", "494433": "lossy", "FFFB": "lossy", "FFF3": "lossy"}
 BLOCK = 4096
 
@@ -22,8 +23,16 @@ def listing(spark: SparkSession, root: str, audio_only: bool = True) -> DataFram
     files' contents are not read. A root that does not exist is Spark's error."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rows = found.select("path", text.basename(F.col("path")).alias("filename"), F.col("length").alias("size_bytes"), F.unix_seconds("modificationTime").alias("mtime"))
-    ending = F.lower(F.regexp_extract("filename", r"^.+\.([^.]+)$", 1))
-    return rows.where(ending.isin(*AUDIO)) if audio_only else rows
+    return rows.where(is_audio(F.col("path"))) if audio_only else rows
+
+
+def is_audio(path: Column) -> Column:
+    return F.lower(F.regexp_extract(text.basename(path), r"^.+\.([^.]+)$", 1)).isin(*AUDIO)
+
+
+def declared_rail(path: Column) -> Column:
+    """The rail that an audio file's extension declares."""
+    return F.when(F.lower(F.substring_index(path, ".", -1)).isin(*LOSSLESS), "lossless").otherwise("lossy")
 
 
 def content_rail(content: Column) -> Column:
@@ -65,10 +74,13 @@ def wav_blocks(files: DataFrame) -> DataFrame:
 def measured_table(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a semicolon table whose last field, the file name, may hold semicolons itself; `-`
     and nothing are null, and lines that are no rows are left out."""
-    names = ["rail", "bitrate", "cutoff", "verdict", "est", "hf", "hf_top"]
     lines = spark.read.text(path).where(F.contains("value", F.lit(";")) & ~F.startswith("value", F.lit("rail;")) & ~F.startswith("value", F.lit("--")))
-    parts = F.split("value", ";", len(names) + 1)
-    fields = [F.when(~F.get(parts, F.lit(i)).isin("-", ""), F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(names)]
-    rows = lines.select(*fields, F.get(parts, F.lit(len(names))).alias("file"))
-    numbers = ("bitrate", "cutoff", "est", "hf", "hf_top")
-    return rows.select(*(F.col(c).try_cast("double").alias(c) if c in numbers else F.col(c) for c in ("rail", "bitrate", "cutoff", "verdict", "est", "hf", "hf_top", "file")))
+    return lines.select(measured_fields(F.col("value")).alias("m")).select("m.*")
+
+
+def measured_fields(line: Column) -> Column:
+    """The fields of one line of such a table."""
+    names = ["rail", "bitrate", "cutoff", "verdict", "est", "hf", "hf_top"]
+    parts = F.split(line, ";", len(names) + 1)
+    fields = {n: F.when(~F.get(parts, F.lit(i)).isin("-", ""), F.get(parts, F.lit(i))) for i, n in enumerate(names)}
+    return F.struct(*((v.try_cast("double") if n not in ("rail", "verdict") else v).alias(n) for n, v in fields.items()), F.get(parts, F.lit(len(names))).alias("file"))

@@ -136,3 +136,53 @@ def test_stereo_measures_of_blocks(spark):
     assert sorted(r.position for r in rows.where("track_id = 1").collect()) == [0, 1, 2]
     got = {r.track_id: r for r in signal.stereo_measures(rows, "track_id", "left", "right").collect()}
     assert got[1].dual_mono and abs(got[1].phase - 1) < 1e-9 and abs(got[1].dc_offset - 0.5 / 3) < 1e-6 and abs(got[2].peak_db + 10.4576) < 1e-3
+
+
+def test_cutoff_against_its_definition():
+    """The cutoff by plain loops over smoothed levels, on spectra with cliffs, notches and slopes."""
+    import math
+
+    import numpy as np
+
+    def loops(power, n, rate):
+        hz, bins = rate / 4096, len(power)
+        level = [-120.0 if p / n <= 1e-12 else 10 * math.log10(p / n) for p in power]
+        smooth = [sum(level[max(0, k - 5) : k + 6]) / len(level[max(0, k - 5) : k + 6]) for k in range(bins)]
+        band = max(2, math.ceil(500 / hz))
+        margin = band + 6
+        for k in range(bins - margin - 1, max(margin, math.ceil(2000 / hz)) - 1, -1):
+            below, above = sum(smooth[k - band : k]) / band, sum(smooth[k + 1 : k + band + 1]) / band
+            if below - above >= 18 and not any(smooth[j] >= below - 9 for j in range(k + band + 1, bins, band)):
+                return k * hz
+        return bins * hz
+
+    rng = np.random.default_rng(4)
+    for rate in (44100, 48000):
+        for cliff, fall, notch in ((1500, 60, None), (1500, 15, None), (1800, 40, (900, 1000)), (300, 50, None), (2040, 80, None), (1200, 30, (600, 660))):
+            db = rng.normal(0, 2, 2048)
+            db[cliff:] -= fall
+            if notch:
+                db[notch[0] : notch[1]] -= 70
+            power = 10 ** (db / 10) * 7
+            assert abs(signal.cutoff_of(power, 7, rate) - loops(power, 7, rate)) < 1e-6
+    assert signal.cutoff_of(np.ones(2048), 0, 44100) == 0 and signal.cutoff_of(np.ones(60), 1, 44100) == 60 * 44100 / 4096
+
+
+def test_spectra_and_grid_against_one_signal(spark):
+    import numpy as np
+
+    rate = 44100
+    x = np.random.default_rng(6).normal(0, 0.2, 4096 * 3 + 100)
+    rows = spark.createDataFrame([(1, rate, i, float(v), float(v)) for i, v in enumerate(x)] + [(2, rate, 0, 0.5, 0.5)], "track_id long, sample_rate int, position long, left double, right double").repartition(5)
+    got = {r.track_id: r for r in signal.spectra(rows).collect()}
+    assert got[1].cutoff_hz == signal.spectrum_cutoff(x, rate) and abs(got[1].flat_fixed - signal.flatness(x, rate, 16000, 20000)) < 1e-9
+    assert (got[2].cutoff_hz, got[2].flat_fixed, got[2].flat_top) == (0.0, None, None)
+    grid = {r.column: r.levels for r in signal.spectrogram(rows, most_columns=2).collect()}
+    frames = [x[s : s + 4096] * np.hanning(4096) for s in range(0, len(x) - 4095, 2048)][::2][::2]
+    assert sorted(grid) == list(range(len(frames)))
+    full = (np.hanning(4096).sum() / 2) ** 2
+    for column, frame in enumerate(frames):
+        power = np.abs(np.fft.fft(frame)[:2048]) ** 2
+        level = ((np.clip(10 * np.log10(power / full), -100, 0) + 100) / 100 * 255).astype(int)
+        want = [level[b : b + 6].max() for b in range(0, 2048, 6)]
+        assert max(abs(a - b) for a, b in zip(want, grid[column])) <= 1 and len(want) == len(grid[column])
