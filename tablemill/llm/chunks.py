@@ -15,58 +15,42 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import RollingHash, content_id, slices, text_bytes
-from tablemill.storage import stash
-
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows by (k, t): the key, and a content id that tells rows with equal or null keys apart."""
-    kind = docs.schema[key].dataType
-    marked = F.concat(F.col(key).isNull().cast("string"), F.coalesce(F.col(text), F.lit("")))
-    return docs.select(F.coalesce(F.col(key), F.lit("0").cast(kind)).alias("k"), content_id(marked).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-
-def _packed(keyed: DataFrame) -> DataFrame:
-    """(k, t, packed): texts compressed before they are shuffled; repeated rows once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            packed = [squeeze.compress(x.encode("utf-8", "replace")) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), pa.array(packed, pa.binary())], names=["k", "t", "packed"])
-
-    kind = keyed.schema["k"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"k {kind}, t binary, packed binary")
-
+from tablemill.llm.common import RollingHash, column_bytes, content_id, join_groups, slices
+from tablemill.llm.suffix import _packed, joined_ranges
+from tablemill.storage import scratch, stash
 
 LEAST, BITS, MOST = 24, 5, 512
-#: Repeated chunks are removed in runs of at least so many bytes: shorter ones are common phrases.
-RUN = 96
-GEAR = np.random.default_rng(51).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Repeated chunks are removed in runs of at least so many bytes. A single short chunk is found
+#: twice by chance: of 1,000 documents 164 hold nothing else in common with any other.
+RUN = 64
+GEAR = np.random.default_rng(51).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
+#: The hash has 32 bits, so it depends on so many bytes.
+WINDOW = 32
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
-    """h[i] = 2 h[i-1] + GEAR[data[i]] modulo 2 ** 64, by doubling the window it covers."""
+    """h[i] = 2 h[i-1] + GEAR[data[i]] modulo 2 ** 32, by doubling the window it covers."""
     h = GEAR[data]
     span = 1
-    while span < 64:
-        h[span:] += h[:-span] << np.uint64(span)
+    while span < WINDOW:
+        h[span:] += h[:-span] << np.uint32(span)
         span *= 2
     return h
 
 
 def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Ends of the chunks of texts laid end to end. The top bits that decide come from the last
-    64 bytes, of which a text's start may lack some: its own bytes alone are hashed there."""
+    WINDOW bytes, of which a text's start may lack some: its own bytes alone are hashed there."""
     h = gear_hash(data)
     sizes = np.diff(offsets)
     # Near a start the window still holds the text before, whose part there is h[start - 1]
     # shifted by the distance.
-    near = np.minimum(sizes, 63)
+    near = np.minimum(sizes, WINDOW - 1)
     row = np.repeat(np.arange(len(sizes)), near)
     step = np.arange(near.sum()) - np.repeat(np.cumsum(near) - near, near)
     start = offsets[row]
-    h[start + step] -= np.where(start > 0, h[start - 1], np.uint64(0)) << (step + 1).astype(np.uint64)
-    low = np.flatnonzero(h >> np.uint64(64 - BITS) == 0) + 1
+    h[start + step] -= np.where(start > 0, h[start - 1], np.uint32(0)) << (step + 1).astype(np.uint32)
+    low = np.flatnonzero(h >> np.uint32(WINDOW - BITS) == 0) + 1
     out: list[int] = []
     cuts = np.searchsorted(low, offsets, side="right").tolist()
     places, edges = low.tolist(), offsets.tolist()
@@ -89,56 +73,47 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, t, nth, start, size, d1, d2): the chunks of every text with a 128-bit digest."""
-    keyed = _keyed(docs, key, text)
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, t, text): the key, and a 128-bit id of key and text together."""
+    own = F.col(f"`{key}`")
+    full = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return docs.select(own.alias("k"), content_id(F.concat(own.isNull().cast("string"), F.coalesce(own.cast("string"), F.lit(""))), full).alias("t"), full.alias("text"))
+
+
+def chunk(texts: DataFrame) -> DataFrame:
+    """(k, t, start, size, d1, d2): the chunks of every (k, t, text) with a 128-bit digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                data, offsets = text_bytes(part.column("text").to_pylist())
+                data, offsets = column_bytes(part.column("text"))
                 ends = chunk_ends(data, offsets)
                 row = np.searchsorted(offsets, ends, side="left") - 1
                 starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                new = np.diff(row, prepend=-1) != 0
-                first = np.flatnonzero(new)
-                nth = np.arange(len(ends)) - np.repeat(first, np.diff(np.append(first, len(ends))))
                 digests = [RollingHash(data, seed)(starts, ends).view(np.int64) for seed in (52, 53)]
                 index = pa.array(row)
-                numbers = [pa.array(x, pa.int32()) for x in (nth, starts - offsets[row], ends - starts)]
-                yield pa.RecordBatch.from_arrays([part.column("k").take(index), part.column("t").take(index), *numbers, *map(pa.array, digests)], names=["k", "t", "nth", "start", "size", "d1", "d2"])
+                numbers = [pa.array(x, pa.int32()) for x in (starts - offsets[row], ends - starts)]
+                yield pa.RecordBatch.from_arrays([part.column("k").take(index), part.column("t").take(index), *numbers, *map(pa.array, digests)], names=["k", "t", "start", "size", "d1", "d2"])
 
-    kind = keyed.schema["k"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"k {kind}, t binary, nth int, start int, size int, d1 long, d2 long")
+    return texts.mapInArrow(run, f"k {texts.schema['k'].dataType.simpleString()}, t binary, start int, size int, d1 long, d2 long")
 
 
-def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least_run: int = RUN) -> DataFrame:
-    """(k, t, runs): the (start, end) byte ranges of each text that repeat earlier chunks.
+def repeated_runs(texts: DataFrame, least_run: int = RUN) -> DataFrame:
+    """(t, spans): the (start, end) byte ranges of each (k, t, text) that repeat earlier chunks.
 
-    The first of equal chunks, by key and place, stays. Equal chunks count before the shuffle;
-    what is joined afterwards is an ordinary join that Spark may split, so a chunk in a third of
+    The first of equal chunks, by key (null first), content and place, stays. Equal chunks count
+    before the shuffle, and the few heavy ones are joined by broadcast, so a chunk in a third of
     all texts makes no large task."""
-    chunks = stash(chunk(docs, key, text), "chunks")
+    chunks = stash(chunk(texts), "chunks")
+    total = chunks.count()
     # A first, narrow count of one half of the digest leaves the few chunks worth the rest.
-    twice = chunks.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
-    near = stash(chunks.join(twice, "d1"), "chunks-near")
-    firsts = near.groupBy("d1", "d2", "size").agg(F.min(F.struct("k", "t", "nth")).alias("first"))
-    later = near.join(firsts, ["d1", "d2", "size"]).where(F.struct("k", "t", "nth") != F.col("first"))
-    runs = later.groupBy("k", "t").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("found"))
-
-    def joined(found):
-        """Neighbouring chunks as (start, end) ranges."""
-        def step(acc, x):
-            last = F.element_at(acc, -1)
-            touches = (F.size(acc) > 0) & (last["end"] >= x["start"])
-            longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["start"] + x["size"]).alias("end"))
-            single = F.struct(x["start"].alias("start"), (x["start"] + x["size"]).alias("end"))
-            return F.when(touches, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(single)))
-
-        return F.aggregate(found, F.expr("cast(array() as array<struct<start: int, end: int>>)"), step)
-
-    ranges = runs.select("k", "t", F.filter(joined(F.col("found")), lambda r: r["end"] - r["start"] >= least_run).alias("runs"))
-    return ranges.where(F.size("runs") > 0)
+    twice = stash(chunks.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1"), "chunks-twice")
+    near = stash(join_groups(chunks, twice, ["d1"], total), "chunks-near")
+    place = F.struct("k", "t", "start")
+    firsts = stash(near.groupBy("d1", "d2", "size").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "chunks-first")
+    later = join_groups(near, firsts, ["d1", "d2", "size"], total).where(place != F.col("first"))
+    runs = later.groupBy("t").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias("runs"))
+    return joined_ranges(runs, least_run)
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least_run: int = RUN) -> DataFrame:
@@ -146,35 +121,34 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
 
     Removed are runs of `least_run` bytes or more of chunks that stand earlier in the table (by
     key, then place) or in the same text. A null text is empty; texts shorter than a run are
-    kept. Rows that repeat a key and text are one text and get equal rows; other columns are
-    not carried."""
-    full = F.coalesce(F.col("text"), F.lit(""))
-    kind = docs.schema[key].dataType
-    light = docs.select(F.col(key).alias("given"), F.col(text).alias("text")).select(
-        "given", F.coalesce("given", F.lit("0").cast(kind)).alias("k"), content_id(F.concat(F.col("given").isNull().cast("string"), full)).alias("t"),
-        F.octet_length(full).cast("long").alias("n_bytes"), F.sha2(full, 256).alias("whole"),
-    )
-    once = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    runs = stash(repeated_runs(once, "k", "text", least_run), "chunk-runs")
-    # The plan is the same at every size: runs are hashed, texts stream past them.
-    texts = _packed(_keyed(docs, key, text)).join(runs.hint("shuffle_hash"), ["k", "t"]).dropDuplicates(["k", "t"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            kept, removed, spans = [], [], []
-            for i in range(batch.num_rows):
-                data = unpack.decompress(batch.column("packed")[i].as_py())
-                ranges = [(r["start"], r["end"]) for r in batch.column("runs")[i].as_py()]
-                edges = [0, *(x for r in ranges for x in r), len(data)]
-                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
-                removed.append(sum(b - a for a, b in ranges))
-                spans.append(len(ranges))
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["k", "t", "n_removed", "n_spans", "kept"])
-
-    done = texts.mapInArrow(run, f"k {kind.simpleString()}, t binary, n_removed long, n_spans long, kept binary")
-    done = done.select("k", "t", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
-    return light.join(done, ["k", "t"], "left").select(
-        F.col("given").alias(key), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"),
-    )
+    kept. Rows that repeat a key and text are one text and get equal rows; null keys are a key
+    that comes first; other columns are not carried."""
+    texts = _texts(docs, key, text)
+    with scratch(docs.sparkSession) as keep:
+        light = texts.select(F.col("k").alias("given"), "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+        light = keep(light, "chunk-docs")
+        spans = stash(repeated_runs(texts, least_run), "chunk-runs")
+        # The plan is the same at every size: runs are hashed, texts stream past them.
+        cut = _packed(texts).dropDuplicates(["t"]).join(spans.hint("shuffle_hash"), "t").select("t", "packed", "spans")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unpack = zstandard.ZstdDecompressor()
+            for batch in batches:
+                kept, removed, counts = [], [], []
+                for i in range(batch.num_rows):
+                    data = unpack.decompress(batch.column("packed")[i].as_py())
+                    edges = batch.column("spans")[i].values
+                    starts, ends = edges.field("start").to_pylist(), edges.field("end").to_pylist()
+                    kept.append(b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)])))
+                    removed.append(sum(ends) - sum(starts))
+                    counts.append(len(starts))
+                yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())], names=["t", "removed", "spans", "kept"])
+
+        done = cut.mapInArrow(run, "t binary, removed long, spans long, kept binary").select("t", "removed", "spans", F.sha2("kept", 256).alias("sha"))
+        sizes = light.groupBy("t").agg(F.count("*").alias("n"))
+        done = keep(done.join(sizes, "t"), "chunk-cut")
+        zero = F.lit(0).cast("long")
+        return join_groups(light, done, ["t"], light.count(), "left").select(
+            F.col("given").alias(key), "n_bytes", F.coalesce("removed", zero).alias("n_removed"),
+            F.coalesce("spans", zero).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"),
+        )

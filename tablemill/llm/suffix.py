@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.llm.common import RollingHash, column_bytes, content_id, free_name, join_groups, mix, slices
-from tablemill.storage import stash
+from tablemill.storage import scratch, stash
 
 LENGTH, QGRAM, BLOCK = 200, 64, 16
 #: Bytes that one step of a task holds as arrays; longer texts are cut into windows of so many.
@@ -232,6 +232,33 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(content_id(F.col(f"`{text}`")).alias("t"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
+def joined_ranges(found: DataFrame, least: int = 1) -> DataFrame:
+    """(t, spans) of (t, runs): the (start, end) ranges of each text with overlapping and touching
+    ones joined, in order, of `least` bytes or more; texts without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = batch.column("runs")
+            row = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy())
+            start, end = (f.to_numpy().astype(np.int64) for f in runs.flatten().flatten())
+            order = np.lexsort((start, row))
+            row, start, end = row[order], start[order], end[order]
+            far = np.maximum.accumulate(end + (row << 32)) - (row << 32)
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (start[1:] > far[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(row))[: len(first)] - 1
+            row, start, end = row[first], start[first], far[last]
+            long = end - start >= least
+            row, start, end = row[long], start[long], end[long]
+            some = np.unique(row)
+            struct = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["start", "end"])
+            spans = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(row, some), len(row)), pa.int32()), struct)
+            yield pa.RecordBatch.from_arrays([batch.column("t").take(pa.array(some)), spans], names=["t", "spans"])
+
+    return found.mapInArrow(run, "t binary, spans array<struct<start: long, end: long>>")
+
+
 def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, q: int = QGRAM, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """((t, spans), (t, packed)) for the texts of `docs` with any byte covered by a string of
     `length` bytes that also starts anywhere else, in the same or another text.
@@ -257,31 +284,14 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, q: int =
             mixed = stash(mixed, f"suffix-open-{level}")
     covered = found[0].union(found[1]).union(found[2]).groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Overlapping and touching runs joined, for all texts of a batch at once."""
-        for batch in batches:
-            runs = batch.column("runs")
-            flat, row = runs.flatten(), np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy())
-            lo, hi = (flat.field(f).to_numpy().astype(np.int64) for f in ("lo", "hi"))
-            order = np.lexsort((lo, row))
-            row, lo, end = row[order], lo[order], hi[order] + length
-            far = np.maximum.accumulate(end + (row << 32)) - (row << 32)
-            new = np.ones(len(lo), bool)
-            new[1:] = (row[1:] != row[:-1]) | (lo[1:] > far[:-1])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(lo))[: len(first)] - 1
-            struct = pa.StructArray.from_arrays([pa.array(lo[first]), pa.array(far[last])], names=["start", "end"])
-            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(len(runs) + 1)), pa.int32()), struct)
-            yield pa.RecordBatch.from_arrays([batch.column("t"), spans], names=["t", "spans"])
-
-    return covered.mapInArrow(run, "t binary, spans array<struct<start: long, end: long>>"), packed
+    return joined_ranges(covered.select("t", F.transform("runs", lambda r: F.struct(r["lo"], r["hi"] + length)).alias("runs"))), packed
 
 
-def _counted(docs: DataFrame, columns: dict[str, Column], text: str) -> tuple[DataFrame, int, DataFrame]:
+def _counted(docs: DataFrame, columns: dict[str, Column], text: str, keep) -> tuple[DataFrame, int, DataFrame]:
     """(narrow, rows, copies): the stored columns with the content id t, and (t, n, n_bytes) of
     the contents that stand twice or more."""
     full = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    narrow = stash(docs.select(content_id(F.col(f"`{text}`")).alias("t"), F.octet_length(full).cast("long").alias("n_bytes"), *(c.alias(n) for n, c in columns.items())), "suffix-docs")
+    narrow = keep(docs.select(content_id(F.col(f"`{text}`")).alias("t"), F.octet_length(full).cast("long").alias("n_bytes"), *(c.alias(n) for n, c in columns.items())), "suffix-docs")
     return narrow, narrow.count(), narrow.groupBy("t").agg(F.count("*").alias("n"), F.first("n_bytes").alias("n_bytes")).where("n > 1")
 
 
@@ -290,30 +300,31 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
 
     Repeated rows, null keys and several texts under one key are each judged by their content.
     Other columns are not carried, so their names cannot clash."""
-    whole = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
-    narrow, rows, copies = _counted(docs, {"given": F.col(f"`{key}`"), "whole": whole}, text)
-    # A text that stands twice is covered whole, so only texts that stand once need their spans.
-    gone = copies.where(F.col("n_bytes") >= length)
-    spans, packed = repeats(docs, text, length, **options)
-    joined = packed.join(spans.hint("shuffle_hash"), "t").select("t", "packed", "spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            kept, removed, counts = [], [], []
-            for i in range(batch.num_rows):
-                data = unpack.decompress(batch.column("packed")[i].as_py())
-                edges = batch.column("spans")[i].values
-                starts, ends = edges.field("start").to_pylist(), edges.field("end").to_pylist()
-                kept.append(b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)])))
-                removed.append(sum(ends) - sum(starts))
-                counts.append(len(starts))
-            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())], names=["t", "removed", "spans", "kept"])
-
-    cut = joined.mapInArrow(run, "t binary, removed long, spans long, kept binary").select("t", "removed", "spans", F.sha2("kept", 256).alias("sha"))
-    of_copies = gone.select("t", F.col("n_bytes").alias("removed"), F.lit(1).cast("long").alias("spans"), F.sha2(F.lit(""), 256).alias("sha"), "n")
-    single = cut.join(gone.select("t"), "t", "left_anti").withColumn("n", F.lit(1).cast("long"))
-    found = stash(of_copies.unionByName(single), "suffix-cut")
+    with scratch(docs.sparkSession) as keep:
+        whole = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
+        narrow, rows, copies = _counted(docs, {"given": F.col(f"`{key}`"), "whole": whole}, text, keep)
+        # A text that stands twice is covered whole, so only texts that stand once need their spans.
+        gone = copies.where(F.col("n_bytes") >= length)
+        spans, packed = repeats(docs, text, length, **options)
+        joined = packed.join(spans.hint("shuffle_hash"), "t").select("t", "packed", "spans")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unpack = zstandard.ZstdDecompressor()
+            for batch in batches:
+                kept, removed, counts = [], [], []
+                for i in range(batch.num_rows):
+                    data = unpack.decompress(batch.column("packed")[i].as_py())
+                    edges = batch.column("spans")[i].values
+                    starts, ends = edges.field("start").to_pylist(), edges.field("end").to_pylist()
+                    kept.append(b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)])))
+                    removed.append(sum(ends) - sum(starts))
+                    counts.append(len(starts))
+                yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())], names=["t", "removed", "spans", "kept"])
+
+        cut = joined.mapInArrow(run, "t binary, removed long, spans long, kept binary").select("t", "removed", "spans", F.sha2("kept", 256).alias("sha"))
+        of_copies = gone.select("t", F.col("n_bytes").alias("removed"), F.lit(1).cast("long").alias("spans"), F.sha2(F.lit(""), 256).alias("sha"), "n")
+        single = cut.join(gone.select("t"), "t", "left_anti").withColumn("n", F.lit(1).cast("long"))
+        found = keep(of_copies.unionByName(single), "suffix-cut")
     zero = F.lit(0).cast("long")
     return join_groups(narrow, found, ["t"], rows, "left").select(
         F.col("given").alias(key), "n_bytes", F.coalesce("removed", zero).alias("n_removed"),
@@ -325,11 +336,12 @@ def strip_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     """The rows and columns of `docs` without the repeated bytes in the text. A character stays
     whole if any of its bytes stays, so the text remains valid; null texts stay null. `docs` is
     read several times, so it should be a stored table."""
-    _, rows, copies = _counted(docs, {}, text)
-    gone = copies.where(F.col("n_bytes") >= length)
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
-    single = repeats(docs, text, length, **options)[0].join(gone.select("t"), "t", "left_anti").withColumn("n", F.lit(1).cast("long"))
-    found = stash(gone.select("t", whole.alias("spans"), "n").unionByName(single), "suffix-spans")
+    with scratch(docs.sparkSession) as keep:
+        _, rows, copies = _counted(docs, {}, text, stash)
+        gone = copies.where(F.col("n_bytes") >= length)
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+        single = repeats(docs, text, length, **options)[0].join(gone.select("t"), "t", "left_anti").withColumn("n", F.lit(1).cast("long"))
+        found = keep(gone.select("t", whole.alias("spans"), "n").unionByName(single), "suffix-spans")
     at, ranges = free_name(docs, "t"), free_name(docs, "spans")
     found = found.select(F.col("t").alias(at), F.col("spans").alias(ranges), "n")
 
