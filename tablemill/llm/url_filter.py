@@ -26,6 +26,8 @@ PATTERNS = [
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN = "[^A-Za-z0-9]+"
+#: A rule list of more rows than this is joined by a shuffle.
+BROADCAST = 100_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -49,41 +51,71 @@ def literal_tokens(rule: str) -> list[str]:
     return sorted({t for i, t in enumerate(parts) if i % 2 and not parts[i - 1].endswith("*") and parts[i + 1] and not parts[i + 1].startswith("*")})
 
 
-def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", host_rules: list[tuple[str, str]] | None = None, patterns: list[tuple[str, str]] | None = None) -> DataFrame:
+def filter_line(line: str) -> tuple[str, str, str, list[str]] | None:
+    """(rule, action, expression, tokens) of a line of a filter list; None for comments and blanks.
+
+    `||` anchors at the start of a host or a parent domain, `|` at either end, `*` is anything,
+    `^` a separator (no letter, digit, `_`, `-`, `.` or `%`) or the end, and `@@` ahead makes an
+    exception. A line without an anchor fits anywhere in host and path."""
+    rule = line.strip()
+    if not rule or rule.startswith("!"):
+        return None
+    action = "allow" if rule.startswith("@@") else "block"
+    body = rule.removeprefix("@@")
+    ahead = r"^(?:[^/]*\.)?" if body.startswith("||") else "^" if body.startswith("|") else ""
+    inner = body.lstrip("|")
+    ends = inner.endswith("|")
+    inner = inner.rstrip("|")
+    parts = {"*": ".*", "^": r"(?:[^A-Za-z0-9_.%\-]|$)"}
+    expression = ahead + "".join(parts.get(c, re.escape(c)) for c in inner) + ("$" if ends else "")
+    # At an anchored end a token is whole; at a free end, or beside a star, it may go on.
+    marked = ("^" if ahead else "*") + inner + ("^" if ends else "*")
+    return rule, action, expression, literal_tokens(marked)
+
+
+def filter_urls(
+    pages: DataFrame, key: str = "page_id", url: str = "url", host_rules: list[tuple[str, str]] | None = None,
+    patterns: list[tuple[str, str]] | None = None, filters: list[str] | None = None,
+) -> DataFrame:
     """(key, host, path, rule, verdict, pattern) of every row of `pages`.
 
-    Rules are a list held by the caller; each is filed under that literal token of its own
-    which is rarest among all urls. A url's distinct tokens fetch candidate rules by a join and
-    only those run their regular expression; the longest fitting host rule decides, or else the
-    first fitting pattern, or else `allow`. Each distinct host and path is judged once. A rule
-    without a literal token is refused (ValueError).
+    Rules are lists held by the caller: host rules, patterns over host labels, and lines of a
+    filter list (`filter_line`). Each rule is filed under that literal token of its own which is
+    rarest among all urls, one without a literal token under the empty token, which every url
+    has. A url's distinct tokens fetch candidate rules by a join and only those run their regular
+    expression, so the work a url costs does not grow with the list. The longest fitting host
+    rule decides, or else a fitting exception, or else the first fitting pattern or filter, or
+    else `allow`. Each distinct host and path is judged once.
 
     Null and unparsable urls have an empty host and path, fit no rule and are allowed; repeated
     rows give equal rows; other columns are not carried."""
     host_rules = HOST_RULES if host_rules is None else host_rules
     patterns = PATTERNS if patterns is None else patterns
     spark = pages.sparkSession
-    rows = [(n, rule, action, kind, expression(rule), t) for n, (rule, action, kind) in enumerate([(*r, "host") for r in host_rules] + [(*p, "pattern") for p in patterns]) for t in literal_tokens(rule)]
-    if len({r[0] for r in rows}) < len(host_rules) + len(patterns):
-        raise ValueError("a rule has no literal token")
+    known = [(r, a, "host", expression(r), literal_tokens(r)) for r, a in host_rules] + [(r, a, "pattern", expression(r), literal_tokens(r)) for r, a in patterns]
+    known += [(r, a, "pattern", e, t) for r, a, e, t in filter(None, map(filter_line, filters or []))]
+    rows = [(n, rule, action, kind, regex, t) for n, (rule, action, kind, regex, tokens) in enumerate(known) for t in tokens or [""]]
     rules = spark.createDataFrame(rows, "n int, rule string, action string, kind string, expression string, token string")
 
+    def beside(table: DataFrame) -> DataFrame:
+        """The table of rules, broadcast while it has at most BROADCAST rows."""
+        return F.broadcast(table) if len(rows) <= BROADCAST else table
+
     host, path = host_and_path(F.col(url))
     given = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
     subjects = given.where("host <> ''").select("host", "path").distinct()
-    # No Spark expression needs the url's other tokens: only those that some rule holds are kept.
-    wanted = sorted({r[5] for r in rows})
-    tokens = subjects.select("host", "path", F.explode(F.array_intersect(F.split(F.concat("host", "path"), TOKEN), F.array(*map(F.lit, wanted)))).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("urls"))
+    own = F.array_distinct(F.concat(F.split(F.concat("host", "path"), TOKEN), F.array(F.lit(""))))
+    tokens = subjects.select("host", "path", F.explode(own).alias("token")).join(beside(rules.select("token").distinct()), "token")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("urls"))  # at most a row for each token of a rule
     index = (
-        rules.join(F.broadcast(counts), "token", "left")
+        rules.join(counts, "token", "left")
         .groupBy("n", "rule", "action", "kind", "expression")
         .agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token"))["token"].alias("token"))
     )
-    fits = tokens.join(F.broadcast(index), "token").where(F.expr("rlike(concat(host, path), expression)"))
+    fits = tokens.join(beside(index), "token").where(F.expr("rlike(concat(host, path), expression)"))
     best = fits.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == "host", F.struct(F.length("rule"), -F.col("n"), "rule", "action"))).alias("by_host"),
-        F.min(F.when(F.col("kind") == "pattern", F.struct("n", "rule", "action"))).alias("by_pattern"),
+        F.min(F.when(F.col("kind") == "pattern", F.struct(F.col("action") != "allow", "n", "rule", "action"))).alias("by_pattern"),
     )
     return given.join(best, ["host", "path"], "left").select(
         F.col("key").alias(key), "host", "path", F.col("by_host.rule").alias("rule"),

@@ -87,3 +87,63 @@ def test_rules_are_filed_under_literal_tokens():
 def test_quality_plan_has_no_python(documents):
     plan = quality_rules.apply_rules(documents([(1, "a b c")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_a_slow_rule_goes_last_and_later_rules_count_what_is_left(documents):
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 1000}" for j in range(200))) for i in range(400)]
+    slow = F.aggregate(F.sequence(F.lit(1), F.lit(3000)), F.lit(0).cast("long"), lambda a, x: a + F.xxhash64(x + F.col("n_words")) % 2) > -10_000
+    rules = {
+        "slow": lambda: slow & (F.col("doc_id") % 4 < 3),
+        "quick": lambda: F.col("doc_id") % 4 < 2,
+        "same": lambda: F.col("doc_id") % 4 == 1,
+        "rest": lambda: F.col("doc_id") % 4 == 3,
+    }
+    sample = quality_rules.base_metrics(documents(rows), "text")
+    order = quality_rules.cascade_order(sample, rules)
+    # `same` rejects nothing that `quick` leaves, so it comes after `rest` and even after `slow`.
+    assert order[0] == "quick" and order.index("rest") < order.index("slow") < order.index("same")
+    assert quality_rules.cascade_order(sample.limit(0), rules) == list(rules)
+
+
+def test_thousands_of_filters_against_a_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    names = [f"n{i}" for i in range(60)]
+    lines = ["! comment", "", "|ads.|", "^track^", "*"[:0] + "/x_*_y", "@@||n1.n2^"]
+    lines += [f"||{rng.choice(names)}.{rng.choice(names)}{rng.choice(['^', '/', '*z', ''])}{rng.choice(names)}" for _ in range(3000)]
+    lines += [f"{rng.choice(['', '@@'])}/{rng.choice(names)}-{rng.choice(names)}{rng.choice(['^', '*', '|', ''])}" for _ in range(1000)]
+    urls = [f"http://{'.'.join(rng.sample(names, rng.randint(2, 4)))}/{rng.choice(names)}-{rng.choice(names)}{rng.choice(['', 'q', '/z', '?q'])}" for _ in range(300)]
+    urls += ["http://ads.", "http://ads.x", "http://a.b/track/", "http://a.b/track", "http://a.b/tracks", "http://a.b/x_1_y", "http://n1.n2/z", "http://zn1.n2/z"]
+
+    def fits(line, target):
+        rule = line.removeprefix("@@")
+        body = rule.strip("|")
+        tail = body + ("" if rule.endswith("|") and len(rule) > 1 else "*")
+        start = [0] if rule.startswith("|") and not rule.startswith("||") else range(len(target) + 1)
+        if rule.startswith("||"):
+            host_end = target.find("/") if "/" in target else len(target)
+            start = [0, *(i + 1 for i in range(host_end) if target[i] == ".")]
+
+        def match(p, at):
+            if not p:
+                return at == len(target)
+            if p[0] == "*":
+                return any(match(p[1:], k) for k in range(at, len(target) + 1))
+            if p[0] == "^":
+                sep = at < len(target) and not (target[at].isascii() and (target[at].isalnum() or target[at] in "_.%-"))
+                return sep and match(p[1:], at + 1) or at == len(target) and match(p[1:], at)
+            return at < len(target) and target[at] == p[0] and match(p[1:], at + 1)
+
+        return any(match(tail, s) for s in start)
+
+    rules = [x for x in lines if x and not x.startswith("!")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, host_rules=[], patterns=[], filters=lines).collect()}
+    for i, url in enumerate(urls):
+        rest = url.split("://", 1)[1].split("?")[0]
+        hits = [r for r in rules if fits(r, rest)]
+        want = next((r for r in hits if r.startswith("@@")), hits[0] if hits else None)
+        assert got[i].pattern == want and got[i].verdict == ("block" if want and not want.startswith("@@") else "allow"), url
