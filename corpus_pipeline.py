@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablemill.llm import classifier, minhash, packing, secret_scan, suffix
 from tablemill.llm.queries import VOCABULARY
-from tablemill.storage import stash, table
+from tablemill.storage import scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the table documents of `sf_dir`."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with scratch(spark) as keep:  # what a stage stores for itself goes when its rows are written
+            docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

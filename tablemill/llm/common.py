@@ -111,17 +111,21 @@ MOST_HEAVY = 2048
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
-    """`rows` joined (inner or left) to `groups`, a table of one narrow row per `on` with the
-    number `n` of that group's rows; `n` goes away. `rows` is read twice, so it should be a
+    """`rows` joined (inner or left) to `groups`, a stored table of one narrow row per `on` with
+    the number `n` of that group's rows; `n` goes away. `rows` is read twice, so it should be a
     stored table; `total` is its size, or more.
 
     Rows of heavy groups never meet in one task: these groups are fewer than MOST_HEAVY by
-    arithmetic, so they are broadcast, and only the other rows are shuffled."""
-    heavy = groups.where(F.col("n") * MOST_HEAVY > total).drop("n")
-    light = groups.where(F.col("n") * MOST_HEAVY <= total).drop("n")
-    near = rows.join(F.broadcast(heavy), on)
-    far = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, how)
-    return near.unionByName(far)
+    arithmetic, so they are told by a list of their keys' hashes and broadcast; other rows are
+    shuffled. A light group whose hash is on the list is broadcast as well."""
+    key = F.xxhash64(*on)
+    heavy = [r[0] for r in groups.where(F.col("n") * MOST_HEAVY > total).select(key).distinct().collect()]
+    groups = groups.drop("n")
+    if not heavy:
+        return rows.join(groups, on, how)
+    known = key.isin(heavy)
+    near = rows.where(known).join(F.broadcast(groups.where(known)), on, how)
+    return near.unionByName(rows.where(~known).join(groups.where(~known), on, how))
 
 
 def content_id(*columns: Column) -> Column:

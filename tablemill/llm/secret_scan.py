@@ -8,7 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.storage import stash
+from tablemill.llm.common import content_id, free_name, join_groups
+from tablemill.storage import scratch, stash
 
 #: What names a secret before its value, and the signs between the two.
 CUE = (
@@ -198,9 +199,10 @@ def train(labelled: DataFrame, trees: int = 24, depth: int = 8, seed: int = 17)
     partition, so that the same rows give the same forest."""
     rows = features(candidates(labelled.select("text", "path", "label")), F.col("path")).where("number = 1")
     rows = rows.select(*(f"_f_{f}" for f in FEATURES), F.col("label").cast("double").alias("label"))
-    ordered = stash(rows, "labelled-findings").coalesce(1).sortWithinPartitions(*(f"_f_{f}" for f in FEATURES), "label")
-    assembled = VectorAssembler(inputCols=[f"_f_{f}" for f in FEATURES], outputCol="features").transform(ordered)
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(assembled.select("features", "label"))
+    with scratch(labelled.sparkSession):
+        ordered = stash(rows, "labelled-findings").coalesce(1).sortWithinPartitions(*(f"_f_{f}" for f in FEATURES), "label")
+        assembled = VectorAssembler(inputCols=[f"_f_{f}" for f in FEATURES], outputCol="features").transform(ordered)
+        return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(assembled.select("features", "label"))
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
@@ -222,13 +224,17 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, key: str = "
     """The rows and columns of `docs` with every secret in the text replaced by `mask`; texts
     without secrets, and null texts, are unchanged. Texts are matched to their findings by a
     128-bit hash, so repeated rows, null keys and texts under one key are each treated."""
-    place = path if path and path in docs.columns else None
-    hashed = F.concat(F.md5(F.col(text)), F.coalesce(F.col(place).cast("string"), F.lit("")) if place else F.lit(""))
-    given = docs.withColumn("__hash", hashed)
-    distinct = given.select("__hash", F.col(text).alias("_text"), (F.col(place) if place else F.lit(None).cast("string")).alias("_place"))
-    found = scan(distinct, model, "__hash", "_text", "_place").where("is_secret")
-    secrets = found.groupBy("__hash").agg(F.collect_set("number").alias("__secret"))
-    parts = F.split(_marked(F.col(text)), MARK)
-    hidden = F.transform(parts, lambda p, i: F.when((i % 2 == 1) & F.array_contains("__secret", ((i + 1) / 2).cast("int")), F.lit(mask)).otherwise(p))
-    rebuilt = F.when(F.col("__secret").isNull(), F.col(text)).otherwise(F.array_join(hidden, ""))
-    return given.join(secrets, "__hash", "left").select(*(rebuilt.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+    place = F.col(f"`{path}`").cast("string") if path and path in docs.columns else F.lit(None).cast("string")
+    at, numbers = free_name(docs, "hash"), free_name(docs, "secrets")
+    given = docs.withColumn(at, content_id(F.col(f"`{text}`"), place))
+    with scratch(docs.sparkSession) as keep:
+        found = scan(given.select(F.col(at).alias("hash"), F.col(f"`{text}`").alias("text"), place.alias("place")), model, "hash", "text", "place")
+        secrets = stash(found.where("is_secret").groupBy("hash").agg(F.collect_set("number").alias("secrets")), "secrets")
+        sizes = given.groupBy(F.col(at).alias("hash")).agg(F.count("*").alias("n"))
+        secrets = keep(secrets.join(sizes, "hash").select(F.col("hash").alias(at), F.col("secrets").alias(numbers), "n"), "secrets-of-texts")
+    parts = F.split(_marked(F.col(f"`{text}`")), MARK)
+    own = F.col(f"`{numbers}`")
+    hidden = F.transform(parts, lambda p, i: F.when((i % 2 == 1) & F.array_contains(own, ((i + 1) / 2).cast("int")), F.lit(mask)).otherwise(p))
+    rebuilt = F.when(own.isNull(), F.col(f"`{text}`")).otherwise(F.array_join(hidden, ""))
+    joined = join_groups(given, secrets.hint("shuffle_hash"), [at], docs.count(), "left")
+    return joined.select(*(rebuilt.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
