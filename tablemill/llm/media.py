@@ -1,8 +1,9 @@
 """AVI motion-JPEG columns: storing bytes as lossless intra frames, reading them back by the
 RIFF index, and cutting videos into timed clips at adaptive histogram differences.
 
-Frames are JPEG's lossless process (SOF3: one component, 8-bit samples, left predictor), so
-every stored sample is read back as it was. Frames of a batch are coded in step with each
+Stored frames are JPEG's lossless process (SOF3: one component, 8-bit samples, left predictor),
+so every stored sample is read back as it was; ordinary baseline frames are read too, by their
+brightness. Frames of a batch are coded in step with each
 other, one array operation for all of them, and frames that share their tables are decoded so.
 """
 
@@ -17,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import slices, text_bytes
+from tablemill.llm.baseline import BaselineError, is_baseline, luma
+from tablemill.llm.common import column_bytes, slices
 
 WIDTH, HEIGHT = 16, 12
 UNIT = WIDTH * HEIGHT
@@ -239,11 +241,18 @@ _heads: dict[bytes, FrameHead] = {}
 
 
 def decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """The samples of every frame; frames with the same header are decoded in step."""
+    """The samples of every frame: lossless ones with the same header are decoded in step,
+    baseline ones give their brightness plane."""
     out: list[np.ndarray | None] = [None] * len(starts)
     left = np.arange(len(starts))
     while len(left):
         one = data[starts[left[0]] : starts[left[0]] + sizes[left[0]]].tobytes()
+        if is_baseline(one):
+            try:
+                out[left[0]], left = luma(one).ravel(), left[1:]
+            except (BaselineError, IndexError, KeyError) as error:
+                raise MediaError("a broken baseline frame") from error
+            continue
         head = next((h for k, h in _heads.items() if one.startswith(k)), None)
         if head is None:
             head = parse_jpeg_head(one)
@@ -312,7 +321,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                data, offsets = text_bytes(part.column("text").to_pylist())
+                data, offsets = column_bytes(part.column("text"))
                 sizes = np.diff(offsets)
                 frames = np.maximum(1, -(-sizes // UNIT))
                 payload = np.full(int(frames.sum()) * UNIT, 32, np.uint8)
