@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablemill.llm import classifier, minhash, packing, secret_scan, suffix
 from tablemill.llm.queries import VOCABULARY
-from tablemill.storage import scratch, table
+from tablemill.storage import scratch, stash, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,9 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; n_chars follows the text."""
-    model = secret_scan.train(secret_scan.labelled_findings(spark))
-    return secret_scan.redact(docs, model).withColumn("n_chars", F.length("text").cast("long"))
+    words = stash(secret_scan.corpus_words(docs), "corpus-words")
+    model = secret_scan.train(secret_scan.labelled_findings(spark), words)
+    return secret_scan.redact(docs, model, words=words).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,24 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.llm import bpe, chunks, classifier, media, minhash, packing, quality_rules, secret_scan, suffix, url_filter
-from tablemill.storage import table
+from tablemill.storage import scratch, stash, table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class for every document; null keys included."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), null_keys=True)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base metrics and verdict of every document."""
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded text of every document; a null text is empty."""
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return out.select(
         "doc_id",
@@ -37,16 +41,19 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a model of the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences; the checksum is of the ids as unsigned 32-bit numbers."""
     out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return out.select("doc_id", "start", "length", F.crc32("piece").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored bytes, what is read back from them, and its features, of every document."""
     back = media.read(media.store(table(spark, sf_dir, "documents")))
     return back.select(
         "doc_id", "n_bytes",
@@ -60,15 +67,21 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats earlier chunks, of every document."""
     return chunks.deduplicate(table(spark, sf_dir, "documents"))
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secret_scan.train(secret_scan.labelled_findings(spark))
-    return secret_scan.scan(table(spark, sf_dir, "documents"), model)
+    """Every candidate of every document: its number, score and whether it is a secret."""
+    docs = table(spark, sf_dir, "documents")
+    with scratch(spark) as keep:
+        words = stash(secret_scan.corpus_words(docs), "corpus-words")
+        model = secret_scan.train(secret_scan.labelled_findings(spark), words)
+        return keep(secret_scan.scan(docs, model, words=words), "findings")
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is covered by strings that start elsewhere too, of every document."""
     return suffix.deduplicate(table(spark, sf_dir, "documents"))
 
 

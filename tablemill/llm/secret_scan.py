@@ -31,7 +31,9 @@ CANDIDATE = "|".join([
 #: A noncharacter, which no interchanged text holds; where one does, it is read as a space.
 MARK = "﷐"
 LEFT, RIGHT = 40, 24
-# Words that make a candidate readable, and so less likely random.
+#: Words that stand so often in the corpus are its dictionary; training takes so many of them.
+LEAST_COUNT, TRAINING_WORDS = 3, 1200
+# Words that name a placeholder or a field and so speak against a secret.
 WORDS = [
     "account", "address", "admin", "api", "asset", "auth", "backup", "banner", "build", "cache", "changeme", "client",
     "cluster", "config", "customer", "data", "default", "demo", "docs", "dummy", "example", "fake", "file", "get",
@@ -47,7 +49,7 @@ HASH_CUE = r"(?i)(?:sha-?(?:1|256|512)?|md5|commit|revision|rev|checksum|digest|
 FEATURES = [
     "length", "transitions", "dictionary", "digits", "uppers", "lowers", "symbols", "distinct", "all_digits", "all_hex",
     "dashes", "issuer", "slashes", "in_path", "test_path", "assigned", "secret_cue", "hash_cue", "quoted",
-    "url_password", "key_block", "reference", "spaces",
+    "url_password", "key_block", "reference", "spaces", "known",
 ]
 
 
@@ -72,9 +74,29 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     return split.select(*others, F.explode(found).alias("_found")).select(*others, "_found.*")
 
 
+def corpus_words(docs: DataFrame, text: str = "text", least: int = LEAST_COUNT) -> DataFrame:
+    """(word): the corpus's dictionary, the lower-cased words of 3 to 24 letters a to z that stand
+    `least` times or more in all texts together. Counts are added up before the shuffle."""
+    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), "[^a-z]+")).alias("word"))
+    return words.where(F.length("word").between(3, 24)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word")
+
+
+def with_known(found: DataFrame, words: DataFrame | None) -> DataFrame:
+    """The stored rows of `found` with `known`: the share of the candidate's characters in pieces
+    (runs of letters, parted where an upper-case letter follows a lower-case one) that are words
+    of the dictionary; 0 without one. Pieces are looked up once for each different candidate."""
+    if words is None:
+        return found.withColumn("known", F.lit(0.0))
+    sizes = found.groupBy("candidate").agg(F.count("*").alias("n"))
+    pieces = sizes.select("candidate", F.explode(F.regexp_extract_all("candidate", F.lit("[A-Z]?[a-z]{2,}|[A-Z]{3,}"), F.lit(0))).alias("piece"))
+    hits = pieces.join(words, F.lower("piece") == F.col("word")).groupBy("candidate").agg(F.sum(F.length("piece")).alias("letters"))
+    shares = stash(hits.join(sizes, "candidate").select("candidate", (F.col("letters") / F.length("candidate")).alias("known"), "n"), "known-shares")
+    return join_groups(found, shares, ["candidate"], found.count(), "left").withColumn("known", F.coalesce("known", F.lit(0.0)))
+
+
 def features(found: DataFrame, path: Column) -> DataFrame:
     """FEATURES beside the given columns: candidate length, character transitions, dictionary
-    coverage, path and neighbouring words."""
+    coverage, path and neighbouring words. `found` may hold `known` of `with_known`."""
     c = F.col("candidate")
     n = F.length(c)
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0"), "[^aA0]+", "-")
@@ -106,10 +128,37 @@ def features(found: DataFrame, path: Column) -> DataFrame:
         "key_block": flag(F.col("left").rlike(r"PRIVATE KEY(?: BLOCK)?-----\s*$")),
         "reference": flag(c.rlike(REFERENCE)),
         "spaces": share(r"\s"),
+        "known": F.col("known") if "known" in found.columns else F.lit(0.0),
     }
     return found.select(*found.columns, *(values[f].cast("double").alias(f"_f_{f}") for f in FEATURES))
 
 
+def labelled_from(words: DataFrame, most: int = TRAINING_WORDS) -> DataFrame:
+    """(text, path, label): findings made of the corpus's own words, a bounded number of them by
+    hash: identifiers, paths, constants, slugs and words after a cue are no secrets, quoted
+    phrases after a cue are. The dictionary that is asked later is learned, so no fixed list
+    tells these rows apart."""
+    some = words.orderBy(F.xxhash64("word"), "word").limit(most).agg(F.sort_array(F.collect_list("word")).alias("w"))  # one row of at most `most` words
+    rows = some.where(F.size("w") > 0).select("w", F.explode(F.sequence(F.lit(0), F.lit(149))).alias("id"))
+
+    def word(salt: str) -> Column:
+        return F.get("w", F.pmod(F.xxhash64("id", F.lit(salt)), F.size("w")).cast("int"))
+
+    a, b, c, d, e, f = (word(x) for x in "abcdef")
+    join = lambda by, *parts: F.concat_ws(by, *parts)
+    lines = [
+        (0, join(" ", a, join("_", b, c, d, e), f)), (0, join(" ", a, F.concat(*(F.initcap(x) for x in (b, c, d, e))), f)),
+        (0, join(" ", a, join("/", b, c, d, join("-", e, f)))), (0, join(" ", a, F.upper(join("_", b, c, d)), f)),
+        (0, join(" ", a, join("-", b, c, d, e, f))), (0, F.concat(F.lit("password: "), b, F.lit(" "), c)), (0, F.concat(a, F.lit(" token = "), b, F.lit("_"), c, F.lit("_"), d)),
+        (1, F.concat(a, F.lit(' passphrase = "'), join(" ", b, c, d, e), F.lit('"'))),
+    ]
+    made = [rows.select(t.alias("text"), F.lit("notes.txt").alias("path"), F.lit(label).alias("label")) for label, t in lines]
+    out = made[0]
+    for other in made[1:]:
+        out = out.union(other)
+    return out
+
+
 def labelled_findings(spark: SparkSession, per_kind: int = 150, seed: str = "train") -> DataFrame:
     """(text, path, label): labelled findings of 37 kinds, made by rule from hashes of a row
     number. Kinds are issued keys, key blocks, passwords in urls, and random values, short
@@ -192,27 +241,37 @@ def labelled_findings(spark: SparkSession, per_kind: int = 150, seed: str = "tra
     return out.select("kind", "id", "text", "path", "label")
 
 
-def train(labelled: DataFrame, trees: int = 24, depth: int = 8, seed: int = 17) -> RandomForestClassificationModel:
-    """A forest over the features of the first candidate of each labelled (text, path, label).
+def train(labelled: DataFrame, words: DataFrame | None = None, trees: int = 24, depth: int = 8, seed: int = 17) -> RandomForestClassificationModel:
+    """A forest over the features of the first candidate of each labelled (text, path, label),
+    and with the corpus's `words` of the findings made of them.
 
     The labelled rows are a bounded set held by the caller; they are put in one order in one
     partition, so that the same rows give the same forest."""
-    rows = features(candidates(labelled.select("text", "path", "label")), F.col("path")).where("number = 1")
-    rows = rows.select(*(f"_f_{f}" for f in FEATURES), F.col("label").cast("double").alias("label"))
+    given = labelled.select("text", "path", "label")
     with scratch(labelled.sparkSession):
+        if words is not None:
+            given = given.union(labelled_from(words))
+        found = stash(candidates(given).where("number = 1"), "labelled-candidates")
+        rows = features(with_known(found, words), F.col("path"))
+        rows = rows.select(*(f"_f_{f}" for f in FEATURES), F.col("label").cast("double").alias("label"))
         ordered = stash(rows, "labelled-findings").coalesce(1).sortWithinPartitions(*(f"_f_{f}" for f in FEATURES), "label")
         assembled = VectorAssembler(inputCols=[f"_f_{f}" for f in FEATURES], outputCol="features").transform(ordered)
         return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(assembled.select("features", "label"))
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
+def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text", path: str | None = "source", words: DataFrame | None = None) -> DataFrame:
     """(key, number, candidate, score, is_secret): every candidate of every text with the
-    forest's probability of a true secret; is_secret at 0.5 or more. See `candidates` for the
+    forest's probability of a true secret; is_secret at 0.5 or more. `words` is the stored
+    dictionary that the model was trained with. See `candidates` for the
     numbering. Null and empty texts have none; repeated rows give repeated findings; null paths
     count as plain; only key, text and path are read, so other columns cannot clash."""
     place = F.col(path) if path and path in docs.columns else F.lit(None).cast("string")
     given = docs.select(F.col(key).alias("_key"), place.cast("string").alias("_path"), F.col(text).alias("_text"))
-    rows = features(candidates(given, "_text"), F.coalesce("_path", F.lit("")))
+    found = candidates(given, "_text")
+    if words is not None:
+        with scratch(docs.sparkSession) as keep:  # the answer reads no texts again
+            found = keep(with_known(stash(found, "candidates"), words), "known-candidates")
+    rows = features(found, F.coalesce("_path", F.lit("")))
     assembled = VectorAssembler(inputCols=[f"_f_{f}" for f in FEATURES], outputCol="_vector").transform(rows)
     model.setFeaturesCol("_vector").setProbabilityCol("_probability").setRawPredictionCol("").setPredictionCol("")
     score = vector_to_array("_probability")[1]
@@ -220,7 +279,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "do
     return scored.select(F.col("_key").alias(key), "number", "candidate", "score", (F.col("score") >= 0.5).alias("is_secret"))
 
 
-def redact(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text", path: str | None = "source", mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text", path: str | None = "source", mask: str = "[SECRET]", words: DataFrame | None = None) -> DataFrame:
     """The rows and columns of `docs` with every secret in the text replaced by `mask`; texts
     without secrets, and null texts, are unchanged. Texts are matched to their findings by a
     128-bit hash, so repeated rows, null keys and texts under one key are each treated."""
@@ -228,7 +287,7 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, key: str = "
     at, numbers = free_name(docs, "hash"), free_name(docs, "secrets")
     given = docs.withColumn(at, content_id(F.col(f"`{text}`"), place))
     with scratch(docs.sparkSession) as keep:
-        found = scan(given.select(F.col(at).alias("hash"), F.col(f"`{text}`").alias("text"), place.alias("place")), model, "hash", "text", "place")
+        found = scan(given.select(F.col(at).alias("hash"), F.col(f"`{text}`").alias("text"), place.alias("place")), model, "hash", "text", "place", words)
         secrets = stash(found.where("is_secret").groupBy("hash").agg(F.collect_set("number").alias("secrets")), "secrets")
         sizes = given.groupBy(F.col(at).alias("hash")).agg(F.count("*").alias("n"))
         secrets = keep(secrets.join(sizes, "hash").select(F.col("hash").alias(at), F.col("secrets").alias(numbers), "n"), "secrets-of-texts")
