@@ -239,3 +239,13 @@ def retried(tracks: DataFrame, failed: DataFrame, most: int) -> DataFrame:
     met = tracks.select("id", "attempts").join(failed.select("id").distinct().withColumn("_hit", F.lit(1)), "id", "left")
     attempts = F.coalesce("attempts", F.lit(0)) + F.coalesce("_hit", F.lit(0))
     return met.select("id", attempts.alias("attempts"), F.when(attempts >= most, "terminal").when(attempts > 0, "due").otherwise("new").alias("state"))
+
+
+def apply_events(tracks: DataFrame, events: DataFrame, order: str) -> DataFrame:
+    """Tracks after file events (path, kind, size_bytes, mtime and `order`): of each path the last
+    event counts. Created and modified files are upserted as a listing's are; a removed file takes
+    its track along only while that is pending."""
+    last = joins.prefer(events.select("path", "kind", "size_bytes", "mtime", order), ["path"], -F.col(order), F.col("kind"))
+    gone = last.where("kind = 'remove'").select("path")
+    left = tracks.join(gone.withColumn("_gone", F.lit(True)), "path", "left").where("_gone is null or status <> 'pending'").select(*tracks.columns)
+    return upsert_files(left, last.where("kind <> 'remove'").select("path", "size_bytes", "mtime"))

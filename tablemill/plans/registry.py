@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablemill.plans import browse, duplicates, identify, journal, library, measures, state
+from tablemill.plans import browse, duplicates, identify, journal, library, measures, state, streams
 from tablemill.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "browse", "duplicates", "identify", "journal", "library", "measures", "state"]
+__all__ = ["ORACLE_SQL", "QUERIES", "browse", "duplicates", "identify", "journal", "library", "measures", "state", "streams"]

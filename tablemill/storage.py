@@ -64,16 +64,17 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         yield keep
     finally:
         for path in _open.made.pop():
-            _delete(spark, path)
+            delete_path(spark, path)
         if _open.made:
             _open.made[-1].extend(kept)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reaches."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def clear_stashes(spark: SparkSession) -> None:
     """Delete every stash of the shared folder; only when no result that reads one is needed."""
-    _delete(spark, f"{shared_dir(spark)}/tablemill")
+    delete_path(spark, f"{shared_dir(spark)}/tablemill")

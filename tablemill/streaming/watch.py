@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tablemill import schemas
+from tablemill.storage import delete_path
 
 
 def listing_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,14 +28,53 @@ def counts_by_window(events: DataFrame, at: str, width: str, delay: str, *group:
     return timed.groupBy(F.window(at, width), *group).agg(F.count("*").alias("n"))
 
 
-def apply_batches(stream: DataFrame, state_path: str, step: Callable[[DataFrame, DataFrame], DataFrame], empty: DataFrame, checkpoint: str) -> StreamingQuery:
+def running_sums(blocks: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, total, squares, peak) of all values so far: bounded accumulators in the state of
+    a stream without end; a batch table gives the same."""
+    x = F.col(value)
+    return blocks.groupBy(key).agg(F.count("*").alias("n"), F.sum(x).alias("total"), F.sum(x * x).alias("squares"), F.max(F.abs(x)).alias("peak"))
+
+
+def apply_batches(
+    stream: DataFrame, state_path: str, step: Callable[[DataFrame, DataFrame], DataFrame], empty: DataFrame, checkpoint: str,
+    notify: Callable[[int], None] | None = None,
+) -> StreamingQuery:
     """Keep a table under `state_path`, one folder per batch: after each batch the state is
     step(state, batch). A batch that is run again overwrites its own folder, so a restart
-    neither loses nor doubles changes. Runs over what has arrived, then ends."""
+    neither loses nor doubles changes; the folders before the last one are deleted. `notify` gets
+    the number of a batch that changed anything, once. Runs over what has arrived, then ends."""
     spark = empty.sparkSession
 
     def run(batch: DataFrame, number: int) -> None:
         before = spark.read.schema(empty.schema).parquet(f"{state_path}/{number - 1}") if number else empty
         step(before, batch).write.mode("overwrite").parquet(f"{state_path}/{number}")
+        if number > 1:
+            delete_path(spark, f"{state_path}/{number - 2}")
+        if notify is not None:
+            after = spark.read.schema(empty.schema).parquet(f"{state_path}/{number}")
+            if not after.exceptAll(before).limit(1).isEmpty() or not before.exceptAll(after).limit(1).isEmpty():
+                notify(number)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class ProgressEvery(StreamingQueryListener):
+    """Calls `tell` with the rows read so far, at most once for every `step` of them."""
+
+    def __init__(self, step: int, tell: Callable[[int], None]):
+        self.step, self.tell, self.rows, self.told = step, tell, 0, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += event.progress.numInputRows
+        if self.rows // self.step > self.told:
+            self.told = self.rows // self.step
+            self.tell(self.rows)

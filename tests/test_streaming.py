@@ -41,3 +41,25 @@ def test_windows_of_events(spark, tmp_path):
     query = watch.counts_by_window(stream, "ts", "1 day", "1 hour", "event_type").writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("select sum(n) as n from windows").first().n == source.count()
+
+
+def test_file_events_notify_once_and_old_states_go(spark, tmp_path):
+    import os
+
+    empty = spark.createDataFrame([], "id long, path string, size_bytes long, mtime long, status string, verdict string, report_json string")
+    here, kept, told, seen = tmp_path / "in", str(tmp_path / "state"), [], []
+    here.mkdir()
+    listener = watch.ProgressEvery(2, seen.append)
+    spark.streams.addListener(listener)
+    kind = "path string, kind string, size_bytes long, mtime long, at long"
+    batches = [[("a", "create", 1, 1, 1), ("b", "create", 1, 1, 2), ("b", "remove", 0, 0, 3)], [("x", "remove", 0, 0, 1)], [("a", "modify", 2, 1, 1), ("a", "remove", 0, 0, 0)], [("a", "remove", 0, 0, 9)]]
+    states = []
+    for n, rows in enumerate(batches):
+        (here / f"{n}.json").write_text("".join(json.dumps(dict(zip(("path", "kind", "size_bytes", "mtime", "at"), r))) + "\n" for r in rows))
+        stream = spark.readStream.schema(kind).json(str(here))
+        watch.apply_batches(stream, kept, lambda before, batch: state.apply_events(before, batch, "at"), empty, str(tmp_path / "log"), told.append).awaitTermination()
+        states.append(sorted((r.path, r.size_bytes, r.status) for r in spark.read.parquet(f"{kept}/{n}").collect()))
+    spark.streams.removeListener(listener)
+    assert states == [[("a", 1, "pending")], [("a", 1, "pending")], [("a", 2, "pending")], []]
+    assert told == [0, 2, 3] and sorted(os.listdir(kept)) == ["2", "3"]
+    assert seen and seen == sorted(seen)
