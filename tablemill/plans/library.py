@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.functions import text
-from tablemill.operators import filters, state
+from tablemill.operators import aggregates, filters, state
 from tablemill.plans.base import query
 from tablemill.sources import catalogues, files
 from tablemill.storage import table
@@ -162,7 +162,7 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("s_suppkey", "pos", "artist", "title", "label", "year")
 
 
-@query("SC6 AG19", "select s_suppkey as track_id, '/music/' || s_name || ' 100%.mp3' as path from supplier")
+@query("SC6", "select s_suppkey as track_id, '/music/' || s_name || ' 100%.mp3' as path from supplier")
 def collection_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of an exported collection with their local paths."""
     entry = F.concat(F.lit('<TRACK TrackID="'), F.col("s_suppkey").cast("string"), F.lit('" Location="file://localhost/music/'), F.replace("s_name", F.lit("#"), F.lit("%23")), F.lit(' 100%25.mp3"/>'))
@@ -263,7 +263,7 @@ def deleted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(F.broadcast(lists["genres"].agg(F.count("*").alias("children")))).join(F.broadcast(after.agg(F.count("track_id").alias("linked_actions"))))
 
 
-@query("SK17 SK18", """
+@query("SK18", """
 with c as (select lower(p_name) as k, count(*) as n from part where p_partkey % 3 <> 0 group by 1), w as (select distinct lower(p_name) as k from part union select 'absent ' || s_suppkey from supplier)
 select w.k, case when coalesce(n, 0) = 0 then 'not-tracked' when n = 1 then 'patched' else 'drifted' end as outcome from w left join c using (k)""")
 def path_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,3 +382,57 @@ def cutoff_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("ts").cast("timestamp")
     limit = F.lit("2024-02-01 00:00:00").cast("timestamp") - F.expr("interval 30 days") + F.expr("interval 20 days")
     return table(spark, sf_dir, "events").select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"), (at < limit).alias("old"))
+
+
+@query("AG19", """
+select r_name as source, count(*)::bigint as playlists from region join nation on n_regionkey = r_regionkey group by 1""")
+def playlist_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of a flattened playlist tree: regions are folders, nations the playlists in them."""
+    regions = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("source"))
+    leaves = table(spark, sf_dir, "nation").join(F.broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey"))
+    tree = regions.select("source", F.array("source").alias("path"), F.lit(True).alias("is_folder")).unionByName(leaves.select("source", F.array("source", "n_name").alias("path"), F.lit(False).alias("is_folder")))
+    return catalogues.playlist_count(tree)
+
+
+@query("SK17 JN19", f"""
+with f as (select path, id % 7 as folder from ({TRACKS_SQL}) where status = 'filed'), c as (select s_suppkey as id, 'p' || (s_suppkey * 2) as path from supplier)
+select f.path, f.folder, c.id as old_id, c.id is null as added, true as numbered from f left join c using (path)""")
+def exported_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filed tracks appended to a catalogue: known ones keep their id, others get ids of their own
+    that follow the largest; doing it again adds nothing."""
+    filed = tracks(spark, sf_dir).where("status = 'filed'").select("path", (F.col("id") % 7).alias("folder"))
+    catalogue = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("p"), (F.col("s_suppkey") * 2).cast("string")).alias("path"))
+    fresh = state.with_new_ids(filed.join(catalogue, "path", "left_anti"), catalogue, "id", F.col("path"))
+    top, count = (fresh.agg(e.alias("x")) for e in (F.min("id"), F.count_distinct("id")))  # one row each
+    range_ok = catalogue.agg(F.max("id").alias("largest")).join(F.broadcast(top.withColumnRenamed("x", "first"))).join(F.broadcast(count.withColumnRenamed("x", "ids"))).join(F.broadcast(fresh.agg(F.count("*").alias("rows"), F.max("id").alias("last"))))
+    good = F.coalesce((F.col("first") == F.col("largest") + 1) & (F.col("ids") == F.col("rows")) & (F.col("last") == F.col("largest") + F.col("rows")), F.col("rows") == 0)
+    out = filed.join(catalogue.withColumnRenamed("id", "old_id"), "path", "left").join(fresh.select("path", F.col("id").alias("new_id")), "path", "left")
+    return out.join(F.broadcast(range_ok)).select("path", "folder", "old_id", F.col("old_id").isNull().alias("added"), (good & (F.col("old_id").isNull() == F.col("new_id").isNotNull())).alias("numbered"))
+
+
+@query("SK27 PF17", """
+with d as (select lower(trim(n_name)) as k from nation), c as (select c_custkey, case c_custkey % 5 when 0 then ' nation_3 ' when 1 then 'Nation_' || (c_custkey % 40) when 2 then '' else c_mktsegment end as name from customer),
+r as (select lower(trim(name)) as k, count(*)::bigint as rows from c group by 1)
+select r.k, rows, case when r.k = '' then 0 else 1 end::bigint as ids, r.k <> '' and r.k not in (select k from d) as fresh from r""")
+def find_or_create_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which id every row gets: one per name without case and outer spaces, a known name's own or
+    one beyond the largest; none for an empty name."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, " nation_3 ").when(k % 5 == 1, F.concat(F.lit("Nation_"), (k % 40).cast("string"))).when(k % 5 == 2, "").otherwise(F.col("c_mktsegment"))
+    rows, _ = state.find_or_create(table(spark, sf_dir, "customer").select("c_custkey", name.alias("c_name")), nations, "c_name", "id", "name")
+    largest = nations.agg(F.max("id").alias("largest"))  # one row
+    found = rows.join(F.broadcast(largest)).groupBy(F.lower(F.trim("c_name")).alias("k"))
+    return found.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.coalesce(F.min(F.col("id") > F.col("largest")), F.lit(False)).alias("fresh"))
+
+
+@query("AG8 AG10 FS27", """
+with f as (select case doc_id % 3 when 0 then '/' || doc_id || '.JPEG' else '/' || doc_id || '.aif' end as name, case doc_id % 4 when 0 then 'pioneer' when 1 then 'PIONEER' else 'music' end as top, n_chars from documents)
+select case when lower(top) = 'pioneer' then '(export)' when name like '%.JPEG' then '.jpg' else '.aiff' end as bucket, sum(n_chars)::bigint as bytes, count(*)::bigint as file_count from f group by 1""")
+def usage_with_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage where some files lie in the export folder, in any case, which is a bucket of its own."""
+    k = F.col("doc_id")
+    top = F.when(k % 4 == 0, "pioneer").when(k % 4 == 1, "PIONEER").otherwise("music")
+    path = F.concat(top, F.lit("/"), k.cast("string"), F.when(k % 3 == 0, ".JPEG").otherwise(".aif"))
+    found = aggregates.usage(table(spark, sf_dir, "documents"), text.usage_bucket(path), F.col("n_chars"))
+    return found.select(F.when(F.col("bucket") == text.REKORDBOX_BUCKET, "(export)").otherwise(F.col("bucket")).alias("bucket"), "bytes", "file_count")
