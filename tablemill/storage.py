@@ -67,6 +67,8 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
             delete_path(spark, path)
         if _open.made:
             _open.made[-1].extend(kept)
+        else:  # lets the context cleaner drop the shuffle files and broadcasts of what is done
+            spark.sparkContext._jvm.java.lang.System.gc()
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
