@@ -145,7 +145,8 @@ class GatedAttention:
     def fit(self, x: np.ndarray, row: np.ndarray, y: np.ndarray, rounds: int = 160, rate: float = 0.02, decay: float = 2e-4) -> GatedAttention:
         """Full-batch Adam on the labelled bags; the same rows give the same parameters."""
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 0.02
-        x = (x - self.mean) / self.scale
+        x = x - self.mean
+        x /= self.scale
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
         for t in range(1, rounds + 1):
@@ -220,9 +221,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not found:
         model.w["c"][:] = 0
         return model
-    bags = [np.frombuffer(p, np.float32).reshape(-1, WIDTH).astype(np.float64) for _, _, p in found]
-    row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    return model.fit(np.concatenate(bags), row, np.array([y for _, y, _ in found], float))
+    row = np.repeat(np.arange(len(found)), [len(p) // (4 * WIDTH) for _, _, p in found])
+    y = np.array([y for _, y, _ in found], float)
+    x = np.frombuffer(b"".join(p for _, _, p in found), np.float32)
+    del found  # the driver holds one copy of the sample
+    return model.fit(x.reshape(-1, WIDTH).astype(np.float64), row, y)
 
 
 def score(docs: DataFrame, model: GatedAttention, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -107,7 +107,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 #: A group of more than one MOST_HEAVY-th of all rows is joined by broadcast: there are fewer
 #: than MOST_HEAVY such groups in any table.
-MOST_HEAVY = 2048
+MOST_HEAVY = 512
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
