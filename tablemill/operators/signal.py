@@ -112,13 +112,15 @@ def flatness(x: np.ndarray, rate: int, low: float, high: float) -> float | None:
 
 def frames(rows: DataFrame) -> DataFrame:
     """(track_id, sample_rate, frame, mono) of (track_id, sample_rate, position, left, right):
-    FRAME samples every HOP, by a shuffle on track and frame, so that a long recording spreads
+    FRAME samples every HOP, by shuffles on track and place, so that a long recording spreads
     over tasks. A last frame that is not full is left out; positions have no gaps."""
-    slot = F.floor(F.col("position") / HOP)
-    both = F.filter(F.array(slot, slot - 1), lambda f: f >= 0)
-    dealt = rows.select("track_id", "sample_rate", "position", ((F.col("left") + F.col("right")) / 2).alias("x"), F.explode(both).alias("frame"))
-    held = dealt.groupBy("track_id", "frame").agg(F.first("sample_rate").alias("sample_rate"), F.sort_array(F.collect_list(F.struct("position", "x"))).alias("held"))
-    return held.where(F.size("held") == FRAME).select("track_id", "sample_rate", "frame", F.col("held.x").alias("mono"))
+    mono = rows.select("track_id", "sample_rate", "position", ((F.col("left") + F.col("right")) / 2).alias("x"), F.floor(F.col("position") / HOP).alias("slot"))
+    # Samples move once, as halves of frames; the halves then stand in two frames each.
+    halves = mono.groupBy("track_id", "slot").agg(F.first("sample_rate").alias("sample_rate"), F.sort_array(F.collect_list(F.struct("position", "x"))).alias("held"))
+    places = F.array(F.struct(F.col("slot").alias("frame"), F.lit(0).alias("part")), F.struct((F.col("slot") - 1).alias("frame"), F.lit(1).alias("part")))
+    dealt = halves.where(F.size("held") == HOP).select("track_id", "sample_rate", F.col("held.x").alias("half"), F.explode(places).alias("p"))
+    pairs = dealt.groupBy("track_id", F.col("p.frame").alias("frame")).agg(F.first("sample_rate").alias("sample_rate"), F.sort_array(F.collect_list(F.struct("p.part", "half"))).alias("halves"))
+    return pairs.where(F.size("halves") == 2).select("track_id", "sample_rate", "frame", F.flatten("halves.half").alias("mono"))
 
 
 def spectra(rows: DataFrame) -> DataFrame:
