@@ -75,6 +75,29 @@ def dirty_name_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", dirty.alias("stem"), found.alias("f")).select("p_partkey", "stem", "f.artist", "f.title", "f.version", F.array_join("f.queries", " | ").alias("queries"))
 
 
+@query("FS8 FS13 FS14 FS15 FS16 FS17 FS18 FS19 FS20 FS21 FS22 FS23 FS33", """
+with p as (select p_partkey, p_partkey % 8 as k, 'Mira ' || p_type as artist, p_name as title from part)
+select p_partkey, artist, title, case k when 4 then 'Dub Mix' when 7 then 'Harbour Remix' end as version,
+  artist || ' ' || title || case k when 4 then ' Dub Mix' when 7 then ' Harbour Remix' else '' end as first_query, title as readable from p""")
+def dirty_names_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names spoilt in eight ways (sides, underscores and tags, catalogue and quality notes, track
+    numbers and addresses, brackets, labels, an artist only in the folder, a trailing version),
+    which must give back the artist, title and version that they were made of."""
+    k, title = F.col("p_partkey") % 8, F.col("p_name")
+    artist = F.concat(F.lit("Mira "), "p_type")
+    plain = F.concat(artist, F.lit(" - "), title)
+    spoilt = (
+        F.when(k == 0, F.concat(F.lit("A1. "), plain)).when(k == 1, F.concat(F.replace(plain, F.lit(" "), F.lit("_")), F.lit("-ccat")))
+        .when(k == 2, F.concat(F.lit("[CAT 012] "), plain, F.lit(" 320kbps"))).when(k == 3, F.concat(F.lit("07 - "), plain, F.lit("-www.site.example")))
+        .when(k == 4, F.concat(plain, F.lit(" (Dub Mix) [FLAC]"))).when(k == 5, F.concat(F.lit("Some Label Records - "), plain))
+        .when(k == 6, title).otherwise(F.concat(plain, F.lit(" Harbour Remix")))
+    )
+    found = dirty_names.search_terms(spoilt, F.concat(artist, F.lit(" - Best Of")))
+    stem = F.concat(F.lit("01 - [CAT] "), F.replace(title, F.lit(" "), F.lit("_")), F.lit(" (vinyl rip) 320 kbps"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", found.alias("f"), dirty_names.clean_stem(stem).alias("readable"))
+    return rows.select("p_partkey", "f.artist", "f.title", "f.version", F.element_at("f.queries", 1).alias("first_query"), "readable")
+
+
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", normal_path(F.regexp_extract("url", "://[^/]+(/[^?#]*)", 1)).alias("k"))
 

@@ -96,11 +96,37 @@ def spectral_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("track_id", F.round("cutoff_hz", 1).alias("cutoff_hz"), F.round("flat_fixed", 3).alias("flat_fixed"), F.round("flat_top", 3).alias("flat_top"))
 
 
+@query("AG27 AG28 SC4 FA2", """
+select s_suppkey as track_id, case when s_suppkey % 3 = 2 then 0.0 else 22050.0 end::double as cutoff_hz,
+  case when s_suppkey % 3 < 2 then 0.0 end::double as flat_fixed, case when s_suppkey % 3 < 2 then 0.0 end::double as flat_top from supplier""")
+def spectral_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals whose spectra are known: one impulse a frame is flat up to half the rate, and so is
+    silence; a signal shorter than a frame has no spectrum."""
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("track_id"))
+    long = F.when(F.col("track_id") % 3 == 2, 999).otherwise(8191)
+    rows = keys.withColumn("position", F.explode(F.sequence(F.lit(0), long)))
+    impulse = F.when((F.col("track_id") % 3 == 0) & (F.col("position") % 4096 == 3000), 0.5).otherwise(0.0)
+    out = signal.spectra(rows.select("track_id", F.lit(44100).alias("sample_rate"), "position", impulse.alias("left"), impulse.alias("right")))
+    return out.select("track_id", F.round("cutoff_hz", 1).alias("cutoff_hz"), F.round("flat_fixed", 3).alias("flat_fixed"), F.round("flat_top", 3).alias("flat_top"))
+
+
 @query("AG30")
 def spectrogram_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.spectrogram(tones(spark, sf_dir)).select("track_id", "column", F.hex("levels").alias("levels"))
 
 
+@query("AG30", """
+with w as (select 0.5 - 0.5 * cos(2 * pi() * 3000 / 4095) as w), v as (select floor((greatest(10 * log10(0.25 * w * w / (1023.75 * 1023.75)), -100) + 100) / 100 * 255)::int as level from w)
+select s_suppkey as track_id, unnest(range(0, 2)) as column, repeat(case when s_suppkey % 2 = 0 then printf('%02X', level) else '00' end, 342) as levels from supplier, v""")
+def spectrogram_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids of one impulse a frame, whose level is the window's there, and of silence."""
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("track_id"))
+    rows = keys.withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(8191))))
+    impulse = F.when((F.col("track_id") % 2 == 0) & (F.col("position") % 4096 == 3000), 0.5).otherwise(0.0)
+    out = signal.spectrogram(rows.select("track_id", F.lit(44100).alias("sample_rate"), "position", impulse.alias("left"), impulse.alias("right")))
+    return out.select("track_id", "column", F.hex("levels").alias("levels"))
+
+
 MEASURED_SQL = """
 select l_orderkey, l_linenumber, l_partkey, (l_extendedprice * 7) % 24000 - 500 as cutoff,
   case l_returnflag when 'R' then 'lossless' when 'A' then 'lossy' else 'unknown' end as declared, case when l_quantity > 45 then 'lossy' else 'lossless' end as content,
