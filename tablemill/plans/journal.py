@@ -53,15 +53,16 @@ def latest_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("AG7 JN9 ST1 PF11 SK15 SM6", """
-with a as (select event_id as id, user_id as batch_id, event_id % 97 as track_id, value < 5 as undone, floor(epoch(ts))::bigint as sec, value from events),
+with a as (select event_id as id, user_id * 10000 + floor(epoch(ts) / 604800)::bigint as batch_id, event_id % 97 as track_id, value < 5 as undone, floor(epoch(ts))::bigint as sec, value from events),
 pinned as (select id from a where value > 250 union select id from a where id % 1013 = 0 union select max(id) from a where not undone group by track_id having max(value) > 300),
-g as (select batch_id, max(sec) as last_at, min(undone::int) as u0, max(undone::int) as u1 from a where sec % 4 = batch_id % 4 group by 1)
-select g.batch_id from g where last_at < 1706400000 and u0 = u1 and not exists (select 1 from a join pinned using (id) where a.batch_id = g.batch_id and sec % 4 = a.batch_id % 4)""")
+g as (select batch_id, max(sec) as last_at, min(undone::int) as u0, max(undone::int) as u1 from a group by 1)
+select g.batch_id from g where last_at < 1706400000 and u0 = u1 and not exists (select 1 from a join pinned using (id) where a.batch_id = g.batch_id)""")
 def expired_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of the actions in their user's quarter of seconds only, as its SQL has them;
-    `expired_days` judges every action."""
+    """Expired batches where a batch is all that a user did in a week, so that every action is
+    judged in exactly one batch."""
     rows = actions(spark, sf_dir)
-    return expired(rows, rows.where(F.col("at") % 4 == F.col("batch_id") % 4))
+    rows = rows.withColumn("batch_id", F.col("batch_id") * 10000 + F.floor(F.col("at") / 604800))
+    return expired(rows, rows)
 
 
 @query("AG7 JN9 ST1 PF11 SK15 SM6", """
