@@ -150,3 +150,48 @@ def test_chunk_dedup_against_a_loop(documents, corpus, odd_rows):
     found = {r[0]: r[2] for r in got}
     assert all(found[i] > 200 for i in range(301, 306)) and found[300] == 0
     assert chunks.deduplicate(documents([])).count() == 0
+
+
+def test_gear_hash_is_its_recurrence():
+    data = np.random.default_rng(3).integers(0, 256, 500).astype(np.uint8)
+    h, want = 0, []
+    for b in data.tolist():
+        h = (2 * h + int(chunks.GEAR[b])) % 2**32
+        want.append(h)
+    assert chunks.gear_hash(data).tolist() == want
+
+
+def test_identifiers_name_equal_strings():
+    rng = np.random.default_rng(9)
+    data = rng.integers(0, 3, 4000).astype(np.uint8)
+    data[3000:3400] = data[100:500]
+    ids = suffix.Identifiers(data, 64, 5)
+    for depth in (64, 128, 185, 200, 321):
+        at = np.arange(len(data) - depth + 1)
+        names = ids(at, depth)
+        strings = [data[i : i + depth].tobytes() for i in at]
+        assert len(set(zip(names.tolist(), strings))) == len(set(names.tolist())) == len(set(strings))
+    assert (ids.all(200)[:50] == suffix.Identifiers(data, 64, 5)(np.arange(50), 200)).all()
+
+
+def test_heavy_groups_join_like_others(spark):
+    from tablemill.llm.common import join_groups
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 700}") for i in range(3000)], "i int, k string").repartition(4)
+    groups = rows.groupBy("k").count().where("k <> 'k3'").selectExpr("k", "count as n", "length(k) as size").cache()
+    for how in ("inner", "left"):
+        got = Counter(map(tuple, join_groups(rows, groups, ["k"], 3000, how).select("i", "k", "size").collect()))
+        assert got == Counter(map(tuple, rows.join(groups.drop("n"), "k", how).select("i", "k", "size").collect()))
+    assert join_groups(rows.limit(0), groups, ["k"], 0, "left").count() == 0
+
+
+def test_a_long_text_is_cut_into_windows(documents, monkeypatch):
+    monkeypatch.setattr(suffix, "STEP", 1 << 10)
+    rng = random.Random(77)
+    long = " ".join(prose(rng, 900))
+    rows = [(1, long), (2, long[2000:3100] + " ".join(prose(rng, 40))), (3, " ".join(prose(rng, 30)) + long[4090:4400]), (4, "xyz" * 1500)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.deduplicate(documents(rows)).collect()}
+    want = {}
+    for (i, _), (_, gone) in zip(rows, covered([t for _, t in rows])):
+        want[i] = (int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()))
+    assert got == want
