@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import bpe, chunks, classifier, media, minhash, packing, quality_rules, secret_scan, suffix, url_filter
+from tablemill.llm import bpe, chunks, classifier, media, minhash, negatives, packing, quality_rules, secret_scan, suffix, url_filter
 from tablemill.storage import scratch, stash, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -85,6 +85,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor among all rows of embeddings."""
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -96,5 +101,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chunk_dedup": op8_chunk_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op3_url_filters": url_filter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op3_url_filters": url_filter.ORACLE_SQL, "op11_hard_negatives": negatives.ORACLE_SQL}
