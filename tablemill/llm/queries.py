@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import bpe, chunks, classifier, media, minhash, negatives, packing, quality_rules, secret_scan, suffix, url_filter
+from tablemill.llm import bpe, chunks, classifier, media, minhash, negatives, packing, quality_rules, secret_scan, suffix, transducer, url_filter
 from tablemill.storage import scratch, stash, table
 
 VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document; a null text is empty."""
+    return transducer.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -102,5 +108,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scans": op9_secret_scans,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_counts": op12_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op3_url_filters": url_filter.ORACLE_SQL, "op11_hard_negatives": negatives.ORACLE_SQL}
