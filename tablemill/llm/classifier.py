@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import SPACES, RollingHash, mix, slices, text_bytes, word_spans
+from tablemill.llm.common import SPACES, RollingHash, content_id, mix, slices, text_bytes, word_spans
 
 #: Passages have PASSAGE bytes in texts of every length. Training alone takes at most MOST of a
 #: document, those with the least hash of key and number; scoring reads all, BLOCK at a time.
@@ -199,15 +199,17 @@ def held_out(key: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", training_docs: int = TRAINING_DOCS) -> GatedAttention:
     """Fit on a bounded sample: the `training_docs` labelled documents (not held out, label not
     null) with the least hash of their key; with several labels the lowest counts, with several
-    texts the first. At most training_docs * MOST passages of WIDTH numbers come to the driver.
+    texts the one with the least content hash. At most training_docs * MOST passages of WIDTH numbers come to the driver.
     Without any label the model scores 0.5."""
     chosen = (
         labels.where(~held_out(key) & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(label).cast("int").alias("label"))
         .join(docs.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
         .orderBy(F.xxhash64("key"), "key").limit(training_docs)
     )
-    # Bounded by training_docs rows of a key and a label.
+    # Bounded by training_docs rows of a key and a label; then one row a key, whatever the stored order.
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
+    least = F.min(F.struct(content_id(F.col("text")).alias("id"), "text"))
+    rows = rows.groupBy("key", "label").agg(least.alias("least")).select("key", "label", F.col("least.text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,11 +20,12 @@ ASSIGN = r"[\"'`]?\s*+(?:=>|:=|={1,3}|:)\s*+(?:(?i:bearer|basic)\s++)?"
 ISSUER = r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|xox[abeprs]-|[srp]k_(?:live|test)_|sk-|glpat-|AIza|npm_|pypi-|hf_|SG\.|eyJ)"
 #: Group 1 stands before a candidate, group 2 is the candidate: the body of a private key; the
 #: password of a url; a value of any length after a cue, to its closing quote or else to a space
-#: (final punctuation apart); an issued token, dots inside it too; 16 token characters or more.
+#: (final punctuation apart); an issued token, dots inside it too; 16 token characters or more. Every repetition is possessive
+#: or ends where the next cue or header begins, so the time grows with the text and not with its square.
 CANDIDATE = "|".join([
-    r"(?<a1>-----BEGIN [A-Z0-9 ]*+-----\s*+(?<=PRIVATE KEY-----\s{0,4}|PRIVATE KEY BLOCK-----\s{0,4}))(?<b1>[\s\S]+?(?=\s*-----END)|[A-Za-z0-9+/=\s]+)",
+    r"(?<a1>-----BEGIN [A-Z0-9 ]*+-----\s*+(?<=PRIVATE KEY-----\s{0,4}|PRIVATE KEY BLOCK-----\s{0,4}))(?<b1>(?:\s*+(?:[^\s\-]|-(?!----))++)++(?=\s*+-----END)|[A-Za-z0-9+/=\s]+)",
     r"(?<a2>://[^\s/:]*+:)(?<b2>[^\s/]+)(?=@)",
-    rf"(?<a3>(?:{CUE}{ASSIGN}|(?i:\bbearer)\s++)[\"'`]?)(?<b3>(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|(?<=`)[^`\r\n]++(?=`)|[^\s\"'`]\S*?(?=[.,;:)\]}}>\"'`]*+(?:\s|\z)))",
+    rf"(?<a3>(?:{CUE}{ASSIGN}|(?i:\bbearer)\s++)[\"'`]?)(?<b3>(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|(?<=`)[^`\r\n]++(?=`)|[^\s\"'`](?:[.,;:)\]}}>\"'`]*+[^\s.,;:)\]}}>\"'`]++)*+)",
     rf"(?<b4>(?<![A-Za-z0-9]){ISSUER}[A-Za-z0-9+/_\-]{{12,}}+(?:\.[A-Za-z0-9+/_\-]++)*+={{0,2}})",
     r"(?<b5>(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2})",
 ])
@@ -49,7 +50,7 @@ HASH_CUE = r"(?i)(?:sha-?(?:1|256|512)?|md5|commit|revision|rev|checksum|digest|
 FEATURES = [
     "length", "transitions", "dictionary", "digits", "uppers", "lowers", "symbols", "distinct", "all_digits", "all_hex",
     "dashes", "issuer", "slashes", "in_path", "test_path", "assigned", "secret_cue", "hash_cue", "quoted",
-    "url_password", "key_block", "reference", "spaces", "known",
+    "url_password", "key_block", "reference", "spaces", "known", "closed", "followed",
 ]
 
 
@@ -88,8 +89,10 @@ def with_known(found: DataFrame, words: DataFrame | None) -> DataFrame:
     if words is None:
         return found.withColumn("known", F.lit(0.0))
     sizes = found.groupBy("candidate").agg(F.count("*").alias("n"))
-    pieces = sizes.select("candidate", F.explode(F.regexp_extract_all("candidate", F.lit("[A-Z]?[a-z]{2,}|[A-Z]{3,}"), F.lit(0))).alias("piece"))
-    hits = pieces.join(words, F.lower("piece") == F.col("word")).groupBy("candidate").agg(F.sum(F.length("piece")).alias("letters"))
+    split = F.explode(F.regexp_extract_all("candidate", F.lit("[A-Z]?[a-z]{2,}|[A-Z]{3,}"), F.lit(0)))
+    pieces = stash(sizes.select("candidate", split.alias("piece")).select("candidate", F.length("piece").alias("size"), F.lower("piece").alias("word")), "pieces")
+    frequent = stash(pieces.groupBy("word").agg(F.count("*").alias("n")).join(words.select("word"), "word", "left_semi"), "known-pieces")
+    hits = join_groups(pieces, frequent, ["word"], pieces.count()).groupBy("candidate").agg(F.sum("size").alias("letters"))
     shares = stash(hits.join(sizes, "candidate").select("candidate", (F.col("letters") / F.length("candidate")).alias("known"), "n"), "known-shares")
     return join_groups(found, shares, ["candidate"], found.count(), "left").withColumn("known", F.coalesce("known", F.lit(0.0)))
 
@@ -128,6 +131,8 @@ def features(found: DataFrame, path: Column) -> DataFrame:
         "key_block": flag(F.col("left").rlike(r"PRIVATE KEY(?: BLOCK)?-----\s*$")),
         "reference": flag(c.rlike(REFERENCE)),
         "spaces": share(r"\s"),
+        "closed": flag(F.col("right").rlike("^[\"'`]")),
+        "followed": flag(F.col("right").rlike(r"^[.,;:)\]}>\"'`]*\s+(?i:is|are|was|must|should|can|or|and|field|here|required|expired|ist|est|es)\b")),
         "known": F.col("known") if "known" in found.columns else F.lit(0.0),
     }
     return found.select(*found.columns, *(values[f].cast("double").alias(f"_f_{f}") for f in FEATURES))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -116,3 +117,28 @@ def test_secrets_of_any_shape_are_candidates(documents, forest):
     texts = {r.doc_id: r.text for r in secret_scan.redact(docs, forest).collect()}
     assert [texts[i] for i in range(len(rows))] == [t.replace(c, "[SECRET]") for c, t in rows]
     assert [texts[len(rows) + i] for i in range(len(plain))] == plain
+
+
+def test_training_text_of_a_key_does_not_depend_on_order(spark, documents):
+    rows = [(100 + i, f"plain words number {i} of a text " * (i % 5 + 1)) for i in range(20)]
+    several = [(102, "### other text of the key"), (102, "a third text of it, longer than the others are"), (102, None)]
+    marked = spark.createDataFrame([(100 + i, i % 2, None) for i in range(20)], "doc_id long, quality int, toxic int")
+    models = [classifier.train(documents(x), marked) for x in (rows + several, several[::-1] + rows, rows + several * 2000)]
+    for other in models[1:]:
+        assert all(np.array_equal(models[0].w[k], other.w[k]) for k in other.w)
+
+
+@pytest.mark.parametrize("text", [
+    "password=a" + "." * 1_000_000 + "x", "password=a" + "." * 1_000_000, "-----BEGIN PRIVATE KEY-----\n" * 36_000, "-----BEGIN PRIVATE KEY-----\n" + "ab cd\n" * 170_000,
+    "password='" * 100_000, "password_" * 110_000, "password" + " " * 1_000_000, "http://a:" * 110_000, "token " * 170_000, "://" * 330_000, "-----BEGIN " * 90_000,
+])
+def test_candidates_of_long_texts_take_time_with_their_length(documents, text):
+    began = time.perf_counter()
+    secret_scan.candidates(documents([(1, text)]).select("doc_id", "text")).selectExpr("count(*)", "max(number)").collect()
+    assert time.perf_counter() - began < 20
+
+
+def test_candidates_after_long_punctuation_and_in_key_blocks(documents):
+    texts = ["password=a" + "." * 50 + "x end", "password=abc...)", "-----BEGIN PRIVATE KEY-----\nab cd-e\n\n-----END PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----\nabcd\n-----BEGIN PRIVATE KEY-----\nefgh"]
+    found = secret_scan.candidates(documents(list(enumerate(texts))).select("doc_id", "text")).collect()
+    assert [(r.doc_id, r.candidate) for r in sorted(found, key=lambda r: (r.doc_id, r.number))] == [(0, "a" + "." * 50 + "x"), (1, "abc"), (2, "ab cd-e"), (3, "abcd\n"), (3, "efgh")]
