@@ -5,31 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablemill.operators import joins
 from tablemill.storage import scratch, stash
 
 
 def components(edges: DataFrame, a: str = "a_id", b: str = "b_id", max_rounds: int = 60) -> DataFrame:
     """(id, component): every vertex of `edges` with the smallest id it is connected to.
 
-    Each round takes the smallest label among the neighbours (aggregated before the shuffle,
-    so a vertex with very many edges costs one row a task) and then jumps to that label's own
-    label, which halves long chains. Only the number of changed rows comes to the driver.
+    Each round takes the smallest label among the neighbours (aggregated before the shuffle) and then
+    jumps to that label's own label, which halves long chains. Edges of a vertex with very many are dealt
+    over tasks, each with the vertex's label. Only whether a label changed comes to the driver.
     Null ends are dropped, self-edges keep their vertex, no edges give no rows."""
     with scratch(edges.sparkSession) as keep:
         pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna().distinct()
         both = stash(pairs.union(pairs.select("y", "x")).distinct(), "edges")
+        hubs = stash(joins.heavy_groups(both, ["y"]), "hubs")
         labels = both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("component"))
         labels = keep(labels, "labels")
         for _ in range(max_rounds):
             near = (
-                both.join(labels.select(F.col("id").alias("y"), F.col("component").alias("c")), "y")
+                joins.dealt_join(both, labels.select(F.col("id").alias("y"), F.col("component").alias("c")), ["y"], ["x"], heavy=hubs)
                 .groupBy(F.col("x").alias("id")).agg(F.min("c").alias("c"))
             )
-            hop = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "c").alias("c"))
+            hop = stash(labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "c").alias("c")), "hop")
             jump = labels.select(F.col("id").alias("c"), F.col("component").alias("far"))
-            moved = keep(
-                hop.join(jump, "c", "left").select("id", "old", F.least("c", "far").alias("component")), "moved"
-            )
+            # Very many vertices may have one label: these rows are dealt as well.
+            moved = keep(joins.dealt_join(hop, jump, ["c"], ["id"], "left").select("id", "old", F.least("c", "far").alias("component")), "moved")
             changed = moved.where("old <> component").limit(1).count()
             labels = moved.select("id", "component")
             if not changed:

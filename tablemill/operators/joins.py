@@ -68,7 +68,7 @@ def match_status(left: DataFrame, right: DataFrame, key: str, left_id: str, righ
     """(left_id, n_matches, match, single): how many rows of `right` a left row's key meets, and
     which one it is where there is one. No list travels; see match_members."""
     met = right.groupBy(key).agg(F.count("*").alias("n_matches"), F.min(right_id).alias("_least"))
-    rows = left.select(left_id, key).join(met, key, "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
+    rows = dealt_join(left.select(left_id, key), met, [key], [left_id], "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
     match = F.when(F.col("n_matches") == 0, "none").when(F.col("n_matches") == 1, "pending").otherwise("ambiguous")
     return rows.select(left_id, "n_matches", match.alias("match"), F.when(F.col("n_matches") == 1, F.col("_least")).alias("single"))
 
@@ -98,6 +98,31 @@ def snapshot_diff(listing: DataFrame, stored: DataFrame, key: str, compared: lis
     return new.join(old, key, "full_outer").select(key, change.alias("change"))
 
 
+#: A group of more than one MOST_HEAVY-th of all rows is dealt over tasks: there are fewer than
+#: MOST_HEAVY such groups in any table. Groups of up to LIGHT rows never are.
+MOST_HEAVY, LIGHT = 8192, 1024
+
+
+def heavy_groups(rows: DataFrame, on: list[str]) -> DataFrame:
+    """(on, _deals): the groups of `rows` that are dealt over tasks, and over how many; fewer than MOST_HEAVY rows."""
+    sizes = rows.groupBy(*on).agg(F.count("*").alias("_n"))
+    total = sizes.agg(F.sum("_n").alias("_total"))  # one row
+    share = F.greatest(F.col("_total") / MOST_HEAVY, F.lit(float(LIGHT)))
+    return sizes.crossJoin(F.broadcast(total)).where(F.col("_n") > share).select(*on, F.ceil(F.col("_n") / share).cast("int").alias("_deals"))
+
+
+def dealt_join(rows: DataFrame, groups: DataFrame, on: list[str], spread: list[str], how: str = "inner", heavy: DataFrame | None = None) -> DataFrame:
+    """`rows` joined (inner or left) to `groups`, which has one row for each `on`, so that a key with very many rows
+    does not meet in one task: its rows are dealt by the hash of `spread`, and its row of `groups` is repeated for each deal.
+
+    `rows` is read twice and so should be a stored or cheap table; `heavy` may hold `heavy_groups` of it. Rows with a null in
+    `on` are dropped by an inner join and pass by with nulls in a left one, as in Spark's own."""
+    heavy = F.broadcast(heavy_groups(rows, on) if heavy is None else heavy)
+    dealt = rows.join(heavy, on, "left").withColumn("_deal", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_deals")), F.lit(0)).cast("int")).drop("_deals")
+    copies = groups.join(heavy, on, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
+    return dealt.join(copies, [*on, "_deal"], how).drop("_deal")
+
+
 def prefer(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """The row of each key with the least `order` (ascending expressions, nulls first; numbers
     are negated to prefer great ones); the order must end in a unique column.
