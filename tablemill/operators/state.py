@@ -10,10 +10,11 @@ from tablemill.operators import joins
 DERIVED_BY_CONTENT = ["analyzed_at", "fingerprint", "fingerprint_ver", "report_json"]
 
 
-def upsert_files(tracks: DataFrame, listing: DataFrame) -> DataFrame:
+def upsert_files(tracks: DataFrame, listing: DataFrame, largest: int | None = None) -> DataFrame:
     """Tracks after a listing (path, size_bytes, mtime): new paths come in as pending, unchanged
     ones stay, changed ones become pending and lose what was derived from their content, but not
-    the verdict. Ids of new rows follow the largest, in an order fixed by the path."""
+    the verdict. Ids of new rows follow the largest (`largest`, where `tracks` are some buckets of a table), in an
+    order fixed by the path."""
     new = listing.select(F.col("path").alias("_path"), F.col("size_bytes").alias("_size"), F.col("mtime").alias("_mtime"))
     met = tracks.join(new, tracks["path"] == F.col("_path"), "left")
     changed = F.col("_path").isNotNull() & ~(F.col("size_bytes").eqNullSafe(F.col("_size")) & F.col("mtime").eqNullSafe(F.col("_mtime")))
@@ -27,22 +28,22 @@ def upsert_files(tracks: DataFrame, listing: DataFrame) -> DataFrame:
         elif name in ("size_bytes", "mtime"):
             value = F.when(changed, F.col("_size" if name == "size_bytes" else "_mtime")).otherwise(value)
         columns.append(value.alias(name))
-    fresh = with_new_ids(new.join(tracks.select(F.col("path").alias("_path")), "_path", "left_anti"), tracks, "id", F.col("_path"))
+    fresh = with_new_ids(new.join(tracks.select(F.col("path").alias("_path")), "_path", "left_anti"), tracks, "id", F.col("_path"), largest=largest)
     given = {"id": F.col("id"), "path": F.col("_path"), "size_bytes": F.col("_size"), "mtime": F.col("_mtime"), "status": F.lit("pending")}
     inserted = fresh.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in tracks.schema.fields))
     return met.select(*columns).union(inserted)
 
 
-def with_new_ids(fresh: DataFrame, existing: DataFrame, column: str, order: Column, slots: int = 256) -> DataFrame:
+def with_new_ids(fresh: DataFrame, existing: DataFrame, column: str, order: Column, slots: int = 256, largest: int | None = None) -> DataFrame:
     """`fresh` with ids from the largest existing one on, in `order`: numbered within ranges,
     whose starts are the counts of the ranges before."""
-    largest = existing.agg(F.coalesce(F.max(column), F.lit(0)).alias("_largest"))  # one row
+    most = existing.agg(F.coalesce(F.max(column), F.lit(0)).alias("_largest")) if largest is None else existing.sparkSession.range(1).select(F.lit(largest).alias("_largest"))  # one row
     # Ranges by hash, in a fixed order, so that numbering is a sort within ranges only.
     ranged = fresh.withColumn("_range", F.pmod(F.xxhash64(order), F.lit(slots)))
     starts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     starts = starts.withColumn("_start", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")  # at most `slots` rows
     nth = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    out = ranged.withColumn("_nth", nth).join(F.broadcast(starts), "_range").join(F.broadcast(largest))
+    out = ranged.withColumn("_nth", nth).join(F.broadcast(starts), "_range").join(F.broadcast(most))
     return out.withColumn(column, F.col("_largest") + F.col("_start") + F.col("_nth")).drop("_range", "_nth", "_start", "_largest")
 
 
@@ -241,11 +242,27 @@ def retried(tracks: DataFrame, failed: DataFrame, most: int) -> DataFrame:
     return met.select("id", attempts.alias("attempts"), F.when(attempts >= most, "terminal").when(attempts > 0, "due").otherwise("new").alias("state"))
 
 
-def apply_events(tracks: DataFrame, events: DataFrame, order: str) -> DataFrame:
-    """Tracks after file events (path, kind, size_bytes, mtime and `order`): of each path the last
-    event counts. Created and modified files are upserted as a listing's are; a removed file takes
-    its track along only while that is pending."""
-    last = joins.prefer(events.select("path", "kind", "size_bytes", "mtime", order), ["path"], -F.col(order), F.col("kind"))
-    gone = last.where("kind = 'remove'").select("path")
-    left = tracks.join(gone.withColumn("_gone", F.lit(True)), "path", "left").where("_gone is null or status <> 'pending'").select(*tracks.columns)
-    return upsert_files(left, last.where("kind <> 'remove'").select("path", "size_bytes", "mtime"))
+def apply_events(tracks: DataFrame, events: DataFrame, order: str, largest: int | None = None) -> DataFrame:
+    """Tracks after file events (path, kind, size_bytes, mtime and `order`, unique), as if applied one
+    after another: a created or modified file is upserted as a listing's is, a removed one takes its track
+    along only while that is pending, and comes back as a new row.
+
+    Events are not walked through. Each path's are first added up by what they bring, so that a path with very many
+    sends few rows on; when a track first got another content, was last removed and last touched then tells how it ends."""
+    gone = F.col("kind") == "remove"
+    put_size, put_time = (F.when(~gone, F.col(c)) for c in ("size_bytes", "mtime"))
+    brought = events.groupBy("path", gone.alias("_gone"), put_size.alias("_size"), put_time.alias("_time")).agg(F.min(order).alias("_from"), F.max(order).alias("_to"))
+    known = tracks.select("path", F.lit(True).alias("_known"), (F.col("status") == "pending").alias("_pending"), F.col("size_bytes").alias("_own_size"), F.col("mtime").alias("_own_time"))
+    differs = ~F.col("_gone") & ~(F.col("_size").eqNullSafe(F.col("_own_size")) & F.col("_time").eqNullSafe(F.col("_own_time")))
+    ends = brought.join(known, "path", "left").groupBy("path", "_known", "_pending").agg(
+        F.min(F.when(differs, F.col("_from"))).alias("_changed"), F.max(F.when(F.col("_gone"), F.col("_to"))).alias("_removed"),
+        F.max(F.struct("_to", "_gone", "_size", "_time")).alias("_last"),
+    )
+    taken = F.when(F.col("_pending"), F.col("_removed").isNotNull()).otherwise(F.coalesce(F.col("_removed") > F.col("_changed"), F.lit(False)))
+    ends = ends.select("path", "_known", (F.col("_changed").isNotNull()).alias("_new"), (F.col("_known").isNotNull() & taken).alias("_taken"), "_last")
+    met = tracks.join(ends.drop("_known"), "path", "left").where("not coalesce(_taken, false)")
+    changed = F.coalesce("_new", F.lit(False))
+    given = {"status": F.lit("pending"), "size_bytes": F.col("_last._size"), "mtime": F.col("_last._time")} | dict.fromkeys(DERIVED_BY_CONTENT, F.lit(None))
+    left = met.select(*(F.when(changed, given[f.name]).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name) if f.name in given else F.col(f.name) for f in tracks.schema.fields))
+    fresh = ends.where("(_known is null or _taken) and not _last._gone").select("path", F.col("_last._size").alias("size_bytes"), F.col("_last._time").alias("mtime"))
+    return upsert_files(left, fresh, largest)

@@ -71,12 +71,50 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
             spark.sparkContext._jvm.java.lang.System.gc()
 
 
+@contextmanager
+def workspace(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder of the shared one for what a stream keeps, deleted when the block ends."""
+    path = f"{shared_dir(spark)}/tablemill/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        delete_path(spark, path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system that Spark reaches."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file of any file system that Spark reaches: first beside it, then in its place."""
+    jvm = spark.sparkContext._jvm
+    place, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = system.create(part, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    system.delete(place, False)
+    system.rename(part, place)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file as text; None where there is none."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return None
+    stream = system.open(place)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def clear_stashes(spark: SparkSession) -> None:
     """Delete every stash of the shared folder; only when no result that reads one is needed."""
     delete_path(spark, f"{shared_dir(spark)}/tablemill")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tablemill import schemas
-from tablemill.storage import delete_path
+from tablemill.streaming.store import BucketStore
 
 
 def listing_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,24 +36,19 @@ def running_sums(blocks: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def apply_batches(
-    stream: DataFrame, state_path: str, step: Callable[[DataFrame, DataFrame], DataFrame], empty: DataFrame, checkpoint: str,
-    notify: Callable[[int], None] | None = None,
+    stream: DataFrame, store: BucketStore, step: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str,
+    notify: Callable[[int, set[int]], None] | None = None, keep: int = 2,
 ) -> StreamingQuery:
-    """Keep a table under `state_path`, one folder per batch: after each batch the state is
-    step(state, batch). A batch that is run again overwrites its own folder, so a restart
-    neither loses nor doubles changes; the folders before the last one are deleted. `notify` gets
-    the number of a batch that changed anything, once. Runs over what has arrived, then ends."""
-    spark = empty.sparkSession
+    """Apply each batch of `stream` to a stored table, which has its first version: batch n makes version n + 1 and
+    reads and writes the buckets that its keys fall in. A batch that is run again finds its version there, so a restart
+    neither loses nor doubles changes. `notify` gets the batch's number and the changed buckets, once a batch that
+    changed anything. Versions before the last `keep` are forgotten. Runs over what has arrived, then ends."""
 
     def run(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(empty.schema).parquet(f"{state_path}/{number - 1}") if number else empty
-        step(before, batch).write.mode("overwrite").parquet(f"{state_path}/{number}")
-        if number > 1:
-            delete_path(spark, f"{state_path}/{number - 2}")
-        if notify is not None:
-            after = spark.read.schema(empty.schema).parquet(f"{state_path}/{number}")
-            if not after.exceptAll(before).limit(1).isEmpty() or not before.exceptAll(after).limit(1).isEmpty():
-                notify(number)
+        changed = store.apply(batch, step, number + 1)
+        if changed and notify is not None:
+            notify(number, changed)
+        store.forget(keep)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,10 +1,13 @@
 """Streams over arriving files give what the batch form gives."""
 
 import json
+import random
 
 from tablemill import schemas
+from tablemill.session import stateful
 from tablemill.operators import state
-from tablemill.streaming import watch
+from tablemill.streaming import quiet, watch
+from tablemill.streaming.store import BucketStore
 
 
 def drop(folder, name, rows):
@@ -16,13 +19,15 @@ def test_listings_are_applied_batch_by_batch(spark, tmp_path):
     empty = spark.createDataFrame([], "id long, path string, size_bytes long, mtime long, status string, verdict string, report_json string")
     here, kept = tmp_path / "in", str(tmp_path / "state")
     batches = [[("a", "a", 1, 1), ("b", "b", 1, 1)], [("b", "b", 2, 1), ("c", "c", 1, 1)]]
+    store = BucketStore(spark, kept, empty.schema, ["path"], 8, "id")
+    store.write(empty)
     want = empty
     for n, rows in enumerate(batches):
         drop(here, f"{n}.json", rows)
-        watch.apply_batches(watch.listing_stream(spark, str(here)), kept, state.upsert_files, empty, str(tmp_path / "log")).awaitTermination()
+        watch.apply_batches(watch.listing_stream(spark, str(here)), store, lambda before, batch: state.upsert_files(before, batch, store.largest()), str(tmp_path / "log")).awaitTermination()
         want = state.upsert_files(want, spark.createDataFrame(rows, schemas.LISTING))
-    got = spark.read.parquet(f"{kept}/1")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert store.version() == 2
+    assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_work_is_queued_once(spark, tmp_path):
@@ -44,8 +49,6 @@ def test_windows_of_events(spark, tmp_path):
 
 
 def test_file_events_notify_once_and_old_states_go(spark, tmp_path):
-    import os
-
     empty = spark.createDataFrame([], "id long, path string, size_bytes long, mtime long, status string, verdict string, report_json string")
     here, kept, told, seen = tmp_path / "in", str(tmp_path / "state"), [], []
     here.mkdir()
@@ -53,13 +56,76 @@ def test_file_events_notify_once_and_old_states_go(spark, tmp_path):
     spark.streams.addListener(listener)
     kind = "path string, kind string, size_bytes long, mtime long, at long"
     batches = [[("a", "create", 1, 1, 1), ("b", "create", 1, 1, 2), ("b", "remove", 0, 0, 3)], [("x", "remove", 0, 0, 1)], [("a", "modify", 2, 1, 1), ("a", "remove", 0, 0, 0)], [("a", "remove", 0, 0, 9)]]
-    states = []
+    store, states = BucketStore(spark, kept, empty.schema, ["path"], 8, "id"), []
+    store.write(empty)
     for n, rows in enumerate(batches):
         (here / f"{n}.json").write_text("".join(json.dumps(dict(zip(("path", "kind", "size_bytes", "mtime", "at"), r))) + "\n" for r in rows))
         stream = spark.readStream.schema(kind).json(str(here))
-        watch.apply_batches(stream, kept, lambda before, batch: state.apply_events(before, batch, "at"), empty, str(tmp_path / "log"), told.append).awaitTermination()
-        states.append(sorted((r.path, r.size_bytes, r.status) for r in spark.read.parquet(f"{kept}/{n}").collect()))
+        watch.apply_batches(stream, store, lambda before, batch: state.apply_events(before, batch, "at", store.largest()), str(tmp_path / "log"), lambda n, _: told.append(n)).awaitTermination()
+        states.append(sorted((r.path, r.size_bytes, r.status) for r in store.read(n + 1).collect()))
     spark.streams.removeListener(listener)
     assert states == [[("a", 1, "pending")], [("a", 1, "pending")], [("a", 2, "pending")], []]
-    assert told == [0, 2, 3] and sorted(os.listdir(kept)) == ["2", "3"]
+    assert told == [0, 2, 3] and [store.manifest(v) is not None for v in range(5)] == [False, False, False, True, True]
     assert seen and seen == sorted(seen)
+
+
+def test_events_in_order_against_a_walk(spark):
+    rng = random.Random(12)
+    rows = [(i, f"p{i}", rng.choice(["pending", "filed", "resourcing"]), 1, 0, "report") for i in range(40)]
+    events = [(f"p{rng.randrange(50)}", rng.choice(["create", "modify", "modify", "remove"]), rng.choice([1, 1, 1, 2]), 0, at) for at in range(160)]
+    held = {r[1]: dict(zip(("id", "path", "status", "size", "mtime", "report"), r)) for r in rows}
+    for path, kind, size, _, _ in events:
+        old = held.get(path)
+        if kind == "remove":
+            if old and old["status"] == "pending":
+                del held[path]
+        elif old is None:
+            held[path] = {"id": None, "path": path, "status": "pending", "size": size, "report": None}
+        elif old["size"] != size:
+            old |= {"status": "pending", "size": size, "report": None}
+    tracks = spark.createDataFrame(rows, "id long, path string, status string, size_bytes long, mtime long, report_json string")
+    got = state.apply_events(tracks, spark.createDataFrame(events, "path string, kind string, size_bytes long, mtime long, at long"), "at").collect()
+    new = {r.path for r in got if r.id >= 40}
+    assert len({r.id for r in got}) == len(got) and new == {p for p, r in held.items() if r["id"] is None}
+    assert {(r.path, r.status, r.size_bytes, r.report_json) for r in got} == {(r["path"], r["status"], r["size"], r["report"]) for r in held.values()}
+
+
+def test_store_replaces_touched_buckets_only(spark, tmp_path):
+    rows = spark.range(300).selectExpr("id", "concat('k', id) as k", "id * 2 as v")
+    store = BucketStore(spark, str(tmp_path), rows.schema, ["k"], 16, "id")
+    assert store.version() == -1 and store.read().count() == 0
+    store.write(rows)
+    assert store.largest() == 299 and sorted(map(tuple, store.read().collect())) == sorted(map(tuple, rows.collect()))
+    first, names = store.files(), lambda: {p.relative_to(tmp_path): p.stat().st_mtime_ns for p in tmp_path.rglob("v0/*/*.parquet")}
+    before = names()
+
+    def put(held, changes):
+        return held.join(changes.select("k"), "k", "left_anti").unionByName(changes)
+
+    change = spark.createDataFrame([(7, "k7", -1), (400, "k400", 0)], "id long, k string, v long")
+    changed = store.apply(change, put, 1)
+    assert 1 <= len(changed) <= 2 and store.largest() == 400 and names() == before
+    assert {b for b, f in store.files().items() if f != first.get(b)} == changed
+    assert {r.k: r.v for r in store.read().collect()} == {f"k{i}": i * 2 for i in range(300)} | {"k7": -1, "k400": 0}
+    assert store.apply(change, put, 1) == changed  # a batch that comes again
+    assert store.apply(change, put, 2) == set() and store.files() == store.files(1)  # nothing new: no new file
+    assert store.apply(change.limit(0), put, 3) == set()
+    assert len(store.apply(change, lambda held, changes: held.join(changes.select("k"), "k", "left_anti"), 4)) == len(changed)
+    assert store.read().count() == 299
+    store.forget()
+    assert store.manifest(2) is None and store.read().count() == 299 and store.read(3).count() == 301
+    (tmp_path / "v5").mkdir()  # what a broken write left is replaced
+    assert store.apply(change, put, 5) == changed and store.read().count() == 301
+
+
+def test_quiet_keys(spark, tmp_path):
+    at = lambda s: f"2024-01-01 00:00:{s:06.3f}"
+    parts = [[("a", at(0), 1), ("a", at(0.4), 2), ("b", at(0), 3), ("a", at(2), 4)], [("b", at(0.3), 9), ("a", at(2.5), 5), ("b", at(3), 6), (None, at(3), 0)], [("end", at(50), 0)], [("end", at(55), 7)]]
+    out = []
+    with stateful(spark):
+        for rows in parts:
+            spark.createDataFrame(rows, "k string, at string, v long").selectExpr("k", "cast(at as timestamp) as at", "v").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema("k string, at timestamp, v long").parquet(str(tmp_path / "in"))
+            found = quiet.quiet_after(stream, ["k"], "at", ["v"], 500, "5 seconds")
+            found.writeStream.foreachBatch(lambda b, n: out.extend(map(tuple, b.collect()))).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(out) == [("a", 2, 2), ("a", 5, 2), ("b", 6, 1), ("b", 9, 2), ("end", 0, 1)]
