@@ -1,24 +1,11 @@
-"""Windows over ordered samples: runs, envelopes, moving means, edges of silence."""
+"""Aggregates over positions of samples: envelopes and edges of silence."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def runs(rows: DataFrame, group: str, order: list[str], flag: Column) -> DataFrame:
-    """(group, run, length): maximal runs of consecutive rows where `flag` holds."""
-    w = Window.partitionBy(group).orderBy(*order)
-    marked = rows.withColumn("_flag", F.coalesce(flag, F.lit(False)))
-    islands = marked.withColumn("_nth", F.row_number().over(w)).where("_flag")
-    nth = F.row_number().over(Window.partitionBy(group).orderBy("_nth"))
-    return islands.withColumn("run", F.col("_nth") - nth).groupBy(group, "run").agg(F.count("*").alias("length"))
-
-
-def moving_mean(value: Column, group: str, order: list[str], reach: int) -> Column:
-    return F.avg(value).over(Window.partitionBy(group).orderBy(*order).rowsBetween(-reach, reach))
-
-
 def envelope(rows: DataFrame, group: str, position: str, value: str, width: int, cap: int) -> DataFrame:
     """(group, point, peak): largest magnitude per `width` samples, then pooled so that no more
     than `cap` points a group remain."""

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.functions import verdict
-from tablemill.operators import aggregates, signal, windows
+from tablemill.operators import aggregates, scans, signal, windows
 from tablemill.plans.base import query
-from tablemill.storage import table
+from tablemill.storage import scratch, stash, table
 
 SERIES_SQL = "select user_id, value, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos from events"
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("user_id", "value", "event_id", (F.row_number().over(w) - 1).alias("pos"))
+    """Each user's events in order of time, numbered by a scan over ranges."""
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    return scans.numbered(rows, ["user_id"], ["ts", "event_id"], "pos").select("user_id", "value", "event_id", "pos")
 
 
 @query("AG21 WN4", f"""
@@ -24,8 +25,12 @@ r as (select user_id, run, count(*) as n from c group by 1, 2),
 t as (select user_id, count(*) as total, count(*) filter (value >= 40) as hot from s group by 1)
 select t.user_id, round(100.0 * hot / total, 4) as clip_pct, count(r.run) filter (n >= 3)::bigint as clip_runs from t left join r using (user_id) group by t.user_id, hot, total""")
 def clip_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = series(spark, sf_dir)
-    found = windows.runs(rows, "user_id", ["pos"], F.col("value") >= 40).groupBy("user_id").agg(F.count_if(F.col("length") >= 3).alias("clip_runs"))
+    with scratch(spark) as keep:
+        return keep(clipped(series(spark, sf_dir)), "clip-runs")
+
+
+def clipped(rows: DataFrame) -> DataFrame:
+    found = scans.runs(rows, "user_id", ["pos"], F.col("value") >= 40, "pos").groupBy("user_id").agg(F.count_if(F.col("length") >= 3).alias("clip_runs"))
     share = rows.groupBy("user_id").agg(F.round(100.0 * F.count_if(F.col("value") >= 40) / F.count("*"), 4).alias("clip_pct"))
     return share.join(found, "user_id", "left").select("user_id", "clip_pct", F.coalesce("clip_runs", F.lit(0)).alias("clip_runs"))
 
@@ -34,7 +39,8 @@ def clip_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 with s as ({SERIES_SQL}), e as (select user_id, min(pos) filter (value > 20) as a, max(pos) filter (value > 20) as b, max(pos) as z from s group by 1)
 select user_id, round(coalesce(a, z + 1) * 10.0, 4)::double as head_ms, round(case when b is null then 0 else (z - b) * 10.0 end, 4)::double as tail_ms from e""")
 def silence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.silence_edges(series(spark, sf_dir), "user_id", "pos", "value", 100.0, 20.0)
+    with scratch(spark) as keep:
+        return keep(windows.silence_edges(series(spark, sf_dir), "user_id", "pos", "value", 100.0, 20.0), "silence-edges")
 
 
 @query("AG26 FA3 WN8", f"""
@@ -42,7 +48,8 @@ with s as ({SERIES_SQL}), f as (select user_id, pos // 8 as slot, max(abs(value)
 n as (select user_id, count(*) as n from f group by 1)
 select user_id, floor(slot / ceil(greatest(n / 5.0, 1)))::bigint as point, max(peak) as peak from f join n using (user_id) group by 1, 2""")
 def peak_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.envelope(series(spark, sf_dir), "user_id", "pos", "value", 8, 5)
+    with scratch(spark) as keep:
+        return keep(windows.envelope(series(spark, sf_dir), "user_id", "pos", "value", 8, 5), "envelope")
 
 
 @query("WN5 WN6 WN7", f"""
@@ -50,11 +57,10 @@ with s as ({SERIES_SQL})
 select user_id, pos::bigint as pos, round(avg(value) over (partition by user_id order by pos rows between 5 preceding and 5 following), 6) as smooth,
   round(avg(value) over (partition by user_id order by pos rows between 1 following and 4 following), 6) as ahead from s""")
 def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("pos")
-    return series(spark, sf_dir).select(
-        "user_id", F.col("pos").cast("long").alias("pos"), F.round(windows.moving_mean(F.col("value"), "user_id", ["pos"], 5), 6).alias("smooth"),
-        F.round(F.avg("value").over(w.rowsBetween(1, 4)), 6).alias("ahead"),
-    )
+    with scratch(spark) as keep:
+        mean = F.avg("value")
+        near = scans.neighbours(series(spark, sf_dir), "user_id", "pos", {"smooth": (mean, -5, 5), "ahead": (mean, 1, 4)})
+        return keep(near.select("user_id", "pos", F.round("smooth", 6).alias("smooth"), F.round("ahead", 6).alias("ahead")), "moving-average")
 
 
 @query("AG20 AG22 AG23 FM6", """
@@ -72,7 +78,8 @@ with s as ({SERIES_SQL}), a as (select user_id, max(pos) as z, avg(value * value
 l as (select user_id, whole, avg(value * value) filter (pos > z - 5) as late from s join a using (user_id) group by 1, 2)
 select user_id, sqrt(whole) > 1e-4 and sqrt(late) >= 0.5 * sqrt(whole) as truncated from l""")
 def truncated_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.truncated(series(spark, sf_dir), "user_id", "pos", "value", 5)
+    with scratch(spark) as keep:
+        return keep(signal.truncated(series(spark, sf_dir), "user_id", "pos", "value", 5), "tails")
 
 
 @query("AG29 FM8", """
@@ -195,9 +202,15 @@ d as (select quality, n_chars, (n_chars - mean) / spread as z, least, middle fro
 u as (select unnest(['z below -0.5', 'below least', 'below half median']) as rule, unnest([z < -0.5, n_chars < least, n_chars < middle / 2.0]) as hit, quality from d)
 select rule, count(*) filter (quality = 0 and hit)::bigint as detected, count(*) filter (quality = 1 and hit)::bigint as false_positives, count(*)::bigint as n from u group by 1""")
 def rule_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    with scratch(spark) as keep:
+        rows = stash(table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id"), "labelled-lengths")
+        return keep(compared(rows), "rule-compare")
+
+
+def compared(rows: DataFrame) -> DataFrame:
     good = rows.where("quality = 1")
-    reference = good.agg(F.avg("n_chars").alias("mean"), F.stddev_pop("n_chars").alias("spread"), F.min("n_chars").alias("least"), aggregates.upper_median("n_chars").alias("middle"))  # one row
+    middle = aggregates.upper_medians(good, [], "n_chars", few=256).select(F.col("median").alias("middle"))  # one row
+    reference = good.agg(F.avg("n_chars").alias("mean"), F.stddev_pop("n_chars").alias("spread"), F.min("n_chars").alias("least")).crossJoin(middle)
     z = (F.col("n_chars") - F.col("mean")) / F.col("spread")
     rules = [("z below -0.5", z < -0.5), ("below least", F.col("n_chars") < F.col("least")), ("below half median", F.col("n_chars") < F.col("middle") / 2)]
     long = rows.join(F.broadcast(reference)).select("quality", F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), h.alias("hit")) for n, h in rules))).alias("r"))
