@@ -21,8 +21,8 @@ def band_pairs(rows: DataFrame, key: str, value: str, tolerance: float, fresh: D
     """(a_id, b_id): pairs of keys whose values are within `tolerance`, by an equi-join on buckets.
 
     Without `fresh` all pairs a < b of `rows`; with it, pairs of a fresh and another row. Values
-    are put into buckets wider than the tolerance, one side in three of them, so that a pair
-    meets exactly once. A null value is within reach of every row: those pairs are asked for by
+    are put into slots wider than the tolerance, one side in three of them, so that a pair
+    meets exactly once; a slot that holds very many rows (equal values, say) is dealt over tasks. A null value is within reach of every row: those pairs are asked for by
     the operator, and their join is dealt out over slots. NaN and infinite values behave as in
     comparisons of doubles: they are within no band. Rows with a null key are dropped."""
     width = 1.25 * tolerance
@@ -34,9 +34,18 @@ def band_pairs(rows: DataFrame, key: str, value: str, tolerance: float, fresh: D
 
     order = F.col("a_id") < F.col("b_id") if fresh is None else F.col("a_id") != F.col("b_id")
     slot = F.floor(F.col("a_value") / width)
+    placed = left.where(finite("a_value")).withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1)))
+    held = right.where(finite("b_value")).withColumn("slot", F.floor(F.col("b_value") / width))
+    # A slot with very many rows is a grid of blocks of either side, each a task's work.
+    crowded = F.broadcast(heavy_groups(placed.select("slot").unionByName(held.select("slot")), ["slot"]))
+    deals = F.coalesce("_deals", F.lit(1))
+
+    def gridded(side: DataFrame, k: str, own: str, other: str) -> DataFrame:
+        dealt = side.join(crowded, "slot", "left").withColumn(own, F.pmod(F.xxhash64(k), deals).cast("int"))
+        return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), deals - 1))).drop("_deals")
+
     near = (
-        left.where(finite("a_value")).withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1)))
-        .join(right.where(finite("b_value")).withColumn("slot", F.floor(F.col("b_value") / width)), "slot")
+        gridded(placed, "a_id", "_i", "_j").join(gridded(held, "b_id", "_j", "_i"), ["slot", "_i", "_j"])
         .where(order & within_band(F.col("a_value"), F.col("b_value"), tolerance)).select("a_id", "b_id")
     )
     slots = 16

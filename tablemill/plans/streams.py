@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from tablemill.operators import state
 from tablemill.plans.base import query
+from tablemill.plans.duplicates import COMPONENTS_SQL, TIMED_SQL, timed
 from tablemill.plans.library import TRACKS_SQL, tracks
 from tablemill.session import stateful
 from tablemill.storage import scratch, table, workspace
 from tablemill.streaming import quiet, watch
+from tablemill.streaming.duplicates import DuplicateIndex
 from tablemill.streaming.store import BucketStore
 
 PARTS = 4
@@ -92,6 +94,23 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         return keep(store.read().select(F.lit("row").alias("kind"), "path", "status", "size_bytes").unionByName(notes), "state")
 
 
+@query("SM5 JN11 JN12", f"""
+with recursive alive as (select * from ({TIMED_SQL}) where duration is not null and not (id % 10 = 0 and id % 3 <> 2)),
+e as (select a.id as a_id, b.id as b_id from alive a join alive b on a.id < b.id and abs(a.duration - b.duration) <= 0.002 and a.p = b.p), {COMPONENTS_SQL}
+select id, component from c""")
+def stepped_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups after three batches: new rows, new rows, and new and gone rows together."""
+    rows = timed(spark, sf_dir).where("duration is not null").select("id", F.col("duration").alias("value"), F.col("p").alias("content"))
+    come = rows.withColumn("part", (F.col("id") % 3).cast("int")).withColumn("gone", F.lit(False))
+    go = rows.where("id % 10 = 0 and id % 3 <> 2").withColumn("part", F.lit(2)).withColumn("gone", F.lit(True))
+    changes = come.unionByName(go)
+    with scratch(spark) as keep, workspace(spark, "stepped-duplicates") as at:
+        index = DuplicateIndex(spark, f"{at}/index", "string", 0.002, lambda a, b: F.when(a == b, 1.0).otherwise(0.0))
+        for stream in arriving(changes, f"{at}/changes", F.col("part"), 3):
+            stream.writeStream.foreachBatch(lambda batch, number: index.apply(batch, number + 1)).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+        return keep(index.groups.read(), "groups")
+
+
 QUIET_SQL = """
 x as (select *, epoch_ms(ts) as ms, epoch_ms(ts) - lag(epoch_ms(ts)) over (partition by user_id, event_type order by epoch_ms(ts), event_id) > {quiet} as starts from events),
 runs as (select *, coalesce(sum(starts::int) over (partition by user_id, event_type order by ms, event_id), 0) as run from x),

@@ -19,12 +19,16 @@ class BucketStore:
     Version n's manifest says for every bucket which folder holds its rows, how many these are and a digest
     of them. A write of version n makes new files for the buckets that its changes touch, reads only the old ones of
     these, and keeps the old file where a bucket's rows stay the same. The manifest is written last, so a write that
-    breaks off is done again, and one that is asked for again is seen to be done. The number of buckets is fixed when the table
-    is made: take it so that a bucket is a task's work. `counter` names a column of ids whose largest value the manifest keeps,
+    breaks off is done again, and one that is asked for again is seen to be done. The number of buckets (by
+    default as many as shuffles have partitions) is fixed when the table is made: take it so that a bucket is a task's work. `counter` names a column of ids whose largest value the manifest keeps,
     so that new rows get ids without a look at all buckets."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: StructType, key: list[str], buckets: int = 64, counter: str | None = None):
-        self.spark, self.folder, self.schema, self.key, self.buckets, self.counter = spark, folder.rstrip("/"), schema, key, buckets, counter
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType, key: list[str], buckets: int | None = None, counter: str | None = None):
+        self.spark, self.folder, self.schema, self.key, self.counter = spark, folder.rstrip("/"), schema, key, counter
+        made = read_text(spark, f"{self.folder}/manifest/buckets")
+        self.buckets = int(made or buckets or spark.conf.get("spark.sql.shuffle.partitions"))
+        if made is None:
+            write_text(spark, f"{self.folder}/manifest/buckets", str(self.buckets))
 
     def bucket(self):
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")

@@ -32,6 +32,25 @@ def test_band_pairs_of_non_finite_values(spark):
     assert got == {(3, 4), (0, 5), (1, 5), (2, 5), (3, 5), (4, 5)}
 
 
+def test_band_pairs_of_a_crowded_slot(spark, monkeypatch):
+    monkeypatch.setattr(joins, "LIGHT", 40)
+    values = [7.0] * 160 + [float(i) for i in range(160)]  # half of the values are equal
+    for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+        spark.conf.set(name, "false" if name.endswith("enabled") else "-1")
+    try:
+        pairs = joins.band_pairs(frame(spark, values), "id", "v", 2.0)
+        rows = pairs.withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == len({(r.a_id, r.b_id) for r in rows}) and {(r.a_id, r.b_id) for r in rows} == naive(values)
+    sizes = [sum(r.p == p for r in rows) for p in {r.p for r in rows}]
+    assert len(sizes) == 4 and max(sizes) < 0.6 * len(rows)
+    fresh = frame(spark, values).where("id % 40 = 1")
+    got = {tuple(r) for r in joins.band_pairs(frame(spark, values), "id", "v", 2.0, fresh).collect()}
+    assert got == {(i, j) for i in range(1, 320, 40) for j in range(320) if i != j and abs(values[i] - values[j]) <= 2}
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(0, 200)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(500, 500), (None, 1)]

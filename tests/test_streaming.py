@@ -3,10 +3,13 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from tablemill import schemas
 from tablemill.session import stateful
 from tablemill.operators import state
 from tablemill.streaming import quiet, watch
+from tablemill.streaming.duplicates import DuplicateIndex
 from tablemill.streaming.store import BucketStore
 
 
@@ -129,3 +132,29 @@ def test_quiet_keys(spark, tmp_path):
             found = quiet.quiet_after(stream, ["k"], "at", ["v"], 500, "5 seconds")
             found.writeStream.foreachBatch(lambda b, n: out.extend(map(tuple, b.collect()))).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(out) == [("a", 2, 2), ("a", 5, 2), ("b", 6, 1), ("b", 9, 2), ("end", 0, 1)]
+
+
+def test_duplicates_after_batches_equal_the_whole(spark, tmp_path):
+    rng = random.Random(20)
+    held: dict = {}
+    index = DuplicateIndex(spark, str(tmp_path), "int", 1.0, lambda a, b: F.when(a == b, F.lit(0.9)).otherwise(0.1), 0.5, 8)
+    fresh = lambda i: (i, None if rng.random() < 0.05 else rng.randrange(60) / 2, rng.randrange(3))
+    batches = [[(*fresh(i), False) for i in range(40)], [(*fresh(i), False) for i in range(35, 60)], [(*fresh(i), i % 2 == 0) for i in range(0, 50, 3)] + [(99, 1.0, 1, True)]]
+    for n, batch in enumerate(batches, 1):
+        changes = spark.createDataFrame(batch, "id long, value double, content int, gone boolean")
+        index.apply(changes, n)
+        if n == 2:
+            index.apply(changes, n)
+        for i, value, content, gone in batch:
+            held.pop(i, None)
+            if not gone:
+                held[i] = (value, content)
+        near = lambda a, b: a[1] == b[1] and (a[0] is None or b[0] is None or abs(a[0] - b[0]) <= 1)
+        pairs = {(i, j) for i in held for j in held if i != j and near(held[i], held[j])}
+        assert {(r.x, r.y) for r in index.pairs.read().collect()} == pairs
+        assert {r.id: (r.value, r.content) for r in index.rows.read().collect()} == held
+        label = {i: i for i, _ in pairs}
+        for _ in label:
+            for i, j in pairs:
+                label[i] = label[j] = min(label[i], label[j])
+        assert {r.id: r.component for r in index.groups.read().collect()} == label
