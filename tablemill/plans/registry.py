@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablemill.plans import browse, duplicates, identify, journal, library, measures, sounds, state, streams
+from tablemill.plans import audio, browse, duplicates, identify, journal, library, measures, sounds, state, streams
 from tablemill.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "browse", "duplicates", "identify", "journal", "library", "measures", "sounds", "state", "streams"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audio", "browse", "duplicates", "identify", "journal", "library", "measures", "sounds", "state", "streams"]
