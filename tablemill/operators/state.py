@@ -183,11 +183,13 @@ def requeue(tracks: DataFrame, actions: DataFrame, ids: DataFrame) -> tuple[Data
     return after, closed.select(*(undone.alias(c) if c == "undone" else F.col(c) for c in actions.columns))
 
 
-def read_through(keys: DataFrame, cache: DataFrame, key: str, value: str, version: int, compute) -> DataFrame:
-    """(key, value) of every key: from the cache where its version is current and its value not
-    empty, else from compute(keys that miss)."""
-    good = cache.where((F.col("version") == version) & F.col(value).isNotNull() & (F.col(value) != ""))
-    hits = keys.join(good.select(key, value), key)
+def read_through(keys: DataFrame, cache: DataFrame, key: str, value: str, version: int, compute, sound: Column | None = None) -> DataFrame:
+    """(key, value) of every key: from the cache where its version is current, its value not empty and
+    `sound` (a condition on the cache's columns, such as that the value parses) holds, else from compute(keys that miss).
+    A key that stands there several times has the least value."""
+    good = cache.where((F.col("version") == version) & F.col(value).isNotNull() & (F.col(value) != "") & F.coalesce(F.lit(True) if sound is None else sound, F.lit(False)))
+    good = good.groupBy(key).agg(F.min(value).alias(value))
+    hits = keys.join(good, key)
     misses = keys.join(good.select(key), key, "left_anti")
     return hits.select(key, value).unionByName(compute(misses).select(key, value))
 

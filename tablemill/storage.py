@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _open = threading.local()
@@ -115,6 +116,37 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file if there is none yet; whether this call made it."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = system.create(place, False)
+    except Py4JJavaError:
+        if system.exists(place):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of change) of the files below a path, in order; none where nothing is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return []
+    found, out = system.listFiles(place, True), []
+    while found.hasNext():
+        one = found.next()
+        out.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+    return sorted(out)
+
+
 def clear_stashes(spark: SparkSession) -> None:
     """Delete every stash of the shared folder; only when no result that reads one is needed."""
     delete_path(spark, f"{shared_dir(spark)}/tablemill")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,12 @@ class ProgressEvery(StreamingQueryListener):
 
     def __init__(self, step: int, tell: Callable[[int], None]):
         self.step, self.tell, self.rows, self.told = step, tell, 0, 0
+        self.ended, self.change = 0, threading.Condition()
+
+    def wait_for(self, runs: int, seconds: float = 60.0) -> None:
+        """Until the end of so many streams has been heard of, which comes after all of their progress."""
+        with self.change:
+            self.change.wait_for(lambda: self.ended >= runs, seconds)
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -66,7 +73,9 @@ class ProgressEvery(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        with self.change:
+            self.ended += 1
+            self.change.notify_all()
 
     def onQueryProgress(self, event) -> None:
         self.rows += event.progress.numInputRows
