@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablemill.operators.joins import dealt_join
+
 FRAME, HOP = 4096, 2048
 
 
@@ -110,63 +112,84 @@ def flatness(x: np.ndarray, rate: int, low: float, high: float) -> float | None:
     return upper_middle(flatness_of(power_of(frames_of(x)), rate, low, high))
 
 
-def frames(rows: DataFrame) -> DataFrame:
-    """(track_id, sample_rate, frame, mono) of (track_id, sample_rate, position, left, right):
-    FRAME samples every HOP, by shuffles on track and place, so that a long recording spreads
-    over tasks. A last frame that is not full is left out; positions have no gaps."""
-    mono = rows.select("track_id", "sample_rate", "position", ((F.col("left") + F.col("right")) / 2).alias("x"), F.floor(F.col("position") / HOP).alias("slot"))
-    # Samples move once, as halves of frames; the halves then stand in two frames each.
-    halves = mono.groupBy("track_id", "slot").agg(F.first("sample_rate").alias("sample_rate"), F.sort_array(F.collect_list(F.struct("position", "x"))).alias("held"))
-    places = F.array(F.struct(F.col("slot").alias("frame"), F.lit(0).alias("part")), F.struct((F.col("slot") - 1).alias("frame"), F.lit(1).alias("part")))
-    dealt = halves.where(F.size("held") == HOP).select("track_id", "sample_rate", F.col("held.x").alias("half"), F.explode(places).alias("p"))
-    pairs = dealt.groupBy("track_id", F.col("p.frame").alias("frame")).agg(F.first("sample_rate").alias("sample_rate"), F.sort_array(F.collect_list(F.struct("p.part", "half"))).alias("halves"))
-    return pairs.where(F.size("halves") == 2).select("track_id", "sample_rate", "frame", F.flatten("halves.half").alias("mono"))
+def with_heads(blocks: DataFrame) -> DataFrame:
+    """Blocks (track_id, sample_rate, channels, block_id, samples) with `head`: what the next block of
+    the track begins with, as far as a frame that starts in a block can reach. Whole arrays move, and each
+    block on its own, so that a long recording spreads over tasks."""
+    reach = F.slice("samples", F.lit(1), F.lit(FRAME - HOP) * F.col("channels"))
+    heads = blocks.select("track_id", (F.col("block_id") - 1).alias("block_id"), reach.alias("head"))
+    return blocks.join(heads, ["track_id", "block_id"], "left")
+
+
+def block_frames(samples: np.ndarray, head: np.ndarray | None, channels: int) -> np.ndarray:
+    """The frames that start in a block, mono: the mean of the first two channels."""
+    parts = []
+    for part in (samples, head):
+        flat = np.zeros(0) if part is None else np.asarray(part, float)
+        parts.append(flat[: len(flat) // channels * channels].reshape(-1, channels)[:, :2].mean(axis=1) if len(flat) >= channels else np.zeros(0))
+    if len(parts[0]) % HOP and len(parts[1]):
+        raise ValueError(f"a block that others follow has {len(parts[0])} frames, which is no multiple of {HOP}")
+    return frames_of(np.concatenate(parts))[: -(-len(parts[0]) // HOP)]
 
 
-def spectra(rows: DataFrame) -> DataFrame:
-    """(track_id, cutoff_hz, flat_fixed, flat_top) of (track_id, sample_rate, position, left,
-    right). Tasks add up the spectra of the frames they hold; a track's few sums then meet."""
+def spectra(blocks: DataFrame) -> DataFrame:
+    """(track_id, cutoff_hz, flat_fixed, flat_top) of blocks (track_id, sample_rate, channels, block_id, samples):
+    blocks are numbered without gaps, hold a multiple of HOP frames each but for a track's last, and interleave
+    channels. Each block gives the sum of its frames' spectra; sums meet in two steps, 256 blocks first. Tracks
+    without a frame have a cutoff of 0."""
 
     def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for (track, rate), own in pdf.groupby(["track_id", "sample_rate"]):
-                power = power_of(np.stack(own.mono.to_list()))
-                top = rate / 2
-                out.append((track, rate, len(own), power.sum(axis=0), flatness_of(power, rate, 16000, 20000), flatness_of(power, rate, 0.8 * top, 0.98 * top)))
-            yield pd.DataFrame(out, columns=["track_id", "sample_rate", "n", "power", "fixed", "top"])
+            for track, rate, channels, block, own, head in pdf[["track_id", "sample_rate", "channels", "block_id", "samples", "head"]].itertuples(index=False, name=None):
+                power, top = power_of(block_frames(own, head, channels)), rate / 2
+                if len(power):
+                    out.append((track, rate, block // 256, len(power), power.sum(axis=0), flatness_of(power, rate, 16000, 20000), flatness_of(power, rate, 0.8 * top, 0.98 * top)))
+            yield pd.DataFrame(out, columns=["track_id", "sample_rate", "part", "n", "power", "fixed", "top"])
+
+    def added(pdf: pd.DataFrame) -> dict:
+        pdf = pdf.sort_values(["part", "n"], kind="stable")
+        return {"power": np.sum(np.stack(pdf.power.to_list()), axis=0), "n": int(pdf.n.sum()), "fixed": np.concatenate(pdf.fixed.to_list()), "top": np.concatenate(pdf.top.to_list())}
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in ("track_id", "sample_rate", "part")}, **{c: [v] for c, v in added(pdf).items()}})
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        cutoff = cutoff_of(np.sum(np.stack(pdf.power.to_list()), axis=0), int(pdf.n.sum()), int(pdf.sample_rate.iloc[0]))
-        fixed, top = (upper_middle(np.concatenate(pdf[c].to_list())) for c in ("fixed", "top"))
-        return pd.DataFrame({"track_id": [pdf.track_id.iloc[0]], "cutoff_hz": [cutoff], "flat_fixed": [fixed], "flat_top": [top]})
+        sums = added(pdf)
+        cutoff = cutoff_of(sums["power"], sums["n"], int(pdf.sample_rate.iloc[0]))
+        return pd.DataFrame({"track_id": [pdf.track_id.iloc[0]], "cutoff_hz": [cutoff], "flat_fixed": [upper_middle(sums["fixed"])], "flat_top": [upper_middle(sums["top"])]})
 
-    parts = frames(rows).mapInPandas(some, "track_id long, sample_rate int, n long, power array<double>, fixed array<double>, top array<double>")
+    schema = "track_id long, sample_rate int, part long, n long, power array<double>, fixed array<double>, top array<double>"
+    parts = with_heads(blocks).mapInPandas(some, schema).groupBy("track_id", "part").applyInPandas(near, schema)
     found = parts.groupBy("track_id").applyInPandas(whole, "track_id long, cutoff_hz double, flat_fixed double, flat_top double")
-    short = rows.select("track_id").distinct().join(found, "track_id", "left")  # tracks without a frame
-    return short.select("track_id", F.coalesce("cutoff_hz", F.lit(0.0)).alias("cutoff_hz"), "flat_fixed", "flat_top")
+    every = blocks.select("track_id").distinct().join(found, "track_id", "left")
+    return every.select("track_id", F.coalesce("cutoff_hz", F.lit(0.0)).alias("cutoff_hz"), "flat_fixed", "flat_top")
 
 
-def spectrogram(rows: DataFrame, most_columns: int = 1200, most_bins: int = 384) -> DataFrame:
-    """(track_id, column, levels): every second frame of a track, or every so many of these that
-    `most_columns` remain, as bytes: levels of -100 dB to full scale are 0 to 255, the loudest of
-    neighbouring bins stands for them so that `most_bins` remain."""
+def spectrogram(blocks: DataFrame, block_frames_each: int, most_columns: int = 1200, most_bins: int = 384) -> DataFrame:
+    """(track_id, column, levels) of blocks as in `spectra`, of `block_frames_each` frames each but for a track's last: every
+    second frame of a track, or every so many of these that `most_columns` remain, as bytes: levels of -100 dB to full
+    scale are 0 to 255, the loudest of neighbouring bins stands for them so that `most_bins` remain."""
     pool = -(-(FRAME // 2) // most_bins)
     full = (np.hanning(FRAME).mean() * FRAME / 2) ** 2
+    per_block = block_frames_each // HOP
 
     def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            power = power_of(np.stack(pdf.mono.to_list()))
-            db = np.where(power <= 1e-12, -100.0, 10 * np.log10(np.maximum(power, 1e-300) / full))
-            level = ((np.clip(db, -100, 0) + 100) / 100 * 255).astype(np.uint8)
-            level = np.maximum.reduceat(level, np.arange(0, level.shape[1], pool), axis=1)
-            yield pd.DataFrame({"track_id": pdf.track_id, "column": pdf.column, "levels": [x.tobytes() for x in level]})
-
-    shown = frames(rows).where("frame % 2 = 0").withColumn("column", (F.col("frame") / 2).cast("long"))
-    stride = rows.groupBy("track_id").agg(F.max("position").alias("last"))
-    columns = F.floor((F.floor((F.col("last") + 1 - FRAME) / HOP)) / 2) + 1
-    stride = stride.select("track_id", F.greatest(F.ceil(columns / most_columns), F.lit(1)).alias("stride"))
-    kept = shown.join(stride, "track_id").where("column % stride = 0").withColumn("column", (F.col("column") / F.col("stride")).cast("long"))
-    return kept.select("track_id", "column", "mono").mapInPandas(levels, "track_id long, column long, levels binary")
+            for track, channels, block, own, head, stride in pdf[["track_id", "channels", "block_id", "samples", "head", "stride"]].itertuples(index=False, name=None):
+                frames = block_frames(own, head, channels)
+                number = block * per_block + np.arange(len(frames))
+                shown = np.flatnonzero(number % (2 * stride) == 0)
+                if not len(shown):
+                    continue
+                power = power_of(frames[shown])
+                db = np.where(power <= 1e-12, -100.0, 10 * np.log10(np.maximum(power, 1e-300) / full))
+                level = ((np.clip(db, -100, 0) + 100) / 100 * 255).astype(np.uint8)
+                level = np.maximum.reduceat(level, np.arange(0, level.shape[1], pool), axis=1)
+                yield pd.DataFrame({"track_id": track, "column": number[shown] // (2 * stride), "levels": [x.tobytes() for x in level]})
+
+    sizes = blocks.groupBy("track_id").agg(F.sum(F.floor(F.size("samples") / F.col("channels"))).alias("n"))
+    columns = F.floor(F.floor((F.col("n") - FRAME) / HOP) / 2) + 1
+    strides = sizes.select("track_id", F.greatest(F.ceil(columns / most_columns), F.lit(1)).cast("long").alias("stride"))
+    kept = dealt_join(with_heads(blocks), strides, ["track_id"], ["block_id"])
+    return kept.mapInPandas(levels, "track_id long, column long, levels binary")

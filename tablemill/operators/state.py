@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.operators import joins
+from tablemill.operators import joins, scans
 
 DERIVED_BY_CONTENT = ["analyzed_at", "fingerprint", "fingerprint_ver", "report_json"]
 
@@ -76,10 +76,11 @@ def upsert_metadata(metadata: DataFrame, given: DataFrame, key: str, always: lis
 
 def unique_names(rows: DataFrame, taken: DataFrame, stem: str, extension: str, order: str) -> DataFrame:
     """`rows` with `name`: the stem and extension, with ` (n)` from 2 on where names meet one
-    another or `taken` (stem, extension, n of the last taken)."""
+    another or `taken` (stem, extension, n of the last taken). Rows of a name are numbered by a scan
+    over ranges of `order`, which has no ties, so that one name of very many rows spreads over tasks."""
     last = taken.groupBy(stem, extension).agg(F.max("n").alias("_last"))
-    nth = F.row_number().over(Window.partitionBy(stem, extension).orderBy(order))
-    met = rows.join(last, [stem, extension], "left").withColumn("_nth", nth + F.coalesce("_last", F.lit(0)))
+    placed = scans.numbered(rows, [stem, extension], [order], "_before")
+    met = joins.dealt_join(placed, last, [stem, extension], [order], "left").withColumn("_nth", F.col("_before") + 1 + F.coalesce("_last", F.lit(0)))
     suffix = F.when(F.col("_nth") == 1, "").otherwise(F.concat(F.lit(" ("), F.col("_nth").cast("string"), F.lit(")")))
     return met.select(*rows.columns, F.concat(stem, suffix, F.lit("."), extension).alias("name"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,38 +90,57 @@ def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.round(aggregates.upper_median("l_extendedprice"), 2).alias("median"), F.round(F.stddev_pop("l_quantity"), 6).alias("spread"))
 
 
-def tones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of made-up tones, one per supplier: a sum of sines up to a limit by key."""
+BLOCK = 8192
+
+
+def played(spark: SparkSession, sf_dir: str, seconds, sample) -> DataFrame:
+    """Blocks of one channel for every supplier: `seconds` tells the number of samples, `sample` the one at a place."""
     keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("track_id"))
-    t = F.col("position") / 44100.0
-    top = 4000 + (F.col("track_id") % 8) * 2000
-    tone = sum((F.sin(2 * 3.141592653589793 * (top * k / 40.0) * t + k * k) for k in range(1, 41)), F.lit(0.0)) / 40
-    return keys.withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(16383)))).select("track_id", F.lit(44100).alias("sample_rate"), "position", tone.alias("left"), tone.alias("right"))
+    length = seconds(F.col("track_id"))
+    rows = keys.withColumn("n", length).withColumn("block_id", F.explode(F.sequence(F.lit(0), F.floor((length - 1) / BLOCK))))
+    places = F.sequence(F.col("block_id") * BLOCK, F.least((F.col("block_id") + 1) * BLOCK, F.col("n")) - 1)
+    return rows.select("track_id", F.lit(44100).alias("sample_rate"), F.lit(1).alias("channels"), F.col("block_id").cast("long").alias("block_id"), F.transform(places, lambda i: sample(F.col("track_id"), i)).alias("samples"))
+
+
+def comb(n, i):
+    """At place i the sum of the first `n` multiples of the eighth bin, at full scale, in closed form."""
+    turn = i * (2 * math.pi * 8 / 4096)
+    return F.when(i % 512 == 0, 1.0).otherwise((F.sin((n + 0.5) * turn) / (2 * F.sin(turn / 2)) - 0.5) / n)
+
+
+@query("AG27 SC4", "select s_suppkey as track_id, round((8 * (60 + s_suppkey % 90) + 46) * 44100 / 4096.0, 1)::double as cutoff_hz from supplier")
+def spectral_cliff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combs of tones that end at a bin told by the key: the cutoff is the 46th bin behind it, the last one whose
+    band of 47 bins below still holds the end of the comb."""
+    out = signal.spectra(played(spark, sf_dir, lambda k: F.lit(20000), lambda k, i: comb(60 + k % 90, i)))
+    return out.select("track_id", F.round("cutoff_hz", 1).alias("cutoff_hz"))
 
 
 @query("AG27 AG28 SC4 FA2")
 def spectral_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = signal.spectra(tones(spark, sf_dir))
+    """All three measures of the same combs."""
+    out = signal.spectra(played(spark, sf_dir, lambda k: F.lit(20000), lambda k, i: comb(60 + k % 90, i)))
     return out.select("track_id", F.round("cutoff_hz", 1).alias("cutoff_hz"), F.round("flat_fixed", 3).alias("flat_fixed"), F.round("flat_top", 3).alias("flat_top"))
 
 
+def impulses(every: int):
+    return lambda k, i: F.when((k % every == 0) & (i % 4096 == 3000), 0.5).otherwise(0.0)
+
+
 @query("AG27 AG28 SC4 FA2", """
 select s_suppkey as track_id, case when s_suppkey % 3 = 2 then 0.0 else 22050.0 end::double as cutoff_hz,
   case when s_suppkey % 3 < 2 then 0.0 end::double as flat_fixed, case when s_suppkey % 3 < 2 then 0.0 end::double as flat_top from supplier""")
 def spectral_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals whose spectra are known: one impulse a frame is flat up to half the rate, and so is
     silence; a signal shorter than a frame has no spectrum."""
-    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("track_id"))
-    long = F.when(F.col("track_id") % 3 == 2, 999).otherwise(8191)
-    rows = keys.withColumn("position", F.explode(F.sequence(F.lit(0), long)))
-    impulse = F.when((F.col("track_id") % 3 == 0) & (F.col("position") % 4096 == 3000), 0.5).otherwise(0.0)
-    out = signal.spectra(rows.select("track_id", F.lit(44100).alias("sample_rate"), "position", impulse.alias("left"), impulse.alias("right")))
+    out = signal.spectra(played(spark, sf_dir, lambda k: F.when(k % 3 == 2, 1000).otherwise(BLOCK), impulses(3)))
     return out.select("track_id", F.round("cutoff_hz", 1).alias("cutoff_hz"), F.round("flat_fixed", 3).alias("flat_fixed"), F.round("flat_top", 3).alias("flat_top"))
 
 
 @query("AG30")
 def spectrogram_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.spectrogram(tones(spark, sf_dir)).select("track_id", "column", F.hex("levels").alias("levels"))
+    blocks = played(spark, sf_dir, lambda k: F.lit(20000), lambda k, i: comb(60 + k % 90, i))
+    return signal.spectrogram(blocks, BLOCK).select("track_id", "column", F.hex("levels").alias("levels"))
 
 
 @query("AG30", """
@@ -127,10 +148,7 @@ with w as (select 0.5 - 0.5 * cos(2 * pi() * 3000 / 4095) as w), v as (select fl
 select s_suppkey as track_id, unnest(range(0, 2)) as column, repeat(case when s_suppkey % 2 = 0 then printf('%02X', level) else '00' end, 342) as levels from supplier, v""")
 def spectrogram_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grids of one impulse a frame, whose level is the window's there, and of silence."""
-    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("track_id"))
-    rows = keys.withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(8191))))
-    impulse = F.when((F.col("track_id") % 2 == 0) & (F.col("position") % 4096 == 3000), 0.5).otherwise(0.0)
-    out = signal.spectrogram(rows.select("track_id", F.lit(44100).alias("sample_rate"), "position", impulse.alias("left"), impulse.alias("right")))
+    out = signal.spectrogram(played(spark, sf_dir, lambda k: F.lit(BLOCK), impulses(2)), BLOCK)
     return out.select("track_id", "column", F.hex("levels").alias("levels"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablemill.operators import joins, state
 from tablemill.plans.base import query
-from tablemill.storage import table
+from tablemill.storage import scratch, table
 
 STORED_SQL = "select doc_id, n_chars as size_bytes, case when doc_id % 7 = 0 then 'filed' else 'pending' end as status from documents where doc_id % 5 <> 0"
 LISTED_SQL = "select doc_id, case when doc_id % 11 = 0 then n_chars + 1 else n_chars end as size_bytes from documents where doc_id % 6 <> 0"
@@ -81,7 +81,8 @@ select p_partkey, p_name || case when n = 1 then '' else ' (' || n || ')' end ||
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.lit("mp3").alias("ext"))
     taken = rows.where("p_name like 'red%'").select("p_name", "ext", F.lit(1).alias("n")).distinct()
-    return state.unique_names(rows, taken, "p_name", "ext", "p_partkey").select("p_partkey", "name")
+    with scratch(spark) as keep:
+        return keep(state.unique_names(rows, taken, "p_name", "ext", "p_partkey").select("p_partkey", "name"), "names")
 
 
 @query("SK24", """

@@ -192,11 +192,13 @@ def test_spectra_and_grid_against_one_signal(spark):
 
     rate = 44100
     x = np.random.default_rng(6).normal(0, 0.2, 4096 * 3 + 100)
-    rows = spark.createDataFrame([(1, rate, i, float(v), float(v)) for i, v in enumerate(x)] + [(2, rate, 0, 0.5, 0.5)], "track_id long, sample_rate int, position long, left double, right double").repartition(5)
+    stereo = np.stack([x + 0.1, x - 0.1], axis=1).ravel()  # interleaved; their mean is x
+    cut = [(1, rate, 2, b, stereo[b * 8192 : (b + 1) * 8192].tolist()) for b in range(-(-len(stereo) // 8192))]
+    rows = spark.createDataFrame(cut + [(2, rate, 1, 0, [0.5])], "track_id long, sample_rate int, channels int, block_id long, samples array<double>").repartition(5)
     got = {r.track_id: r for r in signal.spectra(rows).collect()}
-    assert got[1].cutoff_hz == signal.spectrum_cutoff(x, rate) and abs(got[1].flat_fixed - signal.flatness(x, rate, 16000, 20000)) < 1e-9
+    assert abs(got[1].cutoff_hz - signal.spectrum_cutoff(x, rate)) < 1e-6 and abs(got[1].flat_fixed - signal.flatness(x, rate, 16000, 20000)) < 1e-9
     assert (got[2].cutoff_hz, got[2].flat_fixed, got[2].flat_top) == (0.0, None, None)
-    grid = {r.column: r.levels for r in signal.spectrogram(rows, most_columns=2).collect()}
+    grid = {r.column: r.levels for r in signal.spectrogram(rows, 4096, most_columns=2).collect()}
     frames = [x[s : s + 4096] * np.hanning(4096) for s in range(0, len(x) - 4095, 2048)][::2][::2]
     assert sorted(grid) == list(range(len(frames)))
     full = (np.hanning(4096).sum() / 2) ** 2

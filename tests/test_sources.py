@@ -3,6 +3,7 @@
 import json
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablemill import schemas
@@ -46,10 +47,23 @@ def test_xml_catalogue(spark, tmp_path):
     tracks = catalogues.collection(spark, str(path)).withColumn("local", catalogues.local_path(F.col("location")))
     assert sorted((r.track_id, r.name, r.local) for r in tracks.collect()) == [(1, "One & Two", "C:/M x/one+1.mp3"), (2, None, "b.wav")]
     tree = catalogues.playlists(spark, str(path))
-    assert [(r.path, r.depth, r.is_folder, r.track_ids) for r in tree.collect()] == [(["Sets"], 1, True, []), (["Sets", "Late"], 2, False, [2, 1]), (["All"], 1, False, [1])]
+    assert [(r.path, r.depth, r.is_folder, r.track_ids) for r in sorted(tree.collect(), key=lambda r: r.seq)] == [(["Sets"], 1, True, []), (["Sets", "Late"], 2, False, [2, 1]), (["All"], 1, False, [1])]
     assert catalogues.playlist_count(tree).first().playlists == 2
 
 
+def test_playlist_trees_of_odd_exports(spark, tmp_path):
+    deep = "".join(f"<NODE Type='0' Name='n{i}'>" for i in range(12)) + "<NODE Name='leaf &amp; &lt;x>' Type='1'><TRACK Key='9'></TRACK></NODE>" + "</NODE>" * 12
+    (tmp_path / "a.xml").write_text(f"<DJ_PLAYLISTS><PLAYLISTS><NODE Type='0' Name='ROOT'><!-- <NODE Name='no'> -->{deep}<NODE\n Type='1' Name='empty'/><NODE Type='1'/></NODE></PLAYLISTS></DJ_PLAYLISTS>")
+    (tmp_path / "b.xml").write_text("<DJ_PLAYLISTS><COLLECTION><TRACK TrackID='1' Location='x'/></COLLECTION></DJ_PLAYLISTS>")
+    got = sorted(catalogues.playlists(spark, str(tmp_path)).collect(), key=lambda r: r.seq)
+    names = [f"n{i}" for i in range(12)]
+    assert [(r.path, r.depth, r.is_folder, r.track_ids) for r in got[:12]] == [(names[: i + 1], i + 1, True, []) for i in range(12)]
+    assert [(r.path, r.depth, r.is_folder, r.track_ids) for r in got[12:]] == [([*names, "leaf & <x>"], 13, False, [9]), (["empty"], 1, False, []), ([""], 1, False, [])]
+    (tmp_path / "c.xml").write_text("<PLAYLISTS><NODE Type='0' Name='ROOT'/></PLAYLISTS>")
+    with pytest.raises(Exception, match="root is missing"):
+        catalogues.playlists(spark, str(tmp_path))
+
+
 def test_search_responses(spark):
     body = {"results": [
         {"id": 5, "title": "Mira Kell (2)* - Ferry", "year": "1999", "label": ["", "Low"], "format": ["CD", "Compilation"], "style": ["House"], "country": ""},
