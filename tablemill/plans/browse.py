@@ -31,11 +31,18 @@ def browse(spark: SparkSession, sf_dir: str, folder: str | None = None, needle:
     rows = rows.join(customers, "o_custkey", "left")
     search = filters.contains_any(needle, F.col("c_name"), F.col("c_mktsegment"))
     rows = rows.where(filters.all_of(search))
-    lists = genres(spark, sf_dir, rows).groupBy("o_orderkey").agg(aggregates.ordered_list(F.struct("ord", "genre"), "genre").alias("listed"))
+    # One join by order brings the lines, and the lists are made where they arrive.
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_linenumber")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("genre"))
+    how = "left" if genre is None else "inner"
+    met = rows.select("o_orderkey", "c_name", "o_orderpriority", "o_totalprice").join(lines, "o_orderkey", how).join(parts, "l_partkey", how)
+    listed = F.array_distinct(aggregates.ordered_list(F.struct("l_linenumber", "genre"), "genre"))
+    kept = met.groupBy("o_orderkey").agg(
+        F.first("c_name").alias("c_name"), F.first("o_orderpriority").alias("o_orderpriority"), F.first(F.round("o_totalprice", 2)).alias("price"), F.filter(listed, lambda g: g.isNotNull()).alias("listed")
+    )
     if genre is not None:
-        lists = lists.where(F.array_contains("listed", genre))
-    lists = lists.select("o_orderkey", F.array_join("listed", ", ").alias("genres"))
-    return rows.join(lists, "o_orderkey", "left" if genre is None else "inner").select("o_orderkey", "c_name", "o_orderpriority", F.round("o_totalprice", 2).alias("price"), "genres")
+        kept = kept.where(F.array_contains("listed", genre))
+    return kept.select("o_orderkey", "c_name", "o_orderpriority", "price", F.when(F.size("listed") > 0, F.array_join("listed", ", ")).alias("genres"))
 
 
 GENRES_SQL = """
