@@ -22,7 +22,7 @@ def brute(rows):
     letter = {c: b for b, c in enumerate(byte_letters())}
     found, counts = [], Counter()
     for key, text in rows:
-        links, groups, a, b = [], [], [], []
+        groups, a, b = [], [], []
         if text:
             a = [(i, bytes(letter[c] for c in lib.id_to_token(i))) for i in lib.encode(" " + text, add_special_tokens=False).ids]
             for i in pieces.encode(text):
@@ -38,12 +38,20 @@ def brute(rows):
                 own.append((at, at + len(x), i))
                 at += len(x)
             spans.append(own)
-        links = [(i, j) for s, e, i in spans[0] for t, f, j in spans[1] if s < f and t < e]
+        links, i, j = [], 0, 0
+        while i < len(spans[0]) and j < len(spans[1]):  # every overlap, by the end that comes first
+            (_, end_a, x), (_, end_b, y) = spans[0][i], spans[1][j]
+            links.append((x, y))
+            i, j = i + (end_a <= end_b), j + (end_b <= end_a)
         ends = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
-        start = 0
+        left = [list(side) for side in spans]
         for end in ends:
-            groups.append("|".join(",".join(str(i) for s, e, i in side if start < e <= end) for side in spans))
-            start = end
+            parts = []
+            for side in left:
+                n = next((k for k, (_, e, _) in enumerate(side) if e == end)) + 1
+                parts.append(",".join(str(t) for _, _, t in side[:n]))
+                del side[:n]
+            groups.append("|".join(parts))
         counts.update(links)
         found.append((key, len(a), len(b), len(ends), links, hashlib.sha256(";".join(groups).encode()).hexdigest() if a else ""))
     best = Counter()

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import test_alignment
 from tokenizers import Tokenizer
 
 from tablemill.llm import classifier, minhash, queries, secret_scan
@@ -54,6 +55,10 @@ def folder(spark, rows, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
     urls = [(1, "http://www.example.com/en/x"), (2, None), (3, "x"), (4, "http://a.net/es/1"), (5, "HTTP://spam-farm.org/")]
     spark.createDataFrame(urls, "page_id long, url string").write.parquet(f"{where}/pages.parquet")
+    rng = random.Random(5)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(8)], rng.randint(0, 2)) for i in [*range(700), 2000]]
+    vectors += [(1100, None, 1), (1200, [math.nan] * 8, 1), (1300, [1.0] * 8, None), (1400, [0.5] * 8, 1), (1401, [0.5] * 8, 2), (1402, [0.5] * 8, 2), (None, [0.5] * 8, 2)]
+    spark.createDataFrame([(*v, None, None) for v in vectors], "vec_id long, embedding array<float>, label int, id long, v string").repartition(3).write.parquet(f"{where}/embeddings.parquet")
     return where
 
 
@@ -300,3 +305,22 @@ def test_planted_secrets_in_real_documents(spark):
     recall, false = len(real & found) / len(real), len(wrong & found) / len(wrong)
     print("recall", recall, "harmless taken for secrets", false)
     assert recall >= 0.95 and false <= 0.05
+
+
+def test_op11(answers, folder):
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{folder}/embeddings.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op11_hard_negatives"])
+    got = answers("op11_hard_negatives")
+    assert {0, 100, 1400, 2000} <= {r.anchor_id for r in got}
+    assert Counter(tuple(r[c] for c in want.columns) for r in got) == Counter(want.fetchall())
+
+
+def test_op12(answers, rows):
+    library = Tokenizer.from_file(public_tokenizers.path(queries.BYTE_VOCABULARY))
+    n = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    assert Counter(map(tuple, answers("op12_token_counts"))) == Counter((i, len((t or "").encode()), n(t), n(t) > 1024) for i, t in rows)
+
+
+def test_op13(answers, rows):
+    assert Counter(map(tuple, answers("op13_tokenizer_alignment"))) == Counter(test_alignment.brute(rows))
