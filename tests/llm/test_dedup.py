@@ -127,31 +127,60 @@ def test_gear_hash_and_ends():
 def test_chunk_dedup_against_a_loop(documents, corpus, odd_rows):
     rows = [*corpus, *odd_rows]
     got = Counter(tuple(r) for r in chunks.deduplicate(documents(rows)).collect())
-    seen, done, want = set(), {}, Counter()
+    seen, done, want = {}, {}, Counter()
     for i, t in sorted(((i, t) for i, t in rows), key=lambda r: (r[0] or 0, r[1] or "")):
         if (i, t) not in done:
             data, offsets = text_bytes([t])
             b, start, runs = (t or "").encode(), 0, []
             for end in chunks.chunk_ends(data, offsets).tolist():
                 if b[start:end] in seen:
+                    other, at = seen[b[start:end]]
                     if runs and runs[-1][1] == start:
-                        runs[-1][1] = end
+                        runs[-1][1], runs[-1][3] = end, (other, at + end - start)
                     else:
-                        runs.append([start, end])
-                seen.add(b[start:end])
+                        runs.append([start, end, (other, at), (other, at + end - start)])
+                else:
+                    seen[b[start:end]] = b, start
                 start = end
-            runs = [r for r in runs if r[1] - r[0] >= chunks.RUN]
+            covered = np.zeros(len(b) + 1, bool)
+            for lo, hi, (left, x), (right, y) in runs:
+                while lo and x and b[lo - 1] == left[x - 1]:
+                    lo, x = lo - 1, x - 1
+                while hi < len(b) and y < len(right) and b[hi] == right[y]:
+                    hi, y = hi + 1, y + 1
+                covered[lo:hi] = True
+            edges = np.flatnonzero(np.diff(covered, prepend=False)).reshape(-1, 2).tolist()
+            runs = [r for r in edges if r[1] - r[0] >= chunks.RUN]
             stay = np.ones(len(b), bool)
             for a, z in runs:
                 stay[a:z] = False
             done[(i, t)] = (i, len(b), int((~stay).sum()), len(runs), hashlib.sha256(data[stay].tobytes()).hexdigest())
         want[done[(i, t)]] += 1
     assert got == want
-    found = {r[0]: r[2] for r in got}
-    assert all(found[i] > 200 for i in range(301, 306)) and found[300] == 0
+    found, passage = {r[0]: r[2] for r in got}, rows[70][1].split(" ", 20)[20].rsplit(" ", 20)[0]
+    assert all(found[i] >= len(passage) for i in range(301, 306)) and found[300] == 0
     assert chunks.deduplicate(documents([])).count() == 0
 
 
+def test_extension_goes_on_beyond_one_round(documents, monkeypatch):
+    monkeypatch.setattr(chunks, "REACH", 2)
+    monkeypatch.setattr(chunks, "FAR", 8)
+    rng = random.Random(12)
+    passage = " ".join(prose(rng, 60))
+    rows = [(i, f"{' '.join(prose(rng, 30))}<{passage}>{' '.join(prose(rng, 30))}") for i in range(6)]
+    got = {r.doc_id: r for r in chunks.deduplicate(documents(rows)).collect()}
+    assert got[0].n_removed == 0 and all(got[i].n_removed == len(passage) + 2 and got[i].n_spans == 1 for i in range(1, 6))
+
+
+def test_planted_passages_of_fifty_words_go_whole(documents):
+    rng = random.Random(13)
+    passages = [" ".join(prose(rng, 52)) for _ in range(150)]
+    rows = [(j * 1000 + i, f"{' '.join(prose(rng, 40))} {p} {' '.join(prose(rng, 40))}") for j in range(2) for i, p in enumerate(passages)]
+    got = {r.doc_id: r.n_removed for r in chunks.deduplicate(documents(rows)).collect()}
+    assert not any(got[i] for i in range(150))
+    assert sum(got[1000 + i] >= len(p) for i, p in enumerate(passages)) >= 0.9 * 150
+
+
 def test_gear_hash_is_its_recurrence():
     data = np.random.default_rng(3).integers(0, 256, 500).astype(np.uint8)
     h, want = 0, []
