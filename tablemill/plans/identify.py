@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablemill.functions import dirty_names, scoring, text
+from tablemill.functions import dirty_names, name_parts, scoring, text
 from tablemill.operators import joins
 from tablemill.operators.filters import normal_path
 from tablemill.plans.base import query
@@ -94,10 +94,39 @@ def dirty_names_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = dirty_names.search_terms(spoilt, F.concat(artist, F.lit(" - Best Of")))
     stem = F.concat(F.lit("01 - [CAT] "), F.replace(title, F.lit(" "), F.lit("_")), F.lit(" (vinyl rip) 320 kbps"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", found.alias("f"), dirty_names.clean_stem(stem).alias("readable"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", found.alias("f"), name_parts.clean_stem(stem).alias("readable"))
     return rows.select("p_partkey", "f.artist", "f.title", "f.version", F.element_at("f.queries", 1).alias("first_query"), "readable")
 
 
+@query("FS8 FS13 FS14 FS17 FS19 FS22 FS33", """
+with p as (select p_partkey, p_partkey % 4 as k, 'Mira ' || p_type as artist, p_name as title, p_brand, p_type from part)
+select p_partkey, artist || '|' || title || case k when 3 then '|' || p_brand else '' end as fields,
+  case k when 1 then 'version' when 3 then 'plain' else 'noise' end as kind, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') as loose,
+  case k when 2 then title || ' Harbour' else title end as said, case k when 2 then null else 'Harbour Remix' end as phrase,
+  artist || ' ' || title || ' Dub|' || artist || ' ' || title || '|' || title as queries,
+  case k when 0 then title || ' (' || p_brand || ') (promo)' else title end as readable from p""")
+def name_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column expressions for the parts of a dirty name: names put together of a part's columns
+    and spoilt in four ways must come apart again."""
+    k, title = F.col("p_partkey") % 4, F.col("p_name")
+    artist = F.concat(F.lit("Mira "), "p_type")
+    plain = F.concat(artist, F.lit(" - "), title)
+    spoilt = (
+        F.when(k == 0, F.concat(F.replace(plain, F.lit(" "), F.lit("_")), F.lit("-ccat-DEADBEEF"))).when(k == 1, F.concat(artist, F.lit(" \u2014\u00a0 "), title))
+        .when(k == 2, F.concat(artist, F.lit("--"), title)).otherwise(F.concat(plain, F.lit(" - "), "p_brand"))
+    )
+    group = F.when(k == 0, "320 kbps").when(k == 1, F.concat("p_type", F.lit(" mix"))).when(k == 2, "CAT 012").otherwise("some words")
+    said = name_parts.trailing_phrase(F.when(k == 2, F.concat(title, F.lit(" Harbour"))).otherwise(F.concat(title, F.lit(" Harbour Remix"))))
+    stem = F.when(k == 0, F.concat(F.lit("[CAT] 01. "), title, F.lit(" ("), "p_brand", F.lit(") (promo) 320"))).otherwise(F.concat(F.lit("(Promo) (vinyl RIP) 07 - "), title, F.lit(" kbps [x]")))
+    parts = name_parts.fields(name_parts.untagged(name_parts.normalised(spoilt), spoilt.contains("_")))
+    dub = F.concat(artist, F.lit("  "), title, F.lit(" Dub"))
+    asked = name_parts.queries(dub, F.concat(artist, F.lit(" "), title), F.upper(dub), title, F.lit("a-b"), F.lit(None).cast("string"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.array_join(parts, "|").alias("fields"), name_parts.kind(group).alias("kind"), name_parts.bare(title).alias("loose"),
+        said["title"].alias("said"), said["phrase"].alias("phrase"), F.array_join(asked, "|").alias("queries"), name_parts.clean_stem(stem).alias("readable"),
+    )
+
+
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", normal_path(F.regexp_extract("url", "://[^/]+(/[^?#]*)", 1)).alias("k"))
 

@@ -1,8 +1,9 @@
 """Dirty names with the terms and queries expected of them; the cases are our own."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from tablemill.functions import dirty_names
+from tablemill.functions import dirty_names, name_parts
 
 CASES = [
     ("Mira Kell - Night Ferry", "Mira Kell", "Night Ferry", None),
@@ -34,9 +35,32 @@ def test_ladder_is_distinct_and_ordered():
     assert dirty_names.ladder("", "", None, "", "a-b c-d e") == ["a b c d e"]
 
 
-def test_readable_stem():
-    assert dirty_names.readable_stem("01 - [CAT] Night_Ferry (vinyl rip) 320 kbps") == "Night Ferry"
-    assert dirty_names.readable_stem("Night Ferry (Original Mix)") == "Night Ferry (Original Mix)"
+def test_readable_stem(spark):
+    rows = [
+        ("01 - [CAT] Night_Ferry (vinyl rip) 320 kbps", "Night Ferry"), ("Night Ferry (Original Mix)", "Night Ferry (Original Mix)"), ("", ""), (None, None),
+        ("(promo) (rip) 07. Night (Live) (promo)", "Night (Live) (promo)"), ("320", ""), ("12", "12"), ("7.\u00a0Night", "Night"), ("(rip", "(rip"),
+    ]
+    out = spark.createDataFrame(rows, "stem string, want string").select(name_parts.clean_stem(F.col("stem")).alias("got"), "want").collect()
+    assert [r.got for r in out] == [r.want for r in out]
+
+
+def test_name_parts_against_plain_python(spark):
+    """The Column forms give what the row-by-row ones give, on names, scraps and odd ones."""
+    names = [c[0] for c in CASES + MORE] + ["-", " - ", "a - b - c", "a--b", "a.-b c", "x-y", "Dub", "dub mix", "ABC 012", "320", "24 bits é1", "www.a.b", "Ünder_score-ab-12-XYZ", "a-12", "no.com", "ß - Ü"]
+    cols = F.col("n")
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(
+        "n", name_parts.bare(cols).alias("bare"), name_parts.kind(cols).alias("kind"), name_parts.fields(cols).alias("fields"),
+        name_parts.untagged(cols, F.lit(True)).alias("small"), name_parts.untagged(cols, F.lit(False)).alias("large"),
+    ).collect()
+    for r in got:
+        assert (r.bare, r.kind, r.fields) == (dirty_names.bare(r.n), dirty_names.kind(r.n), dirty_names.fields_of(r.n)), r.n
+        assert (r.small, r.large) == (dirty_names.without_tags(r.n, True), dirty_names.without_tags(r.n, False)), r.n
+
+
+def test_name_parts_of_nothing(spark):
+    n = F.lit(None).cast("string")
+    out = spark.range(1).select(name_parts.kind(n), name_parts.bare(n), name_parts.normalised(n), name_parts.queries(n, F.lit("ab"), F.lit(" Abc "), F.lit("abc")), name_parts.trailing_phrase(F.lit("Remix")))
+    assert tuple(out.first()) == (None, None, None, ["Abc"], ("Remix", None))
 
 
 MORE = [  # a wider table of expected roles
