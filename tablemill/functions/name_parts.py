@@ -4,10 +4,15 @@ Nulls stay null; an empty name has no fields."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.functions.dirty_names import ADDRESS, BARE_QUALITY, NOISE_PARENS, PHRASE_ENDS, QUALITY_WORDS, STEM_NOISE, VERSION_WORDS, _any
+from tablemill.functions.dirty_names import (
+    ADDRESS, AHEAD, BARE_QUALITY, GENERIC, JOINED, LABEL, LEAD_DROPPED, LOOSE_NOISE, NOISE_PARENS, PHRASE_ENDS, PLACE, QUALITY_WORDS, SIDE,
+    STEM_NOISE, TAIL_DROPPED, VERSION_WORDS, _any,
+)
 
 EDGES = " -,;"
 SEPARATORS = [" -+ ", r" -+|-+ |\.-+|--+", "-"]
@@ -22,7 +27,7 @@ def squeeze(text: Column) -> Column:
 
 def normalised(name: Column) -> Column:
     """Long dashes are hyphens, exotic spaces and underscores are spaces."""
-    return squeeze(F.translate(name, "–—   _", "--    "))
+    return squeeze(F.translate(name, "\u2013\u2014\u00a0\u2007\u202f_", "--    "))
 
 
 def bare(text: Column) -> Column:
@@ -88,3 +93,135 @@ def clean_stem(stem: Column) -> Column:
     text = F.regexp_replace(text, rf"\G([^(]*)\([^)]*(?i:{_any(NOISE_PARENS)})[^)]*\)", "$1 ")
     text = F.regexp_replace(text, r"\A\s*[0-9]{1,3}[ .\-)_]+(?=[^ .\-)_])", "")
     return F.array_join(F.filter(F.split(squeeze(text), " "), lambda w: ~F.lower(w).isin(STEM_NOISE)), " ")
+
+
+MARK = "\ue000"
+PAIR = r"[(\[{]([^()\[\]{}]*)[)\]}]"
+STOP = rf"\s()\[\]{{}}{MARK}"
+#: Letters with accents and the letters below them, by Unicode's decomposition.
+PARTED = {c: d[0] for c in map(chr, range(0xC0, 0x2000)) if len(d := unicodedata.normalize("NFD", c)) > 1 and all(map(unicodedata.combining, d[1:]))}
+
+
+def noiseless(text: Column) -> Column:
+    """Without addresses and words that name a quality."""
+    text = F.regexp_replace(text, rf"(?i)[\-.,]*(?:www\.|https?://)[^{STOP}]*", "")
+    return F.regexp_replace(text, rf"(?U)(?<![^{STOP}])[[\W_]&&[^{STOP}]]*(?i:{_any(LOOSE_NOISE)})[[\W_]&&[^{STOP}]]*(?![^{STOP}])", "")
+
+
+def groups(name: Column) -> Column:
+    """(text, groups): the insides of bracket pairs, in the order of their closing, any closing
+    bracket for any opening one, and the text with a mark for each. A group inside another one
+    stands alone, its mark before the other's."""
+
+    def step(state: Column, _: Column) -> Column:
+        text = state["text"]
+        whole, inner = F.regexp_extract(text, PAIR, 0), F.regexp_extract(text, PAIR, 1)
+        at = F.instr(text, whole)
+        inside = F.replace(inner, F.lit(MARK), F.lit(""))
+        marks = F.repeat(F.lit(MARK), F.length(inner) - F.length(inside) + 1)
+        shorter = F.concat(F.substring(text, F.lit(1), at - 1), marks, F.substring(text, at + F.length(whole), F.length(text)))
+        return F.when(whole == "", state).otherwise(F.struct(shorter.alias("text"), F.array_append(state["groups"], inside).alias("groups")))
+
+    n = F.length(F.regexp_replace(name, r"[^)\]}]", ""))
+    rounds = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.aggregate(rounds, F.struct(name.alias("text"), F.expr("cast(array() as array<string>)").alias("groups")), step)
+
+
+def stripped(name: Column) -> Column:
+    """(text, version): the name without groups, noise, tags, and side or track number ahead; the
+    last group with text before it that is a version, or plain with no word behind it."""
+    found = groups(normalised(name))
+    text = noiseless(F.regexp_replace(found["text"], r"[()\[\]{}]", ""))
+    segments = F.split(text, MARK)
+
+    def version(said: Column, i: Column) -> Column:
+        before = F.trim(F.array_join(F.slice(segments, F.lit(1), i + 1), " ")) != ""
+        behind = F.array_join(F.slice(F.split(found["text"], MARK), i + 2, F.size(segments)), " ")
+        last = ~F.regexp_replace(behind, r"\.?-+", "").rlike(r"[^\s()\[\]{}]")
+        says = kind(said)
+        return F.when(before & ((says == "version") | (says == "plain") & last), squeeze(said))
+
+    versions = F.filter(F.transform(found["groups"], version), lambda v: v.isNotNull())
+    plain = untagged(squeeze(F.replace(text, F.lit(MARK), F.lit(" "))), F.contains(name, F.lit("_")))
+    return F.struct(squeeze(F.regexp_replace(plain, rf"\A{AHEAD.pattern}", "")).alias("text"), F.try_element_at(versions, F.lit(-1)).alias("version"))
+
+
+def label(text: Column) -> Column:
+    return F.lower(text).rlike(LABEL.pattern)
+
+
+def roles(found: Column) -> Column:
+    """(artist, title, version) of the fields at least cost, ties by fewer fields dropped ahead,
+    then behind. Dropping costs nothing for a label, ahead also for what the last field says
+    again, behind for a scrap or what was said; a version is the last of three fields or more
+    and has four words at most."""
+    n, last = F.size(found), F.element_at(found, -1)
+    info = F.transform(found, lambda f, i: F.struct(i.alias("i"), bare(f).alias("key"), label(f).alias("label"), (F.length(bare(f)) <= 2).alias("scrap")))
+    final = F.element_at(info, -1)["key"]
+    said = kind(last) == "version"
+    brief = F.size(F.split(squeeze(last), " ")) <= 4
+
+    def count(rule) -> Column:
+        return F.size(F.filter(info, rule))
+
+    def repeated(x: Column) -> Column:
+        return F.exists(info, lambda y: (y["i"] >= 1) & (y["i"] < x["i"]) & (y["key"] == x["key"]))
+
+    def choice(lead: Column, end: Column) -> Column:
+        ahead = F.least(count(lambda x: (x["i"] < lead) & ~x["label"] & (x["key"] != final)), F.lit(3))
+        behind = count(lambda x: (x["i"] >= end) & ~x["scrap"] & ~x["label"] & ~repeated(x))
+        idle = count(lambda x: (x["i"] >= lead) & (x["i"] < end) & (x["label"] | x["scrap"] & (x["i"] > 0)))
+        named = (n - end == 1) & (n >= 3) & said & brief
+        cost = F.element_at(F.array(*map(F.lit, LEAD_DROPPED)), ahead + 1) + (end - lead - 2) * JOINED + F.when(named, 0).otherwise(behind * TAIL_DROPPED)
+        cost += idle + F.when((end == n) & (n >= 3) & said, 2).otherwise(0)
+        return F.struct(cost.alias("cost"), lead.alias("lead"), (-end).alias("end"), named.alias("named"))
+
+    every = F.transform(F.sequence(F.lit(0), n - 2), lambda lead: F.transform(F.sequence(lead + 2, n), lambda end: choice(lead, end)))
+    best = F.array_min(F.flatten(every))
+    title = F.array_join(F.slice(found, best["lead"] + 2, -best["end"] - best["lead"] - 1), " - ")
+    one = F.struct(F.lit("").alias("artist"), F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("")).alias("title"), F.lit(None).cast("string").alias("version"))
+    return F.when(n < 2, one).otherwise(F.struct(F.element_at(found, best["lead"] + 1).alias("artist"), title.alias("title"), F.when(best["named"], last).alias("version")))
+
+
+def named_fields(text: Column) -> Column:
+    """The fields that are no side, track number or year."""
+    return F.filter(fields(text), lambda f: ~f.rlike(rf"(?i)\A(?:{PLACE.pattern})\z"))
+
+
+def folded(text: Column) -> Column:
+    """Lower-case letters and digits without accents, other characters as spaces."""
+    plain = F.translate(F.lower(text), "".join(PARTED), "".join(PARTED.values()))
+    return squeeze(F.regexp_replace(F.regexp_replace(plain, r"\p{M}", ""), r"[^\p{L}\p{N}]", " "))
+
+
+def plausible(name: Column) -> Column:
+    return (F.octet_length(name) >= 2) & (F.length(name) <= 60) & name.rlike(r"\p{L}") & ~bare(name).isin(GENERIC)
+
+
+def with_terms(rows: DataFrame, stem: Column, folder: Column) -> DataFrame:
+    """`rows` with a column `terms`: artist, title and version of dirty names, and the queries to
+    ask for them from the most to the least exact. An artist missing from the name may come from
+    the folder, as the album of a further query does. Null names are empty; names that say
+    nothing have empty terms. Each step is a column of its own, so that it is computed once."""
+    own = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_row")  # whose names may be any
+    out = rows.select(own, F.coalesce(stem, F.lit("")).alias("_stem"), F.coalesce(folder, F.lit("")).alias("_folder")).withColumns({"_read": stripped(F.col("_stem")), "_place": stripped(F.col("_folder"))["text"]})
+    out = out.withColumns({"_fields": named_fields(F.col("_read.text")), "_place": F.filter(named_fields(F.col("_place")), lambda f: ~label(f))})
+    out = out.withColumn("_roles", roles(F.col("_fields")))
+    out = out.withColumn("_said", trailing_phrase(F.trim(F.regexp_replace(F.col("_roles.title"), rf"\A{SIDE.pattern}", ""))))
+    title, nothing = F.col("_said.title"), bare(F.col("_said.title")).isin(GENERIC)
+    many = F.size("_place") > 1
+    mined, album = (F.when(many & plausible(F.try_element_at("_place", F.lit(i))), F.try_element_at("_place", F.lit(i))) for i in (1, 2))
+    artist = F.when(F.col("_roles.artist") == "", F.coalesce(mined, F.lit(""))).otherwise(F.col("_roles.artist"))
+    out = out.withColumns({
+        "_title": F.when(nothing, "").otherwise(title), "_artist": F.when(nothing, "").otherwise(artist), "_album": album,
+        "_version": F.when(~nothing, F.coalesce("_read.version", "_roles.version", "_said.phrase")),
+    })
+    artist, title, whole = F.col("_artist"), F.col("_title"), F.replace(F.col("_read.text"), F.lit("-"), F.lit(" "))
+    some = title != ""
+    asked = queries(
+        F.when(some, F.concat_ws(" ", artist, title, "_version")), F.when(some, F.concat_ws(" ", artist, title)), F.when(some, title), whole,
+        F.when(some & (folded(title) != F.lower(title)), F.concat_ws(" ", folded(artist), folded(title))),
+        F.when(some & F.col("_album").isNotNull(), F.concat_ws(" ", F.when(artist != "", artist).otherwise(title), "_album")),
+    )
+    terms = F.struct(artist.alias("artist"), title.alias("title"), F.col("_version").alias("version"), asked.alias("queries"))
+    return out.select("_row.*", terms.alias("terms"))

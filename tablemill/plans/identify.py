@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablemill.functions import dirty_names, name_parts, scoring, text
+from tablemill.functions import name_parts, scoring, text
 from tablemill.operators import joins
 from tablemill.operators.filters import normal_path
 from tablemill.plans.base import query
@@ -71,8 +71,8 @@ def dirty_name_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 2, F.concat(F.lit("[CAT 012] "), F.col("stem"), F.lit(" 320kbps"))).when(k == 3, F.concat(F.lit("07 - "), F.col("stem"), F.lit("-www.site.example")))
         .otherwise(F.col("stem"))
     )
-    found = dirty_names.search_terms(dirty, F.concat("p_brand", F.lit(" - Best Of")))
-    return rows.select("p_partkey", dirty.alias("stem"), found.alias("f")).select("p_partkey", "stem", "f.artist", "f.title", "f.version", F.array_join("f.queries", " | ").alias("queries"))
+    found = name_parts.with_terms(rows.select("p_partkey", "p_brand", dirty.alias("stem")), F.col("stem"), F.concat("p_brand", F.lit(" - Best Of")))
+    return found.select("p_partkey", "stem", "terms.artist", "terms.title", "terms.version", F.array_join("terms.queries", " | ").alias("queries"))
 
 
 @query("FS8 FS13 FS14 FS15 FS16 FS17 FS18 FS19 FS20 FS21 FS22 FS23 FS33", """
@@ -92,10 +92,10 @@ def dirty_names_known(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 4, F.concat(plain, F.lit(" (Dub Mix) [FLAC]"))).when(k == 5, F.concat(F.lit("Some Label Records - "), plain))
         .when(k == 6, title).otherwise(F.concat(plain, F.lit(" Harbour Remix")))
     )
-    found = dirty_names.search_terms(spoilt, F.concat(artist, F.lit(" - Best Of")))
     stem = F.concat(F.lit("01 - [CAT] "), F.replace(title, F.lit(" "), F.lit("_")), F.lit(" (vinyl rip) 320 kbps"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", found.alias("f"), name_parts.clean_stem(stem).alias("readable"))
-    return rows.select("p_partkey", "f.artist", "f.title", "f.version", F.element_at("f.queries", 1).alias("first_query"), "readable")
+    rows = table(spark, sf_dir, "part").select("p_partkey", spoilt.alias("stem"), F.concat(artist, F.lit(" - Best Of")).alias("folder"), name_parts.clean_stem(stem).alias("readable"))
+    found = name_parts.with_terms(rows, F.col("stem"), F.col("folder"))
+    return found.select("p_partkey", "terms.artist", "terms.title", "terms.version", F.try_element_at("terms.queries", F.lit(1)).alias("first_query"), "readable")
 
 
 @query("FS8 FS13 FS14 FS17 FS19 FS22 FS33", """

@@ -1,9 +1,10 @@
 """Dirty names with the terms and queries expected of them; the cases are our own."""
 
+import plain_names
 import pytest
 from pyspark.sql import functions as F
 
-from tablemill.functions import dirty_names, name_parts
+from tablemill.functions import name_parts
 
 CASES = [
     ("Mira Kell - Night Ferry", "Mira Kell", "Night Ferry", None),
@@ -26,13 +27,13 @@ CASES = [
 
 @pytest.mark.parametrize(("stem", "artist", "title", "version"), CASES)
 def test_terms(stem, artist, title, version):
-    assert dirty_names.terms(stem) == (artist, title, version)
+    assert plain_names.terms(stem) == (artist, title, version)
 
 
 def test_ladder_is_distinct_and_ordered():
-    steps = dirty_names.ladder("Mira Kéll", "Night Ferry", "Dub", "Mira Kell - Harbour Songs", "Mira Kéll - Night Ferry (Dub)")
+    steps = plain_names.ladder("Mira Kéll", "Night Ferry", "Dub", "Mira Kell - Harbour Songs", "Mira Kéll - Night Ferry (Dub)")
     assert steps == ["Mira Kéll Night Ferry Dub", "Mira Kéll Night Ferry", "Night Ferry", "Mira Kéll Harbour Songs"]
-    assert dirty_names.ladder("", "", None, "", "a-b c-d e") == ["a b c d e"]
+    assert plain_names.ladder("", "", None, "", "a-b c-d e") == ["a b c d e"]
 
 
 def test_readable_stem(spark):
@@ -53,8 +54,8 @@ def test_name_parts_against_plain_python(spark):
         name_parts.untagged(cols, F.lit(True)).alias("small"), name_parts.untagged(cols, F.lit(False)).alias("large"),
     ).collect()
     for r in got:
-        assert (r.bare, r.kind, r.fields) == (dirty_names.bare(r.n), dirty_names.kind(r.n), dirty_names.fields_of(r.n)), r.n
-        assert (r.small, r.large) == (dirty_names.without_tags(r.n, True), dirty_names.without_tags(r.n, False)), r.n
+        assert (r.bare, r.kind, r.fields) == (plain_names.bare(r.n), plain_names.kind(r.n), plain_names.fields_of(r.n)), r.n
+        assert (r.small, r.large) == (plain_names.without_tags(r.n, True), plain_names.without_tags(r.n, False)), r.n
 
 
 def test_name_parts_of_nothing(spark):
@@ -81,13 +82,27 @@ MORE = [  # a wider table of expected roles
 
 @pytest.mark.parametrize(("stem", "artist", "title", "version"), MORE)
 def test_terms_of_more_names(stem, artist, title, version):
-    assert dirty_names.terms(stem) == (artist, title, version)
+    assert plain_names.terms(stem) == (artist, title, version)
 
 
 def test_search_terms_mine_the_folder(spark):
     rows = [("Night Song", "Alpha Bee - Best Of"), ("Night Song", "Somewhere"), (None, None), ("Alpha Bee - Night Song", "Cee - Dee")]
-    out = spark.createDataFrame(rows, "stem string, folder string").select(dirty_names.search_terms("stem", "folder").alias("f")).select("f.artist", "f.title", "f.queries")
+    frame = spark.createDataFrame([(*r, i, i) for i, r in enumerate(rows)], "stem string, folder string, id int, _title int")
+    out = name_parts.with_terms(frame, F.col("stem"), F.col("folder")).orderBy("_title").select("terms.artist", "terms.title", "terms.queries")
     assert [tuple(r) for r in out.collect()] == [
         ("Alpha Bee", "Night Song", ["Alpha Bee Night Song", "Night Song", "Alpha Bee Best Of"]), ("", "Night Song", ["Night Song"]), ("", "", []),
         ("Alpha Bee", "Night Song", ["Alpha Bee Night Song", "Night Song", "Alpha Bee Dee"]),
     ]
+
+
+ODD = ["", "(", ")(", "((a) b) c", "x [[y] z", "a (Dub) b (Live) [FLAC]", "320 - kbps", "Alpha - Track", "A - B - C - D - Dub Mix", "Rec. - x - y - x", "a (b) (c 12)", "http://x.y Night - Song"]
+
+
+def test_terms_as_columns_against_plain_python(spark):
+    """Whole names: the Column forms against the row-by-row ones, with and without a folder."""
+    names = [c[0] for c in CASES + MORE] + ODD
+    rows = [(n, f) for n in names for f in ("", "Mira Kéll - Harbour Songs", "1999 - Some Records")]
+    frame = spark.createDataFrame(rows, "stem string, folder string")
+    plain = {row: plain_names.search_terms(*row) for row in rows}
+    got = name_parts.with_terms(frame, F.col("stem"), F.col("folder")).collect()
+    assert {(r.stem, r.folder): tuple(r.terms) for r in got} == plain
