@@ -127,38 +127,50 @@ def groups(name: Column) -> Column:
     return F.aggregate(rounds, F.struct(name.alias("text"), F.expr("cast(array() as array<string>)").alias("groups")), step)
 
 
-def stripped(name: Column) -> Column:
-    """(text, version): the name without groups, noise, tags, and side or track number ahead; the
-    last group with text before it that is a version, or plain with no word behind it."""
-    found = groups(normalised(name))
-    text = noiseless(F.regexp_replace(found["text"], r"[()\[\]{}]", ""))
-    segments = F.split(text, MARK)
+def stripped(rows: DataFrame, name: str, out: str) -> DataFrame:
+    """`rows` with the column `out`: the text of the column `name` without groups, noise, tags, and
+    side or track number ahead; and the last group with text before it that is a version, or
+    plain with no word behind it. What is used again has a column, as lambdas share nothing."""
+    kept, name = rows.columns, F.col(name)
+    rows = rows.withColumn("_groups", groups(normalised(name)))
+    rows = rows.withColumns({"_clean": noiseless(F.regexp_replace("_groups.text", r"[()\[\]{}]", "")), "_raw": F.split("_groups.text", MARK)})
+    rows = rows.withColumn("_segments", F.split("_clean", MARK))
+    found, text, segments = F.col("_groups"), F.col("_clean"), F.col("_segments")
 
     def version(said: Column, i: Column) -> Column:
         before = F.trim(F.array_join(F.slice(segments, F.lit(1), i + 1), " ")) != ""
-        behind = F.array_join(F.slice(F.split(found["text"], MARK), i + 2, F.size(segments)), " ")
+        behind = F.array_join(F.slice("_raw", i + 2, F.size(segments)), " ")
         last = ~F.regexp_replace(behind, r"\.?-+", "").rlike(r"[^\s()\[\]{}]")
         says = kind(said)
         return F.when(before & ((says == "version") | (says == "plain") & last), squeeze(said))
 
     versions = F.filter(F.transform(found["groups"], version), lambda v: v.isNotNull())
     plain = untagged(squeeze(F.replace(text, F.lit(MARK), F.lit(" "))), F.contains(name, F.lit("_")))
-    return F.struct(squeeze(F.regexp_replace(plain, rf"\A{AHEAD.pattern}", "")).alias("text"), F.try_element_at(versions, F.lit(-1)).alias("version"))
+    done = F.struct(squeeze(F.regexp_replace(plain, rf"\A{AHEAD.pattern}", "")).alias("text"), F.try_element_at(versions, F.lit(-1)).alias("version"))
+    return rows.select(*kept, done.alias(out))
 
 
 def label(text: Column) -> Column:
     return F.lower(text).rlike(LABEL.pattern)
 
 
-def roles(found: Column) -> Column:
-    """(artist, title, version) of the fields at least cost, ties by fewer fields dropped ahead,
+def told(found: Column) -> Column:
+    """What roles() asks of fields: each one's place, key, and whether it is a label or a scrap."""
+    return F.transform(found, lambda f, i: F.struct(i.alias("i"), bare(f).alias("key"), label(f).alias("label"), (F.length(bare(f)) <= 2).alias("scrap")))
+
+
+def final_version(found: Column) -> Column:
+    """Whether the last field says a version."""
+    return kind(F.try_element_at(found, F.lit(-1))) == "version"
+
+
+def roles(found: Column, info: Column, said: Column) -> Column:
+    """(artist, title, version) of the fields, with their told() and final_version(), at least cost, ties by fewer fields dropped ahead,
     then behind. Dropping costs nothing for a label, ahead also for what the last field says
     again, behind for a scrap or what was said; a version is the last of three fields or more
     and has four words at most."""
     n, last = F.size(found), F.element_at(found, -1)
-    info = F.transform(found, lambda f, i: F.struct(i.alias("i"), bare(f).alias("key"), label(f).alias("label"), (F.length(bare(f)) <= 2).alias("scrap")))
     final = F.element_at(info, -1)["key"]
-    said = kind(last) == "version"
     brief = F.size(F.split(squeeze(last), " ")) <= 4
 
     def count(rule) -> Column:
@@ -204,9 +216,11 @@ def with_terms(rows: DataFrame, stem: Column, folder: Column) -> DataFrame:
     the folder, as the album of a further query does. Null names are empty; names that say
     nothing have empty terms. Each step is a column of its own, so that it is computed once."""
     own = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_row")  # whose names may be any
-    out = rows.select(own, F.coalesce(stem, F.lit("")).alias("_stem"), F.coalesce(folder, F.lit("")).alias("_folder")).withColumns({"_read": stripped(F.col("_stem")), "_place": stripped(F.col("_folder"))["text"]})
+    out = rows.select(own, F.coalesce(stem, F.lit("")).alias("_stem"), F.coalesce(folder, F.lit("")).alias("_folder"))
+    out = stripped(stripped(out, "_stem", "_read"), "_folder", "_place").withColumn("_place", F.col("_place.text"))
     out = out.withColumns({"_fields": named_fields(F.col("_read.text")), "_place": F.filter(named_fields(F.col("_place")), lambda f: ~label(f))})
-    out = out.withColumn("_roles", roles(F.col("_fields")))
+    out = out.withColumns({"_told": told(F.col("_fields")), "_final": final_version(F.col("_fields"))})
+    out = out.withColumn("_roles", roles(F.col("_fields"), F.col("_told"), F.col("_final")))
     out = out.withColumn("_said", trailing_phrase(F.trim(F.regexp_replace(F.col("_roles.title"), rf"\A{SIDE.pattern}", ""))))
     title, nothing = F.col("_said.title"), bare(F.col("_said.title")).isin(GENERIC)
     many = F.size("_place") > 1
