@@ -96,6 +96,7 @@ BLOCK = 8192
 def played(spark: SparkSession, sf_dir: str, seconds, sample) -> DataFrame:
     """Blocks of one channel for every supplier: `seconds` tells the number of samples, `sample` the one at a place."""
     keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("track_id"))
+    keys = keys.repartition(max(1, -(-keys.count() // 500)))  # a key is small and its samples are not
     length = seconds(F.col("track_id"))
     rows = keys.withColumn("n", length).withColumn("block_id", F.explode(F.sequence(F.lit(0), F.floor((length - 1) / BLOCK))))
     places = F.sequence(F.col("block_id") * BLOCK, F.least((F.col("block_id") + 1) * BLOCK, F.col("n")) - 1)
@@ -140,7 +141,8 @@ def spectral_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("AG30")
 def spectrogram_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = played(spark, sf_dir, lambda k: F.lit(20000), lambda k, i: comb(60 + k % 90, i))
-    return signal.spectrogram(blocks, BLOCK).select("track_id", "column", F.hex("levels").alias("levels"))
+    with scratch(spark) as keep:
+        return keep(signal.spectrogram(blocks, BLOCK).select("track_id", "column", F.hex("levels").alias("levels")), "grid")
 
 
 @query("AG30", """
@@ -148,8 +150,9 @@ with w as (select 0.5 - 0.5 * cos(2 * pi() * 3000 / 4095) as w), v as (select fl
 select s_suppkey as track_id, unnest(range(0, 2)) as column, repeat(case when s_suppkey % 2 = 0 then printf('%02X', level) else '00' end, 342) as levels from supplier, v""")
 def spectrogram_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grids of one impulse a frame, whose level is the window's there, and of silence."""
-    out = signal.spectrogram(played(spark, sf_dir, lambda k: F.lit(BLOCK), impulses(2)), BLOCK)
-    return out.select("track_id", "column", F.hex("levels").alias("levels"))
+    with scratch(spark) as keep:
+        out = signal.spectrogram(played(spark, sf_dir, lambda k: F.lit(BLOCK), impulses(2)), BLOCK)
+        return keep(out.select("track_id", "column", F.hex("levels").alias("levels")), "grid")
 
 
 MEASURED_SQL = """

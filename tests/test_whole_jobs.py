@@ -2,6 +2,8 @@
 
 import datetime
 
+import pytest
+
 from tablemill.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -29,3 +31,28 @@ def test_rank_sort_orders_takes_cheap_and_unpriced(spark, tmp_path):
 def test_spectral_cutoff_takes_every_supplier(spark, tmp_path):
     spark.createDataFrame([(1,), (24,), (1000,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
     assert sorted(r.track_id for r in registry.QUERIES["spectral_cutoff"](spark, str(tmp_path)).collect()) == [1, 24, 1000]
+
+
+def test_blocks_of_samples_are_not_moved(spark):
+    """Plans over small keys with large arrays: no block is broadcast (its table looks small to the planner) or shuffled."""
+    import numpy as np
+
+    from tablemill.operators import signal
+    from tablemill.storage import scratch
+
+    x = np.random.default_rng(3).normal(0, 0.2, 4096 * 5 + 10)
+    cut = [(t, 44100, 1, b, x[b * 2048 : (b + 1) * 2048].tolist()) for t in (1, 2) for b in range(11)]
+    rows = spark.createDataFrame(cut, "track_id long, sample_rate int, channels int, block_id long, samples array<double>").cache()
+    plan = signal.spectra(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and not any("samples" in line for line in plan.splitlines() if "Exchange" in line)
+    want = (signal.spectrum_cutoff(x, 44100), signal.flatness(x, 44100, 16000, 20000))
+    for dealt in (rows.coalesce(1), rows.repartition(7)):  # in order, and each block away from its neighbours
+        for r in signal.spectra(dealt).collect():
+            assert abs(r.cutoff_hz - want[0]) < 1e-6 and abs(r.flat_fixed - want[1]) < 1e-9
+    with scratch(spark):  # blocks of one HOP: every frame lies across a border
+        grids = [sorted(map(tuple, signal.spectrogram(dealt, 2048).collect())) for dealt in (rows.coalesce(1), rows.repartition(7))]
+    assert grids[0] == grids[1] and len(grids[0]) == 2 * 5
+    broken = spark.createDataFrame([(1, 44100, 1, b, [0.0] * 2000) for b in range(2)], rows.schema)
+    for dealt in (broken.coalesce(1), broken.repartition(2, "block_id")):
+        with pytest.raises(Exception, match="no multiple of 2048"):
+            signal.spectra(dealt).collect()
