@@ -56,3 +56,36 @@ def test_blocks_of_samples_are_not_moved(spark):
     for dealt in (broken.coalesce(1), broken.repartition(2, "block_id")):
         with pytest.raises(Exception, match="no multiple of 2048"):
             signal.spectra(dealt).collect()
+
+
+def test_copies_make_no_square_of_edges(spark):
+    """Classes stand for their copies: as many edges as rows, with the components and weakest pairs of all pairs."""
+    from tablemill.operators import joins
+    from tablemill.operators.graph import components
+
+    values = [(i, [1.0, 1.001, 1.0029, 5.0, None, 7.0, 7.0015][i % 7], "ab"[i % 3 == 0]) for i in range(700)]
+    rows = spark.createDataFrame([*values, (900, 5.001, None), (901, float("nan"), "a")], "id long, d double, p string")
+    found = joins.class_pairs(rows, "id", "d", "p", 0.002)
+    pairs = [tuple(r) for r in found.collect()]
+    assert len(pairs) < 700 and all(a < b for a, b, _ in pairs) and len(set(pairs)) == len(pairs)
+    met = [(i, j, abs(d - e)) for i, d, p in values for j, e, q in values if i < j and p == q and None not in (d, e) and abs(d - e) <= 0.002]
+    label = {i: i for pair in met for i in pair[:2]}
+    for _ in range(4):
+        for i, j, _ in met:
+            label[i] = label[j] = min(label[i], label[j])
+    assert {r.id: r.component for r in components(found).collect()} == label
+    worst = lambda edges: {c: max(d for i, _, d in edges if label[i] == c) for c in set(label.values())}
+    assert worst(pairs) == worst(met)
+
+
+def test_pairs_with_nulls_are_dealt_by_their_number(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tablemill.operators import joins
+
+    rows = spark.createDataFrame([(i, None if i % 10 == 0 else float(i * 100)) for i in range(300)], "id long, d double")
+    monkeypatch.setattr(joins, "NULL_PAIRS", 20)
+    got = joins.band_pairs(rows, "id", "d", 1.0)
+    assert got.count() == got.distinct().count() == 30 * 29 // 2 + 30 * 270
+    a, b = (rows.select(F.col("id").alias(f"{x}_id"), F.col("d").alias(f"{x}_value")) for x in "ab")
+    assert joins.null_deals(a, b).first()[0] == 2 * 30 * 300 // 20
