@@ -18,9 +18,10 @@ class Quiet(StatefulProcessor):
     """Of each key's rows, the one after which `quiet` milliseconds of event time passed without
     another: debounced events, or what is past its time of retention.
 
-    State holds a key's last row and its timer. Rows of a batch are taken in order of time; one that
-    comes more than `quiet` after the one before lets that go at once, the timer lets the last go when the
-    watermark has passed. `n` counts the rows that went into it. Late rows are dropped by the watermark."""
+    State holds a key's last row and its timer. The rows of a batch and the held one are taken in order of time; a row that comes
+    more than `quiet` after the one before lets that go at once, the timer lets the last go when the
+    watermark has passed. `n` counts the rows that went into it. Late rows are dropped by the watermark.
+    A key's rows of a batch are plain tuples and what they let go is one table, as most keys have few rows."""
 
     def __init__(self, quiet: int, key: list[str], at: str, columns: list[str], schema: str):
         self.quiet, self.key, self.at, self.columns, self.schema = quiet, key, at, columns, schema
@@ -29,28 +30,36 @@ class Quiet(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", self.schema + ", _ms long, _n long")
 
-    def out(self, key: tuple, row: tuple) -> pd.DataFrame:
-        return pd.DataFrame([[*key, *row[:-2], row[-1]]], columns=[*self.key, *self.columns, "n"])
+    def out(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *row[:-2], row[-1]) for row in rows], columns=[*self.key, *self.columns, "n"])
 
     def handleInputRows(self, key, rows, timerValues):
-        given = pd.concat(list(rows))
-        ms = given[self.at].astype("datetime64[us]").astype("int64") // 1000
-        given = given.assign(_ms=ms).sort_values(["_ms", *self.columns], kind="stable")
-        held = self.last.get() if self.last.exists() else None
+        given = []
+        for pdf in rows:
+            ms = pdf[self.at].to_numpy("datetime64[us]").view("int64") // 1000
+            given.extend((*row, 1) for row in zip(ms.tolist(), *(pdf[c].tolist() for c in self.columns)))
+        held, gone = self.last.get(), []
         if held is not None:
-            self.handle.deleteTimer(int(held[-2]) + self.quiet + 1)
-        for row in given[[*self.columns, "_ms"]].itertuples(index=False, name=None):
-            if held is not None and row[-1] - held[-2] > self.quiet:
-                yield self.out(key, held)
-                held = None
-            held = (*row, (held[-1] if held is not None else 0) + 1)
-        self.last.update(tuple(x.item() if hasattr(x, "item") else x for x in held))
-        self.handle.registerTimer(int(held[-2]) + self.quiet + 1)
+            given.append((held[-2], *held[:-2], held[-1]))
+        given.sort()
+        last, n = given[0], 0
+        for row in given:
+            if row[0] - last[0] > self.quiet:
+                gone.append((*last[1:-1], last[0], n))
+                n = 0
+            last, n = row, n + row[-1]
+        if held is None or held[-2] != last[0]:
+            if held is not None:
+                self.handle.deleteTimer(int(held[-2]) + self.quiet + 1)
+            self.handle.registerTimer(last[0] + self.quiet + 1)
+        self.last.update((*last[1:-1], last[0], n))
+        if gone:
+            yield self.out(key, gone)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         held = self.last.get()
         self.last.clear()
-        yield self.out(key, held)
+        yield self.out(key, [held])
 
     def close(self) -> None:
         pass

@@ -89,3 +89,33 @@ def test_pairs_with_nulls_are_dealt_by_their_number(spark, monkeypatch):
     assert got.count() == got.distinct().count() == 30 * 29 // 2 + 30 * 270
     a, b = (rows.select(F.col("id").alias(f"{x}_id"), F.col("d").alias(f"{x}_value")) for x in "ab")
     assert joins.null_deals(a, b).first()[0] == 2 * 30 * 300 // 20
+
+
+def test_a_key_lets_its_rows_go_in_one_table():
+    """Of a batch's rows and the held one, in order of time whichever came first."""
+    import pandas as pd
+
+    from tablemill.streaming.quiet import Quiet
+
+    class State:
+        value, timers = (7, 5000, 2), {5501}
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def registerTimer(self, at):
+            self.timers = self.timers | {at}
+
+        def deleteTimer(self, at):
+            self.timers = self.timers - {at}
+
+    quiet = Quiet(500, ["k"], "at", ["v"], "v long")
+    quiet.last = quiet.handle = state = State()
+    batch = lambda *ms: iter([pd.DataFrame({"at": pd.to_datetime(ms, unit="ms"), "v": range(len(ms))})])
+    found = list(quiet.handleInputRows(("a",), batch(9000, 4000, 4800, 7000, 7100), None))
+    assert [list(map(tuple, f.itertuples(index=False))) for f in found] == [[("a", 1, 1), ("a", 7, 3), ("a", 4, 2)]]
+    assert state.value == (0, 9000, 1) and state.timers == {9501}
+    assert list(quiet.handleInputRows(("a",), batch(8700), None)) == [] and state.value == (0, 9000, 2) and state.timers == {9501}
