@@ -119,3 +119,11 @@ def test_a_key_lets_its_rows_go_in_one_table():
     assert [list(map(tuple, f.itertuples(index=False))) for f in found] == [[("a", 1, 1), ("a", 7, 3), ("a", 4, 2)]]
     assert state.value == (0, 9000, 1) and state.timers == {9501}
     assert list(quiet.handleInputRows(("a",), batch(8700), None)) == [] and state.value == (0, 9000, 2) and state.timers == {9501}
+
+
+def test_similar_pairs_are_judged_where_they_meet(spark):
+    """Pairs, of which there may be very many, are not shuffled to fetch their rows or to be told apart."""
+    import re
+
+    plan = registry.QUERIES["similarity_pairs"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "slot" in plan and not re.search(r"\(a_id#\d+L? = a_id#", plan) and "Aggregate [a_id" not in plan
