@@ -32,7 +32,7 @@ def audio_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
             part = part.withColumn("channels", F.lit(0)) if broken else part  # no channels: no PCM file
             part.write.format("wav").option("path", f"{plain}/{folder}").mode("append").save()
         blocks = spark.read.format("wav").option("path", plain).option("blockFrames", "500").option("rangeBytes", "4000").load()
-        value = F.aggregate("samples", F.lit(0).cast("long"), lambda s, x: s + F.round(x * 128 + 128).cast("long"))
+        value = F.aggregate("samples", F.lit(0).cast("long"), lambda s, x: s + F.floor(x * 128 + 128.5))  # F.round goes by decimals, value for value
         rows = blocks.select(
             F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("doc_id"), "channels", "sample_rate", (F.size("samples") / F.col("channels")).cast("long").alias("frames"), value.alias("total"),
         )

@@ -21,6 +21,8 @@ BLOCKS = "path string, channels int, sample_rate int, block_id long, samples arr
 FILES = "name string, channels int, sample_rate int, bits int, data binary, declared long"
 #: Bytes of a file's head in which the format and the start of the samples are looked for.
 HEAD = 1 << 16
+#: Ranges grow until there are at most about so many of them, or they have so many bytes.
+TASKS, TASK_BYTES = 1024, 32 << 20
 
 
 @dataclass
@@ -66,8 +68,8 @@ class WavSource(DataSource):
     """`format("wav")` with the folder in option `path` (any file system that Arrow reaches).
 
     Reads (path, channels, sample_rate, block_id, samples): `blockFrames` frames a row, interleaved, in -1..1. Files are
-    listed by the driver and their bytes dealt in ranges of `rangeBytes`; a task reads the head and the blocks that begin in its
-    range, so a long recording is read by many and no file is held whole. A file that is no PCM WAV has no
+    listed by the driver and their bytes dealt in ranges of `rangeBytes`, or larger ones where these would be very many;
+    a task reads the head and the blocks that begin in its range, so a long recording is read by many and no file is held whole. A file that is no PCM WAV has no
     rows; of one that is cut, the whole frames before the cut are read.
 
     Writes FILES rows: `data` behind a header of `channels`, `sample_rate` and `bits`; `declared` is the number of bytes that
@@ -100,17 +102,17 @@ class WavReader(DataSourceReader):
 
     def partitions(self) -> list[Ranges]:
         system, root = opened(self.options)
+        files = [i for i in system.get_file_info(fs.FileSelector(root, recursive=True)) if i.type == fs.FileType.File and i.path.lower().endswith(".wav")]
+        most = max(self.range, min(TASK_BYTES, -(-sum(i.size for i in files) // TASKS)))
         parts, filled = [Ranges([])], 0
-        for info in sorted(system.get_file_info(fs.FileSelector(root, recursive=True)), key=lambda i: i.path):
-            if info.type != fs.FileType.File or not info.path.lower().endswith(".wav"):
-                continue
+        for info in sorted(files, key=lambda i: i.path):
             start = 0
             while start < info.size:
-                end = min(info.size, start + self.range - filled)
+                end = min(info.size, start + most - filled)
                 parts[-1].found.append((info.path, info.size, start, end))
                 filled += end - start
                 start = end
-                if filled >= self.range:
+                if filled >= most:
                     parts.append(Ranges([]))
                     filled = 0
         return parts

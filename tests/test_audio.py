@@ -102,3 +102,15 @@ def test_heads_that_tell_nothing_are_neutral(spark):
     neutral = {k: v for k, v in properties.NEUTRAL.items()}
     assert [{k: r[k] for k in neutral} for r in sorted(got, key=lambda r: r.id) if r.id != 4] == [neutral] * 4
     assert [(r.other, r.container, r.duration) for r in got if r.id == 4] == [("d", "wav", 9 / 8000)]
+
+
+def test_very_many_small_ranges_share_tasks(tmp_path):
+    for i in range(3000):
+        (tmp_path / f"{i}.wav").write_bytes(b"x" * (60 + i % 80))
+    parts = wav.WavReader({"path": str(tmp_path), "rangebytes": "50"}).partitions()
+    assert len(parts) <= wav.TASKS + 2
+    met = {}
+    for path, size, start, end in (r for p in parts for r in p.found):
+        assert start == met.get(path, 0) < end <= size  # each byte once, in order
+        met[path] = end
+    assert len(met) == 3000 and all(end == 60 + int(path.rsplit("/", 1)[1][:-4]) % 80 for path, end in met.items())
