@@ -9,7 +9,8 @@ from tablemill import schemas
 from tablemill.session import stateful
 from tablemill.operators import state
 from tablemill.streaming import quiet, watch
-from tablemill.streaming.duplicates import DuplicateIndex
+from tablemill.storage import scratch
+from tablemill.streaming.duplicates import ClassIndex, DuplicateIndex
 from tablemill.streaming.store import BucketStore
 
 
@@ -158,3 +159,36 @@ def test_duplicates_after_batches_equal_the_whole(spark, tmp_path):
             for i, j in pairs:
                 label[i] = label[j] = min(label[i], label[j])
         assert {r.id: r.component for r in index.groups.read().collect()} == label
+
+
+def test_groups_by_classes_equal_those_of_rows_and_copies_make_no_square(spark, tmp_path):
+    rng = random.Random(21)
+    held: dict = {}
+    index = ClassIndex(spark, str(tmp_path), "int", 1.0, lambda a, b: F.when(a == b, F.lit(0.9)).otherwise(0.1), 0.5, 4)
+    values = [None, float("nan"), float("inf"), 0.0, 0.5, 3.0, 3.5, 4.5, 9.0, 20.0, 40.0]
+    fresh = lambda i: (i, values[rng.randrange(2 if i % 9 == 0 else len(values)) if i > 5 else 8], rng.choice([None, *range(7)]))
+    batches = [
+        [(*fresh(i), False) for i in range(60)] + [(i, 70.0, 3, False) for i in range(1000, 1400)],
+        [(*fresh(i), False) for i in range(50, 75)] + [(i, 70.0, 3, True) for i in range(1000, 1100)],
+        [(*fresh(i), i % 2 == 0) for i in range(0, 70, 2)] + [(2000, 1.0, 1, True)],
+    ]
+    near = lambda a, b: a[1] is not None and a[1] == b[1] and (a[0] is None or b[0] is None or abs(a[0] - b[0]) <= 1)
+    for n, batch in enumerate(batches, 1):
+        changes = spark.createDataFrame(batch, "id long, value double, content int, gone boolean")
+        index.apply(changes, n)
+        if n == 2:
+            index.apply(changes, n)
+        for i, value, content, gone in batch:
+            held.pop(i, None)
+            if not gone:
+                held[i] = (value, content)
+        label = {i: i for i in held if any(i != j and near(held[i], held[j]) for j in held)}
+        changed = True
+        while changed:
+            changed = False
+            for i in label:
+                low = min(label[j] for j in label if j == i or near(held[i], held[j]))
+                changed, label[i] = changed or low < label[i], low
+        with scratch(spark):
+            assert {r.id: r.component for r in index.groups().collect()} == label
+    assert index.classes.pairs.read().count() < 3000 and sum(r.n for r in index.sizes.read().collect()) == len(held)
