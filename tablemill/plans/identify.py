@@ -93,9 +93,9 @@ def dirty_names_known(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 6, title).otherwise(F.concat(plain, F.lit(" Harbour Remix")))
     )
     stem = F.concat(F.lit("01 - [CAT] "), F.replace(title, F.lit(" "), F.lit("_")), F.lit(" (vinyl rip) 320 kbps"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", spoilt.alias("stem"), F.concat(artist, F.lit(" - Best Of")).alias("folder"), name_parts.clean_stem(stem).alias("readable"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", spoilt.alias("stem"), F.concat(artist, F.lit(" - Best Of")).alias("folder"))
     found = name_parts.with_terms(rows, F.col("stem"), F.col("folder"))
-    return found.select("p_partkey", "terms.artist", "terms.title", "terms.version", F.try_element_at("terms.queries", F.lit(1)).alias("first_query"), "readable")
+    return found.select("p_partkey", "terms.artist", "terms.title", "terms.version", F.try_element_at("terms.queries", F.lit(1)).alias("first_query"), name_parts.clean_stem(stem).alias("readable"))
 
 
 @query("FS8 FS13 FS14 FS17 FS19 FS22 FS33", """

@@ -106,3 +106,11 @@ def test_terms_as_columns_against_plain_python(spark):
     plain = {row: plain_names.search_terms(*row) for row in rows}
     got = name_parts.with_terms(frame, F.col("stem"), F.col("folder")).collect()
     assert {(r.stem, r.folder): tuple(r.terms) for r in got} == plain
+
+
+def test_names_of_one_file_are_dealt_over_tasks(spark):
+    rows = spark.range(0, 400, 1, 1).select("id", F.concat(F.lit("Alpha Bee - Song "), "id").alias("stem"))
+    found = name_parts.with_terms(rows, F.col("stem"), F.lit("")).select("id", "terms.artist", F.spark_partition_id().alias("p")).collect()
+    sizes = {p: sum(r.p == p for r in found) for p in {r.p for r in found}}
+    assert sorted(r.id for r in found) == list(range(400)) and {r.artist for r in found} == {"Alpha Bee"}
+    assert len(sizes) == 4 and max(sizes.values()) <= 110
