@@ -207,3 +207,17 @@ def test_spectra_and_grid_against_one_signal(spark):
         level = ((np.clip(10 * np.log10(power / full), -100, 0) + 100) / 100 * 255).astype(int)
         want = [level[b : b + 6].max() for b in range(0, 2048, 6)]
         assert max(abs(a - b) for a, b in zip(want, grid[column])) <= 1 and len(want) == len(grid[column])
+
+
+def test_moved_and_requeued_tracks_are_joined_once(spark):
+    tracks = spark.createDataFrame([(1, "a", "pending"), (2, "b", "filed"), (3, "c", None), (4, "d", "resourcing"), (None, "e", "pending")], "id long, path string, status string")
+    actions = spark.createDataFrame([(5, 4, "reject", "d", False)], "id long, track_id long, type string, from_path string, undone boolean")
+    ids = spark.createDataFrame([(1,), (1,), (3,), (4,), (None,), (9,)], "id long")
+    after, journal = state.move_tracks(tracks, actions, ids, "reject", "resourcing", ["pending"])
+    back, closed = state.requeue(tracks, actions, ids)
+    assert {r.path: r.status for r in after.collect()} == {"a": "resourcing", "b": "filed", "c": None, "d": "resourcing", "e": "pending"}
+    assert sorted(map(tuple, journal.collect())) == [(5, 4, "reject", "d", False), (6, 1, "reject", "a", False)]
+    assert {r.path: r.status for r in back.collect()} == {"a": "pending", "b": "filed", "c": None, "d": "pending", "e": "pending"}
+    assert [tuple(r) for r in closed.collect()] == [(5, 4, "reject", "d", True)]
+    for out in (after, back):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
