@@ -91,6 +91,26 @@ def test_pairs_with_nulls_are_dealt_by_their_number(spark, monkeypatch):
     assert joins.null_deals(a, b).first()[0] == 2 * 30 * 300 // 20
 
 
+@pytest.mark.parametrize("step", [None, 3])
+def test_pairs_with_nulls_stay_dealt_under_adaptive_execution(spark, monkeypatch, step):
+    """The few bytes of a cell are no reason to put its many pairs into a task with others."""
+    from pyspark.sql import functions as F
+
+    from tablemill.operators import joins
+
+    values = [None if i % 10 == 0 else float(i * 100) for i in range(300)]
+    rows = spark.createDataFrame(list(enumerate(values)), "id long, d double")
+    monkeypatch.setattr(joins, "NULL_PAIRS", 600)  # about 30 tasks
+    fresh = step and rows.where(F.col("id") % step == 0)
+    got = joins.band_pairs(rows, "id", "d", 1.0, fresh).withColumn("p", F.spark_partition_id()).collect()
+    pairs = {(r.a_id, r.b_id) for r in got}
+    met = lambda i, j: values[i] is None or values[j] is None
+    assert len(pairs) == len(got)
+    assert pairs == {(i, j) for i in range(0, 300, step or 1) for j in range(300) if (i != j if step else i < j) and met(i, j)}
+    sizes = [sum(r.p == p for r in got) for p in {r.p for r in got}]
+    assert len(sizes) > 10 and max(sizes) < len(got) / 5
+
+
 def test_a_key_lets_its_rows_go_in_one_table():
     """Of a batch's rows and the held one, in order of time whichever came first."""
     import pandas as pd
