@@ -70,6 +70,18 @@ def test_components_equal_union_find(spark):
     assert components(spark.createDataFrame([], "a_id long, b_id long")).count() == 0
 
 
+def test_components_deal_only_where_a_key_has_many_rows(spark, monkeypatch):
+    deal, dealt = joins.dealt_join, []
+    monkeypatch.setattr(joins, "dealt_join", lambda *a, **k: dealt.append(a[2]) or deal(*a, **k))
+    edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)]
+    for light, keys in ((joins.LIGHT, set()), (20, {"y", "c"})):
+        monkeypatch.setattr(joins, "LIGHT", light)
+        dealt.clear()
+        got = components(spark.createDataFrame(edges, "a_id long, b_id long")).collect()
+        assert {r.id: r.component for r in got} == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)}
+        assert {k for on in dealt for k in on} == keys
+
+
 def test_steps_equal_the_whole(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([10.0, 11.5, 13.0, 60.0, None]), [rng.choice([0, 0, 0, -1]) & 0xFFFFFFFF for _ in range(4)]) for i in range(24)]
