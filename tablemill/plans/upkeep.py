@@ -94,13 +94,17 @@ def told_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in told], "told long")
 
 
+#: Folders that the files of a folder are dealt over, so that none of them holds very many.
+FOLDERS = 256
+
+
 @query("SC1", """
 with f as (select doc_id, octet_length(encode(coalesce(text, ''))) + 44 as size_bytes, ['MP3', 'flac', 'txt', '', 'Aiff', 'ogg.part', 'wav', 'opus'][doc_id % 8 + 1] as ext from documents)
 select doc_id || '.' || ext as filename, size_bytes::bigint as size_bytes from f where lower(ext) in ('mp3', 'flac', 'wav', 'aif', 'aiff', 'm4a', 'aac', 'ogg', 'opus')""")
 def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audio files, by extension, of a folder with two below it that documents were written to."""
+    """The audio files, by extension, of a folder with two below it that documents were written to, each dealt over FOLDERS more."""
     endings = F.array(*map(F.lit, ("MP3", "flac", "txt", "", "Aiff", "ogg.part", "wav", "opus")))
-    name = F.concat(F.col("doc_id").cast("string"), F.lit("."), F.get(endings, (F.col("doc_id") % 8).cast("int")))
+    name = F.concat(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDERS)).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.get(endings, (F.col("doc_id") % 8).cast("int")))
     given = table(spark, sf_dir, "documents").where("doc_id is not null").select(
         name.alias("name"), F.lit(1).alias("channels"), F.lit(8000).alias("sample_rate"), F.lit(8).alias("bits"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"), F.lit(None).cast("long").alias("declared"), "doc_id",
     )
@@ -109,7 +113,7 @@ def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         plain = at.removeprefix("file://") if at.startswith("file:///") else at
         for folder, rest in (("one", 0), ("two/deep", 1)):
             given.where(F.col("doc_id") % 2 == rest).drop("doc_id").write.format("wav").option("path", f"{plain}/{folder}").mode("append").save()
-        return keep(files.listing(spark, at).select("filename", "size_bytes"), "listing")
+        return keep(files.walk(spark, plain).select("filename", "size_bytes"), "listing")
 
 
 @query("AG41", """

@@ -6,16 +6,21 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.functions import text
+from tablemill.sources import wav
+from tablemill.storage import stash
 
 # Extensions of audio files, and the first bytes of containers by rail.
 AUDIO = ("mp3", "flac", "wav", "aif", "aiff", "m4a", "aac", "ogg", "opus")
 LOSSLESS = ("flac", "wav", "aif", "aiff")
 MAGIC = {"664C6143": "lossless", "52494646": "lossless", "464F524D": "lossless", "4F676753": "lossy", "494433": "lossy", "FFFB": "lossy", "FFF3": "lossy"}
 BLOCK = 4096
+#: Folders that a task lists, until there are as many tasks as shuffles have partitions.
+FOLDERS_A_TASK = 8
 
 
 def listing(spark: SparkSession, root: str, audio_only: bool = True) -> DataFrame:
@@ -26,6 +31,38 @@ def listing(spark: SparkSession, root: str, audio_only: bool = True) -> DataFram
     return rows.where(is_audio(F.col("path"))) if audio_only else rows
 
 
+def walk(spark: SparkSession, root: str, audio_only: bool = True) -> DataFrame:
+    """As `listing`, of a folder of very many files that Arrow reaches: tasks list the folders, level by level, so the
+    driver holds no file and only learns how many folders a level has. A folder is one task's work, so files should be dealt over
+    folders. Names that Spark passes over (with _ or . in front) are passed over; files without a byte, which Spark leaves out, are listed. The levels are stashed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, top = wav.opened({"path": root})
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                infos = [i for i in system.get_file_info(fs.FileSelector(top if folder is None else folder)) if i.base_name[0] != "." and (i.base_name[0] != "_" or "=" in i.base_name)]
+                for part in (infos[i : i + BLOCK] for i in range(0, len(infos), BLOCK)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i.path for i in part], pa.string()), pa.array([i.size or 0 for i in part], pa.int64()), pa.array([(i.mtime_ns or 0) // 10**9 for i in part], pa.int64()), pa.array([i.type == fs.FileType.Directory for i in part], pa.bool_())],
+                        names=["path", "size_bytes", "mtime", "folder"],
+                    )
+
+    folders, left, levels = spark.createDataFrame([(None,)], "path string"), 1, []
+    while left:
+        tasks = min(-(-left // FOLDERS_A_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        level = stash(folders.repartition(tasks, "path").mapInArrow(run, "path string, size_bytes long, mtime long, folder boolean"), "level")
+        folders = level.where("folder").select("path")
+        left = folders.count()
+        levels.append(level.where("not folder"))
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    rows = found.select("path", text.basename(F.col("path")).alias("filename"), "size_bytes", "mtime")
+    return rows.where(is_audio(F.col("path"))) if audio_only else rows
+
+
 def is_audio(path: Column) -> Column:
     return F.lower(F.regexp_extract(text.basename(path), r"^.+\.([^.]+)$", 1)).isin(*AUDIO)
 

@@ -73,7 +73,7 @@ class WavSource(DataSource):
     rows; of one that is cut, the whole frames before the cut are read.
 
     Writes FILES rows: `data` behind a header of `channels`, `sample_rate` and `bits`; `declared` is the number of bytes that
-    the header claims, by default those there are."""
+    the header claims, by default those there are. A name may have folders in front."""
 
     @classmethod
     def name(cls) -> str:
@@ -144,12 +144,17 @@ class WavWriter(DataSourceWriter):
 
     def write(self, iterator) -> WriterCommitMessage:
         system, root = opened(self.options)
+        made = {""}
         system.create_dir(root, recursive=True)
         for row in iterator:
             data = bytes(row.data or b"")
             size = len(data) if row.declared is None else row.declared
             frame = row.channels * row.bits // 8
             head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + size, b"WAVE", b"fmt ", 16, 1, row.channels, row.sample_rate, row.sample_rate * frame, frame, row.bits, b"data", size)
+            folder = row.name.rpartition("/")[0]
+            if folder not in made:
+                system.create_dir(f"{root}/{folder}", recursive=True)
+                made.add(folder)
             with system.open_output_stream(f"{root}/{row.name}") as f:  # a task that runs again writes the same file
                 f.write(head + data)
         return WriterCommitMessage()

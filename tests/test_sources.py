@@ -110,3 +110,20 @@ def test_cache_and_settings(spark):
     assert sorted(map(tuple, got.collect())) == [("a", "new"), ("b", "kept"), ("c", "new")]
     table = spark.createDataFrame([("x", "1"), ("y", "2")], "key string, value string")
     assert sorted(map(tuple, state.set_values(table, spark.createDataFrame([("y", "3"), ("z", "4")], "key string, value string"), "key").collect())) == [("x", "1"), ("y", "3"), ("z", "4")]
+
+
+def test_a_walk_lists_what_a_listing_does_without_a_task_for_a_few_files(spark, tmp_path):
+    for folder in ("a", "b/c/d", "_made", "b/.hidden", "none"):
+        (tmp_path / folder).mkdir(parents=True)
+    for name, size in {"top.WAV": 3, "a/x.mp3": 5, "a/.x.mp3": 1, "a/_x.mp3": 1, "_made/y.mp3": 2, "b/.hidden/z.mp3": 2, "b/c/d/ü 1.flac": 9, "b/c/n.txt": 4}.items():
+        (tmp_path / name).write_bytes(b"x" * size)
+    for i in range(1, 300):
+        (tmp_path / f"a/{i}.ogg").write_bytes(b"o" * i)
+    for audio in (True, False):
+        for root in (str(tmp_path), f"file://{tmp_path}"):
+            found = files.walk(spark, root, audio)
+            columns = ["filename", "size_bytes", "mtime"]
+            assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, files.listing(spark, str(tmp_path), audio).select(columns).collect()))
+            assert found.rdd.getNumPartitions() < 40
+    (tmp_path / "b/empty.opus").touch()
+    assert [r.size_bytes for r in files.walk(spark, str(tmp_path)).where("filename = 'empty.opus'").collect()] == [0]
