@@ -243,3 +243,23 @@ def test_groups_by_classes_equal_those_of_rows_and_copies_make_no_square(spark,
         with scratch(spark):
             assert {r.id: r.component for r in index.groups().collect()} == label
     assert index.classes.pairs.read().count() < 3000 and sum(r.n for r in index.sizes.read().collect()) == len(held)
+
+
+def test_stores_of_small_tables_have_few_buckets(spark, monkeypatch):
+    """Each bucket is a file and a task of every write, so their number goes by the rows and not by the session's partitions."""
+    from tablemill.plans import registry, streams
+    from tablemill.streaming import store
+
+    made, written = {}, []
+    begin, stash = store.BucketStore.__init__, store.stash
+    monkeypatch.setattr(store.BucketStore, "__init__", lambda self, *a, **k: begin(self, *a, **k) or made.update({self.folder.rsplit("/", 1)[-1]: self.buckets}))
+    monkeypatch.setattr(store, "stash", lambda df, name: written.append(name) or stash(df, name))
+    monkeypatch.setattr(streams, "BUCKET_ROWS", 40)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        registry.QUERIES["stepped_duplicates"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert set(made) == {"rows", "pairs", "groups", "members", "sizes"} and max(made.values()) < 20
+    assert written.count("changes") == 3  # those of the groups; the others are read from stored tables
