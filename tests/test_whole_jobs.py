@@ -147,3 +147,33 @@ def test_similar_pairs_are_judged_where_they_meet(spark):
 
     plan = registry.QUERIES["similarity_pairs"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "slot" in plan and not re.search(r"\(a_id#\d+L? = a_id#", plan) and "Aggregate [a_id" not in plan
+
+
+def test_groups_along_a_line_list_no_pairs(spark, monkeypatch):
+    """Components and greatest distances of all pairs, from blocks of values; a crowd within reach of itself makes no square."""
+    import random
+
+    from tablemill.operators import dedup, joins
+    from tablemill.storage import scratch
+
+    monkeypatch.setattr(dedup, "SPAN", 3)
+    monkeypatch.setattr(joins, "LIGHT", 50)
+    rng = random.Random(2)
+    values = [(i, rng.choice([rng.uniform(-4, 4), round(rng.uniform(-1, 6), 1), rng.randint(0, 40) * 0.1 + 10]), rng.choice("ab")) for i in range(150)]
+    values += [(200 + i, 20 + i * 0.05, "a") for i in range(150)] + [(400, 0.0, "b"), (401, -0.0, "b"), (402, None, "a"), (403, float("inf"), "a"), (404, float("nan"), "a"), (405, 10.0, None), (None, 10.0, "a")]
+    with scratch(spark):
+        got = {r.id: (r.component, r.distance) for r in dedup.band_components(spark.createDataFrame(values, "id long, d double, p string"), "id", "d", "p", 0.1).collect()}
+    met = [(i, j, abs(d - e)) for i, d, p in values for j, e, q in values if None not in (i, j, d, e, p) and i < j and p == q and abs(d - e) <= 0.1]
+    label = {i: i for pair in met for i in pair[:2]}
+    changed = True
+    while changed:
+        changed = False
+        for i, j, _ in met:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    far = {c: max(d for i, _, d in met if label[i] == c) for c in set(label.values())}
+    assert got == {i: (c, far[c]) for i, c in label.items()}
+    monkeypatch.setattr(joins, "near_pairs", None)  # as many pairs as the square of what is within reach
+    for name in ("duplicate_components", "duplicate_groups"):
+        assert registry.QUERIES[name](spark, DATA).count() >= 0
