@@ -177,3 +177,23 @@ def test_groups_along_a_line_list_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(joins, "near_pairs", None)  # as many pairs as the square of what is within reach
     for name in ("duplicate_components", "duplicate_groups"):
         assert registry.QUERIES[name](spark, DATA).count() >= 0
+
+
+def test_signs_of_similar_pairs_are_machine_words(spark, tmp_path):
+    """No lambda runs for each pair; nulls, zeros and vectors of other lengths agree as in SQL."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(4)
+    near = lambda: [0.001 * rng.random() for _ in range(8)]
+    vectors = [near() + [rng.choice([1.0, 0.9, 0.8, -0.0, 0.0, -1.0, None, 2.0, 3.0, 4.0]) for _ in range(n - 8)] for n in [64] * 40 + [50, 63, 65, 80] * 3]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.QUERIES["similarity_pairs"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line and "slot" in line)
+    assert "bit_count" in join and "lambda" not in join
+    duck = duckdb.connect()
+    duck.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = duck.sql(registry.ORACLE_SQL["similarity_pairs"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 5
