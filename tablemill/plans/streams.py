@@ -12,7 +12,6 @@ from tablemill.operators import state
 from tablemill.plans.base import query
 from tablemill.plans.duplicates import COMPONENTS_SQL, TIMED_SQL, timed
 from tablemill.plans.library import TRACKS_SQL, tracks
-from tablemill.session import stateful
 from tablemill.storage import scratch, table, workspace
 from tablemill.streaming import quiet, watch
 from tablemill.streaming.duplicates import ClassIndex
@@ -133,16 +132,11 @@ def quiet_runs(spark: SparkSession, sf_dir: str, milliseconds: int, end: Column)
     events = quarters(table(spark, sf_dir, "events")).select("event_id", "ts", "user_id", "event_type", "part")
     marker = events.agg(F.lit(-1).cast("long").alias("event_id"), end.alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(PARTS).alias("part"))
     rows = events.unionByName(marker.where("ts is not null"))
-    with scratch(spark) as keep, workspace(spark, "stream-quiet") as at, stateful(spark):
-
-        def write(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
-
+    with scratch(spark) as keep, workspace(spark, "stream-quiet") as at:
+        runs = quiet.QuietBatches(spark, f"{at}/state", rows, ["user_id", "event_type"], "ts", ["event_id"], milliseconds, HOUR)
         for stream in arriving(rows, f"{at}/events", F.col("part"), PARTS + 1):
-            found = quiet.quiet_after(stream, ["user_id", "event_type"], "ts", ["event_id"], milliseconds, "1 hour")
-            found.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
-        out = spark.read.schema(found.schema).parquet(f"{at}/out")
-        return keep(out.select("user_id", "event_type", "event_id", "n"), "quiet")
+            stream.writeStream.foreachBatch(runs.apply).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+        return keep(runs.gone().select("user_id", "event_type", "event_id", "n"), "quiet")
 
 
 @query("SM1", f"with {QUIET_SQL.format(quiet=HOUR)} select user_id, event_type, event_id, n from lasts")

@@ -1,4 +1,4 @@
-"""Keys that fall quiet: a stateful processor with event-time timers."""
+"""Keys that fall quiet: a stateful processor with event-time timers, and the same in whole batches."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from tablemill.storage import read_text, scratch, stash, write_text
+
 # The process that sets a stateful processor up has no search path for this package, so the class travels by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -74,3 +76,39 @@ def quiet_after(stream: DataFrame, key: list[str], at: str, columns: list[str],
     given = stream.where(" and ".join(f"`{c}` is not null" for c in [*key, at])).select(*key, F.col(at).cast("timestamp").alias(at), *(c for c in columns if c != at)).withWatermark(at, delay)
     out = ", ".join(f"{c} {fields[c]}" for c in key) + f", {schema}, n long"
     return given.groupBy(*key).transformWithStateInPandas(Quiet(quiet, key, at, columns, schema), outputStructType=out, outputMode="append", timeMode="eventTime")
+
+
+class QuietBatches:
+    """What `quiet_after` gives, batch by batch, with every key's last row in a stored table: a batch is one window over its own rows and the
+    held ones, where a stateful processor is called for each key. Batches are numbered from 0; one that comes again is done again."""
+
+    def __init__(self, spark: SparkSession, folder: str, stream: DataFrame, key: list[str], at: str, columns: list[str], quiet: int, delay: int):
+        self.spark, self.folder, self.key, self.at, self.columns, self.quiet, self.delay = spark, folder.rstrip("/"), key, at, columns, quiet, delay
+        fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+        self.held = ", ".join(f"{c} {fields[c]}" for c in [*key, *columns]) + ", _ms long, _n long"
+        self.out = ", ".join(f"{c} {fields[c]}" for c in [*key, *columns]) + ", n long"
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        """Take in a batch: rows at or before the watermark are late and go; the watermark, in milliseconds, moves on with the batch's last time."""
+        spark = batch.sparkSession
+        before = int(read_text(spark, f"{self.folder}/watermark-{number - 1}")) if number else -(1 << 62)
+        rows = batch.select(*self.key, *self.columns, F.unix_millis(F.col(self.at).cast("timestamp")).alias("_ms"), F.lit(1).cast("long").alias("_n")).dropna(subset=[*self.key, "_ms"])
+        last = rows.agg(F.max("_ms")).first()[0]  # one row
+        mark = max(before, last - self.delay) if last is not None else before
+        rows = rows.where(F.col("_ms") > before)
+        if number:
+            rows = rows.unionByName(spark.read.schema(self.held).parquet(f"{self.folder}/held-{number - 1}"))
+        order = Window.partitionBy(*self.key).orderBy("_ms", *self.columns)
+        told = rows.withColumn("_next", F.lead("_ms").over(order)).withColumn("_total", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        ends = told.where(F.col("_next").isNull() | (F.col("_next") - F.col("_ms") > self.quiet))
+        ends = ends.withColumn("_n", F.col("_total") - F.coalesce(F.lag("_total").over(order), F.lit(0)))
+        waits = F.col("_next").isNull() & (F.col("_ms") + self.quiet >= mark)
+        with scratch(spark):
+            ends = stash(ends.withColumn("_waits", waits).drop("_next", "_total"), "run-ends")
+            ends.where("_waits").drop("_waits").write.mode("overwrite").parquet(f"{self.folder}/held-{number}")
+            ends.where("not _waits").select(*self.key, *self.columns, F.col("_n").alias("n")).write.mode("overwrite").parquet(f"{self.folder}/gone/batch={number}")
+        write_text(spark, f"{self.folder}/watermark-{number}", str(mark))
+
+    def gone(self) -> DataFrame:
+        """(key, columns, n) of all that fell quiet so far."""
+        return self.spark.read.schema(self.out).parquet(f"{self.folder}/gone").select(*self.key, *self.columns, "n")

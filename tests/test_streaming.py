@@ -263,3 +263,35 @@ def test_stores_of_small_tables_have_few_buckets(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert set(made) == {"rows", "pairs", "groups", "members", "sizes"} and max(made.values()) < 20
     assert written.count("changes") == 3  # those of the groups; the others are read from stored tables
+
+
+def test_quiet_keys_in_whole_batches(spark, tmp_path, monkeypatch):
+    """Runs of each key against a walk, with held rows, late ones, a batch done twice and an empty one; no Python is called for each key."""
+    import random
+
+    from tablemill.plans import registry
+    from tablemill.streaming import quiet
+
+    rng = random.Random(8)
+    start = 1_700_000_000_000
+    rows = [(f"u{rng.randrange(30)}", start + 1000 * i * 7 + rng.randrange(20_000), i) for i in range(600)] + [(None, start, 900), ("u1", None, 901)]
+    parts = [rows[:250], rows[250:], [("u1", start, 950), ("u2", start + 10_000_000, 951)], []]  # the first of the third is late
+    tables = [spark.createDataFrame(p, "user string, ms long, id long").select("user", F.timestamp_millis("ms").alias("ts"), "id") for p in parts]
+    runs = quiet.QuietBatches(spark, str(tmp_path), tables[0], ["user"], "ts", ["id"], 60_000, 30_000)
+    for n, t in enumerate(tables):
+        runs.apply(t, n)
+        if n == 1:
+            runs.apply(t, n)
+    want = []
+    for user in sorted({u for u, _, _ in rows if u}):
+        own = sorted((ms, i) for u, ms, i in rows if u == user and ms is not None)
+        n = 0
+        for (ms, i), after in zip(own, [*own[1:], None]):
+            n += 1
+            if after is None or after[0] - ms > 60_000:
+                want.append((user, i, n))
+                n = 0
+    assert sorted(map(tuple, runs.gone().collect())) == sorted(want) and len(want) > 100
+    monkeypatch.setattr(quiet, "quiet_after", None)
+    for name in ("stream_debounced", "stream_retention"):
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
